@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ ORDER = 4
 LOW, HIGH, SLACK = 0.005, 0.97, 1.1
 #: The thresholds of a text of n symbols are wider by exp(SHORT / sqrt(n)): means over few symbols scatter.
 SHORT = 1.5
-BROADCAST = 8_000_000
+BROADCAST = 3_000_000
 #: Trusted identifiers that are broadcast at most; more are joined.
 TRUSTED = 4_000_000
 
@@ -161,8 +162,11 @@ _SCORED = "doc_id long, lang string, trusted boolean, n_symbols long, surprise d
 
 
 def _scored_by_broadcast(docs: DataFrame, table_: DataFrame) -> DataFrame:
-    rows = table_.toPandas()  # at most BROADCAST rows
-    shared = docs.sparkSession.sparkContext.broadcast({lang: (p["g"].to_numpy(), p["logp"].to_numpy()) for lang, p in rows.groupby("lang")})
+    rows = table_.orderBy("lang").toArrow()  # at most BROADCAST rows
+    runs = pc.run_end_encode(rows.column("lang").combine_chunks()) if rows.num_rows else None
+    ends = [0, *(runs.run_ends.to_pylist() if runs is not None else [])]
+    keys, values = rows.column("g").to_numpy(), rows.column("logp").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast({lang: (keys[a:b], values[a:b]) for lang, a, b in zip(runs.values.to_pylist() if runs is not None else [], ends, ends[1:])})
 
     def run(batches):
         tables: dict = {}
