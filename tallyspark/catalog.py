@@ -1,4 +1,300 @@
-"""All queries by name, and SQL for those that SQL can express."""
+"""All queries by name, and SQL for those that SQL can express. Names are the operators' identifiers in the inventory."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .functions import likelihood as L
+from .functions import outcome as O
+from .operators import detect, mismatch, runscore, steps, windows
+from .sources.events import CHANGED, HEALTHY, read_table, records
+
+QUERIES, ORACLE = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+def r(c, digits: int = 6) -> Column:
+    """Rounded for comparison, without negative zeros."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+
+
+WINDOWS_SQL = f"""
+with {CHANGED}, w as (
+  select *, (row_number() over (partition by source order by started_at_ms, unit_id, attempt) - 1) // 50 as "index" from records where kind in ('eval', 'trajectory')
+)
+select run_id, source, "index"::bigint as "index", count(*) units, arg_min(unit_id, (started_at_ms, unit_id, attempt)) first_unit_id,
+  round(avg(reward), 6) + 0.0 avg_reward, round(avg(reward) filter (failure_class is null or failure_class not in ('grader', 'infra')), 6) + 0.0 avg_reward_no_infra,
+  round(count(*) filter (reward = 0) / nullif(count(reward), 0), 6) + 0.0 zero_reward_rate,
+  round(count(*) filter (failure_class = 'infra') / count(*), 6) + 0.0 infra_error_rate, round(count(*) filter (failure_class = 'grader') / count(*), 6) + 0.0 grader_error_rate,
+  count(*) filter (failure_class in ('grader', 'infra') and reward is not null) poisoned_units
+from w group by all
+"""
+
+
+@query("F1_E2_source_windows", WINDOWS_SQL)
+def source_windows(spark, sf_dir) -> DataFrame:
+    w = windows.source_windows(records(spark, sf_dir))
+    rates = {"avg_reward", "avg_reward_no_infra", "zero_reward_rate", "infra_error_rate", "grader_error_rate"}
+    return w.select(*[r(c).alias(c) if c in rates else F.col(c) for c in w.columns])
+
+
+@query("E1_summary", f"with {CHANGED} select count(failure_class) failures, count(*) units, count(*) filter (failure_class = 'infra') infra, count(*) filter (failure_class = 'agent') agent, count(*) filter (failure_class = 'grader') grader, count(*) filter (failure_class = 'timeout') timeout, round(coalesce(sum(value) filter (failure_class is not null), 0) / 3600, 6) gpu_hours_lost from records")
+def show_summary(spark, sf_dir):
+    s = windows.summary(records(spark, sf_dir))
+    return s.withColumn("gpu_hours_lost", r("gpu_hours_lost"))
+
+
+@query("B2_flat_projection", f"with {CHANGED} select run_id, unit_id, kind, attempt, source, started_at_ms, ended_at_ms, case when failure_kind is null then 'ok' else 'failed' end outcome, failure_class, failure_kind, coalesce(failure_kind in ('engine_crash', 'network', 'process_killed', 'sandbox'), false) retryable, reward, action from records")
+def flat_projection(spark, sf_dir):
+    d = records(spark, sf_dir)
+    kind = F.col("failure_kind")
+    return d.select("run_id", "unit_id", "kind", "attempt", "source", "started_at_ms", "ended_at_ms", F.when(kind.isNull(), "ok").otherwise("failed").alias("outcome"), "failure_class", "failure_kind", F.coalesce(O.retryable(kind), F.lit(False)).alias("retryable"), "reward", "action")
+
+
+@query("B5_B4_decisions", f"with {CHANGED}, d as (select unit_id, reward, case when failure_kind is null then 'score' when failure_kind = 'sandbox' then 'retry' when failure_class in ('grader', 'infra') then 'mask' else 'zero' end first_action, case when failure_kind is null then 'score' when failure_class in ('grader', 'infra') then 'mask' else 'zero' end last_action from records) select unit_id, first_action, last_action, case last_action when 'score' then reward when 'zero' then 0.0 end trainer_reward from d")
+def decisions(spark, sf_dir):
+    d, kind, p = records(spark, sf_dir), F.col("failure_kind"), O.Policy(max_attempts=2)
+    d = d.withColumn("first_action", O.decide(kind, F.lit(1), p)).withColumn("last_action", O.decide(kind, F.lit(2), p))
+    return d.select("unit_id", "first_action", "last_action", O.reward_for(F.col("last_action"), F.col("reward")).alias("trainer_reward"))
+
+
+@query("B6_cost", f"with {CHANGED} select unit_id, round(k * 0.0001 + value * 0.002, 6) usd_full, case when tokens_out <> 0 then null else round(k * 0.0001 + value * 0.002, 6) end usd_unpriced_tokens from records")
+def cost(spark, sf_dir):
+    q = {"cpu": F.col("k").cast("double"), "gpu": F.col("value"), "out": F.col("tokens_out").cast("double")}
+    full = {k: v for k, v in q.items() if k != "out"}
+    prices = {"cpu": 0.0001, "gpu": 0.002, "out": None}
+    return records(spark, sf_dir).select("unit_id", r(O.usd(full, prices)).alias("usd_full"), r(O.usd(q, prices)).alias("usd_unpriced_tokens"))
+
+
+@query("B7_B8_B12_B14_fields", f"with {CHANGED} select unit_id, action tp_decision, coalesce(failure_class || '/' || failure_kind || '@rollout', '-') log_line, case when failure_kind is null then 'Submitted' when failure_kind = 'agent_exception' then 'AgentError' when failure_kind = 'wall_clock' then 'TimeLimitExceeded' when failure_kind = 'missing_reward' then 'VerifierError' else 'SandboxUnavailable' end exit_status, action in ('score', 'zero') trainable, coalesce(reward, 0.0) sample_reward, action = 'mask' remove_sample from records")
+def fields(spark, sf_dir):
+    kind, action = F.col("failure_kind"), F.col("action")
+    return records(spark, sf_dir).select("unit_id", action.alias("tp_decision"), O.log_line(kind, F.lit("rollout")).alias("log_line"), O.exit_status(kind).alias("exit_status"), action.isin("score", "zero").alias("trainable"), F.coalesce("reward", F.lit(0.0)).alias("sample_reward"), (action == "mask").alias("remove_sample"))
+
+
+@query("B10_headroom", f"with {CHANGED} select unit_id, cast(floor((100 - k) * 100 / 100) as bigint) percent, floor((100 - k) * 100 / 100) < 10 warn from records")
+def headroom(spark, sf_dir):
+    p = O.headroom_percent(F.col("k"), F.lit(100))
+    return records(spark, sf_dir).select("unit_id", p.cast("long").alias("percent"), (p < 10).alias("warn"))
+
+
+@query("C1_C5_filters", f"with {CHANGED} select unit_id, failure_class in ('grader', 'infra') and failure_class is not null non_agent, failure_class is not null and failure_class in ('grader', 'infra') and reward is not null poisoned, case when failure_class is null or failure_class not in ('grader', 'infra') then reward end clean_reward from records where failure_kind is not null")
+def filters(spark, sf_dir):
+    d, kind = records(spark, sf_dir).where("failure_kind is not null"), F.col("failure_kind")
+    return d.select("unit_id", O.non_agent(kind).alias("non_agent"), O.poisoned(kind, F.col("reward")).alias("poisoned"), O.clean_reward(kind, F.col("action"), F.col("reward")).alias("clean_reward"))
+
+
+@query("D1_unfinished", f"with {CHANGED} select m.unit_id, m.started_at_ms at_ms from records m where k < 50 and k % 3 = 0")
+def unfinished(spark, sf_dir):
+    d = records(spark, sf_dir)
+    markers = d.where("k < 50").select("unit_id", "attempt", F.col("started_at_ms").alias("at_ms"))
+    return windows.without_record(markers, d.where("k % 3 <> 0")).select("unit_id", "at_ms")
+
+
+@query("G1_G3_source_order", f"with {CHANGED} select source, row_number() over (order by source nulls last) position, count(*) n from records group by source")
+def source_order(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    d = records(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    return d.withColumn("position", F.row_number().over(W.orderBy(F.asc_nulls_last("source"))).cast("long"))
+
+
+@query("A13_identifiers", f"with {CHANGED} select unit_id, substr(sha256('trace' || chr(31) || run_id || chr(31) || unit_id), 1, 32) trace_id, substr(sha256('span' || chr(31) || run_id || chr(31) || unit_id || chr(31) || attempt), 1, 16) span_id from records")
+def identifiers(spark, sf_dir):
+    # the separator is a parameter of the comparison: DuckDB's chr(0) ends a string
+    cut = lambda n, *p: F.substring(F.sha2(F.concat_ws(chr(31), *p), 256), 1, n)
+    return records(spark, sf_dir).select("unit_id", cut(32, F.lit("trace"), "run_id", "unit_id").alias("trace_id"), cut(16, F.lit("span"), "run_id", "unit_id", F.col("attempt").cast("string")).alias("span_id"))
+
+
+@query("J5_exec_kind", f"with {CHANGED} select unit_id, case when k % 10 = 0 then 'wall_clock' when k % 10 < 4 then null when k % 10 = 4 then 'oom_gpu' when k % 10 < 6 then null when k % 10 = 6 or k > 90 then 'oom_host' else 'process_killed' end exec_kind from records")
+def exec_kind(spark, sf_dir):
+    d = F.col("k") % 10
+    text = F.when(d == 4, "x CUDA out of memory x").when(d == 6, "Killed").otherwise("")
+    kind = O.classify_exec(d == 0, F.when(d < 4, 0).when(d < 6, 1), F.when(d >= 6, 9), text, F.col("k").cast("double"), F.lit(100.0) + 1)
+    return records(spark, sf_dir).select("unit_id", kind.alias("exec_kind"))
+
+
+STEPS = """
+u as (
+  select *, case when failure_class is null or failure_class not in ('grader', 'infra') then reward end clean, coalesce(failure_class in ('grader', 'infra'), false)::int::double failed from records
+), g as (
+  select source, step, grp, count(*)::double n, sum(failed) f, count(clean)::double cn, coalesce(sum(clean), 0)::double cs from u group by all
+), s as (
+  select source, step, sum(n) n, sum(f) f, count(*) clusters, sum(cn) cn, sum(cs) cs, count(*) filter (cn > 0) cc from g group by all
+), v as (
+  select g.source, g.step, sum(pow(g.f - s.f / s.n * g.n, 2)) fv, sum(pow(g.cs - case when s.cn > 0 then s.cs / s.cn end * g.cn, 2)) cv from g join s on g.source is not distinct from s.source and g.step = s.step group by g.source, g.step
+), sds as (
+  select source, step, stddev_samp(clean) clean_sd, arg_max(unit_id, (started_at_ms, unit_id)) unit_id, max(started_at_ms) at_ms from u group by all
+), obs as (
+  select s.source, s.step, n::bigint units, f::bigint failures, clusters, case when clusters > 1 then clusters / (clusters - 1) * fv / (n * n) end failure_variance,
+    cn::bigint clean_count, case when cn > 0 then cs / cn end clean_mean, case when cc > 1 then cc / (cc - 1) * cv / (cn * cn) end clean_variance, clean_sd, unit_id, at_ms
+  from s join v on s.source is not distinct from v.source and s.step = v.step join sds on s.source is not distinct from sds.source and s.step = sds.step
+), eff as (
+  select *, case when failures = 0 or failures = units or failure_variance is null then 1.0 else least(greatest(failure_variance / ((failures / units) * (1 - failures / units) / units), 1.0), units / clusters) end design from obs
+)"""
+STEPS_SQL = STEPS
+
+
+@query("E3_E6_step_observations", f"with {CHANGED}, {STEPS_SQL} select source, step, units, failures, clusters, round(failure_variance, 6) + 0.0 failure_variance, clean_count, round(clean_mean, 6) + 0.0 clean_mean, round(clean_variance, 6) + 0.0 clean_variance, round(clean_sd, 6) + 0.0 clean_sd, unit_id, at_ms, round(design, 6) + 0.0 design from eff")
+def step_observations(spark, sf_dir):
+    o = steps.step_observations(records(spark, sf_dir)).withColumn("design", steps.design_effect()).drop("run_id")
+    real = {"failure_variance", "clean_mean", "clean_variance", "clean_sd", "design"}
+    return o.select(*[r(c).alias(c) if c in real else F.col(c) for c in o.columns])
+
+
+def fold_sql(llr: str, key: str = "source") -> str:
+    """Recursion in step order over a CTE llr (key, pos, llr)."""
+    h, one = math.log(L.HAZARD), math.log1p(-L.HAZARD)
+    return f"""
+{llr}, o as (select *, row_number() over (partition by {key} order by pos) i from llr), f as (
+  select {key}, pos, i, {h} - ({one}) + llr x from o where i = 1
+  union all
+  select o.{key}, o.pos, o.i, greatest(f.x, {h}) + ln(1 + exp(-abs(f.x - ({h})))) - ({one}) + o.llr from f join o on f.{key} is not distinct from o.{key} and o.i = f.i + 1
+)"""
+
+
+FAILURE_LLR = f"llr as (select source, step pos, (failures * ln({detect.BROKEN_RATE / detect.HEALTHY_RATE}) + (units - failures) * ({math.log1p(-detect.BROKEN_RATE) - math.log1p(-detect.HEALTHY_RATE)})) / design llr from eff)"
+REWARD_LLR = f"""
+inf as (
+  select *, pow(clean_mean - lag(clean_mean) over (partition by source order by step), 2) d2 from obs where clean_mean is not null and clean_variance is not null
+), lagged as (
+  select *, avg(clean_mean) over (partition by source order by step rows between 30 preceding and 11 preceding) loc, avg(d2) over (partition by source order by step rows between 209 preceding and 11 preceding) succ,
+    count(*) over w m, avg(clean_variance) over w usual, avg(clean_sd) over w sd from inf window w as (partition by source order by step rows between 210 preceding and 11 preceding)
+), par as (
+  select source, step pos, clean_mean y, loc, greatest(1.0, 2 * pow(m - 1, 2) / (3 * m - 4)) nu, greatest(sqrt(succ / 2 * 1.05 + greatest(0, clean_variance - usual)), 0.05 / sqrt(clean_count)) sc, 0.25 * greatest(coalesce(sd, 0), 0.05) sh from lagged where m >= 20
+), llr as (
+  select source, pos, -(nu + 1) / 2 * (ln(1 + pow((y - loc + sh) / sc, 2) / nu) - ln(1 + pow((y - loc) / sc, 2) / nu)) llr from par
+)"""
+
+
+@query("F8_failure_rate_stream", f"with recursive {CHANGED}, {STEPS_SQL}, {fold_sql(FAILURE_LLR)} select source, pos, round(x, 5) + 0.0 x from f")
+def failure_rate_stream(spark, sf_dir):
+    return detect.failure_rate_stream(steps.step_observations(records(spark, sf_dir))).select("source", "pos", r("x", 5).alias("x"))
+
+
+@query("F9_reward_stream", f"with recursive {CHANGED}, {STEPS_SQL}, {fold_sql(REWARD_LLR)} select source, pos, round(x, 5) + 0.0 x from f")
+def reward_stream(spark, sf_dir):
+    return detect.reward_stream(steps.step_observations(records(spark, sf_dir))).select("source", "pos", r("x", 5).alias("x"))
+
+
+@query("F11_failure_rate_alarms", f"with recursive {CHANGED}, {STEPS_SQL}, {fold_sql(FAILURE_LLR)} select source, min(pos) pos from f where x >= {L.ALARM_LOG_ODDS} group by source")
+def failure_rate_alarms(spark, sf_dir):
+    s = detect.failure_rate_stream(steps.step_observations(records(spark, sf_dir)))
+    return detect.first_crossing(s, ["run_id", "source"]).select("source", "pos")
+
+
+@query("F11_reward_alarms_healthy", f"with recursive {HEALTHY}, {STEPS_SQL}, {fold_sql(REWARD_LLR)} select source, min(pos) pos from f where x >= {L.ALARM_LOG_ODDS} group by source")
+def reward_alarms(spark, sf_dir):
+    s = detect.reward_stream(steps.step_observations(records(spark, sf_dir, healthy=True)))
+    return detect.first_crossing(s, ["run_id", "source"]).select("source", "pos")
+
+
+@query("F14_first_poisoned", f"with {CHANGED} select source, arg_min(unit_id, (started_at_ms, unit_id)) unit_id, min(started_at_ms) at_ms from records where failure_class in ('grader', 'infra') and reward is not null group by source")
+def first_poisoned(spark, sf_dir):
+    return detect.first_poisoned(records(spark, sf_dir)).select("source", "unit_id", "at_ms")
+
+
+BATCHES = """
+ev as (select *, cast(json_extract_string(props, '$.k') as integer) k, event_id // 50 pos from events), sq as (
+  select pos, epoch_us(ts) // 1000 ms, k + 1.0 t, value * (case when ts >= '2024-01-11' then 30 else 1 end) * 1e-5 * (k + 1) k3, (k + 1) * (1 + (k - 50) * 1e-4) ra from ev
+), tot as (select pos, count(*) n, sum(t) t, sum(k3) / sum(t) kl, sum(ra) / sum(t) ra, max(ms) ms from sq group by pos having count(*) > 1), bt as (
+  select 'run-1' run_id, tot.pos, any_value(n) sequences, any_value(tot.t) tokens, any_value(kl) kl, sqrt(any_value(n) / (any_value(n) - 1) * sum(pow(sq.k3 - kl * sq.t, 2))) / any_value(tot.t) kl_se,
+    any_value(tot.ra) ratio_mean, sqrt(any_value(n) / (any_value(n) - 1) * sum(pow(sq.ra - tot.ra * sq.t, 2))) / any_value(tot.t) ratio_se, any_value(tot.ms) at_ms from sq join tot on sq.pos = tot.pos group by tot.pos
+)"""
+
+
+def mismatch_batches(spark, sf_dir) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    c = F.when(F.col("ts") >= F.lit("2024-01-11").cast("timestamp"), 30).otherwise(1)
+    e = read_table(spark, sf_dir, "events").select(F.lit("run-1").alias("run_id"), F.expr("event_id div 50").alias("pos"), (k + 1).cast("double").alias("tokens"), (F.col("value") * c * 1e-5 * (k + 1)).alias("k3"), ((k + 1) * (1 + (k - 50) * 1e-4)).alias("ratio"))
+    return mismatch.batch_summaries(e, "run_id", "pos")
+
+
+@query("E8_mismatch_batches", f"with {BATCHES} select pos, sequences, tokens, round(kl, 9) kl, round(kl_se, 9) kl_se, round(ratio_mean, 9) ratio_mean, round(ratio_se, 9) ratio_se from bt")
+def batches(spark, sf_dir):
+    b = mismatch_batches(spark, sf_dir)
+    return b.select("pos", "sequences", "tokens", *[F.round(c, 9).alias(c) for c in ("kl", "kl_se", "ratio_mean", "ratio_se")])
+
+
+MISMATCH_LLR = f"""
+terms as (
+  select run_id, pos, ratio_se, ({math.log10(1e-2)} - ({math.log10(1e-3)})) / 0.5 * ((log10(greatest(kl, 1e-12)) - ({(math.log10(1e-3) + math.log10(1e-2)) / 2})) / 0.5) a, -0.01 / greatest(ratio_se, 1e-9) * ((ratio_mean - 0.995) / greatest(ratio_se, 1e-9)) b from bt
+), llr as (select run_id, pos, case when ratio_se = 0 then a else greatest(a, b) + ln(1 + exp(-abs(a - b))) - ln(2) end llr from terms)"""
+
+
+@query("F10_mismatch_stream", f"with recursive {BATCHES}, {fold_sql(MISMATCH_LLR, 'run_id')} select pos, round(x, 4) + 0.0 x from f")
+def mismatch_stream(spark, sf_dir):
+    return detect.mismatch_stream(mismatch_batches(spark, sf_dir)).select("pos", r("x", 4).alias("x"))
+
+
+@query("E7_sequence_sums", "with d as (select vec_id, unnest(list_transform(list_zip(embedding, list_reverse(embedding)), lambda x: least(greatest(-abs(x[1]::double) + 0.9 * abs(x[2]::double), -20), 20))) d from embeddings) select vec_id, count(*) tokens, round(sum(greatest(0, exp(d) - 1 - d)), 6) k3, round(sum(exp(d)), 6) ratio from d group by vec_id")
+def sequence_sums(spark, sf_dir):
+    train = F.transform("embedding", lambda x: -F.abs(x.cast("double")))
+    rollout = F.transform(F.reverse("embedding"), lambda x: F.lit(-0.9) * F.abs(x.cast("double")))
+    s = read_table(spark, sf_dir, "embeddings").select("vec_id", mismatch.sequence_sums(train, rollout).alias("s"))
+    return s.select("vec_id", "s.tokens", F.round("s.k3", 6).alias("k3"), F.round("s.ratio", 6).alias("ratio"))
+
+
+@query("E9_peaks", "select l_orderkey, count(*) samples, max(l_extendedprice) host, [max(l_quantity), max(100 * l_discount)]::varchar devices from lineitem group by l_orderkey")
+def peaks(spark, sf_dir):
+    p = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("samples"), F.max("l_extendedprice").alias("host"), F.max("l_quantity").alias("q"), F.max(100 * F.col("l_discount")).alias("d"))
+    return p.select("l_orderkey", "samples", "host", F.concat(F.lit("["), F.col("q").cast("string"), F.lit(", "), F.col("d").cast("string"), F.lit("]")).alias("devices"))
+
+
+SERIES = """
+cells as (select user_id run, event_type feature, day(ts) step, avg(value) v from events group by all), normal as (select * from cells where run % 6 = 0),
+pm as (select feature, step, avg(v) m, var_samp(v) va from normal group by all), ps as (select feature, greatest(coalesce(sqrt(avg(va)), 0), 0.01 * avg(abs(m)), 1e-9) sp from pm group by feature),
+z as (select run, cells.feature, count(*) n, sum((v - m) / sp) s from cells join pm on cells.feature = pm.feature and cells.step = pm.step join ps on cells.feature = ps.feature group by all),
+fa as (select run, feature, -0.5 * ln(1 + n * 0.09) + s * s * 0.09 / (2 * (1 + n * 0.09)) factor from z),
+sc as (select fa.run, any_value(top) + ln(avg(exp(factor - top))) score from fa join (select run, max(factor) top from fa group by run) t on fa.run = t.run group by fa.run)"""
+
+
+def run_series(spark, sf_dir) -> DataFrame:
+    return read_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run"), F.col("event_type").alias("feature"), F.dayofmonth("ts").alias("step")).agg(F.avg("value").alias("value"))
+
+
+def run_scores(spark, sf_dir) -> DataFrame:
+    cells = run_series(spark, sf_dir)
+    means, spreads = runscore.profile(cells.where("run % 6 = 0"))
+    return runscore.scores(runscore.shift_factors(cells, means, spreads))
+
+
+@query("E10_E13_run_scores", f"with {SERIES} select run, round(score, 6) + 0.0 score from sc")
+def scored_runs(spark, sf_dir):
+    return run_scores(spark, sf_dir).select("run", r("score").alias("score"))
+
+
+@query("E16_threshold", f"with {SERIES} select round(avg(score) + 1.5 * stddev_samp(score), 6) as threshold from sc where run % 6 = 0")
+def run_threshold(spark, sf_dir):
+    return runscore.threshold(run_scores(spark, sf_dir).where("run % 6 = 0"), 1.5).select(r("threshold").alias("threshold"))
+
+
+@query("E19_telemetry", "select user_id run, day(ts) step, count(*) n, round(avg(value), 6) mean, round(stddev_pop(value), 6) + 0.0 sd, round(count(*) filter (event_type = 'error') / count(*), 6) flag_rate from events group by all")
+def telemetry(spark, sf_dir):
+    d = read_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run"), F.dayofmonth("ts").alias("step"))
+    return d.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), r(F.stddev_pop("value")).alias("sd"), F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 6).alias("flag_rate"))
+
+
+@query("D3_as_of", f"with {BATCHES}, p as (select event_id, epoch_us(ts) // 1000 at_ms from events), h as (select ms at_ms, kl from tot) select p.event_id, round(coalesce(h.kl, 0), 9) kl from p asof left join h on p.at_ms >= h.at_ms")
+def as_of(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select(F.lit("run-1").alias("run_id"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    times = e.groupBy(F.expr("event_id div 50").alias("pos")).agg(F.max("at_ms").alias("at_ms"), F.first("run_id").alias("run_id"))
+    history = mismatch_batches(spark, sf_dir).select("pos", "kl").join(times, "pos").select("run_id", "at_ms", "kl")
+    return detect.as_of(e, history, by="run_id", time="at_ms", value="kl").select("event_id", F.round("kl", 9).alias("kl"))
+
+
+@query("X1_savings", "select c_custkey, c_nationkey * 2.5 * greatest(0.0, c_acctbal - 100 - 24) savings from customer")
+def savings(spark, sf_dir):
+    return read_table(spark, sf_dir, "customer").select("c_custkey", O.savings(F.col("c_nationkey"), F.lit(2.5), F.col("c_acctbal"), F.lit(100), F.lit(24)).alias("savings"))
