@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, chunks, keyed, restored, stored, table, word_spans
+from .common import LOWER, SPACED, chunks, keyed, restored, stored, table, tidy, word_spans
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 CELL, RUN = 20_000, 2048
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.concatenate(got) if got else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, fp long")
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, fp long")
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -125,14 +125,15 @@ def forest(fps: np.ndarray, mask_left: int = 2**64 - 1, depth: int = 0) -> np.nd
             a, b = np.nonzero(near)
             a += lo
             ok = (a < b) & (np.bitwise_count(fps[a] ^ fps[b]) <= DISTANCE)
-            for i, j in zip(a[ok].tolist(), b[ok].tolist()):
+            for link in zip(a[ok].tolist(), b[ok].tolist()):
+                i, j = link
                 while parent[i] != i:
                     parent[i] = i = parent[parent[i]]
                 while parent[j] != j:
                     parent[j] = j = parent[parent[j]]
                 if i != j:
                     parent[max(i, j)] = min(i, j)
-                    pairs.append((i, j))
+                    pairs.append(link)
         return fps[np.array(pairs, np.int64).reshape(-1, 2)]
     links = []
     for mask in _parts(bits):
@@ -216,9 +217,9 @@ def _links(level: int):
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp) that connect all that lie in one component, and no others."""
     shape = "kind int, a long, b long"
-    cells = fps.select("fp").mapInArrow(_cells, "cell long, fp long")
-    first = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(0), shape))
-    again = first.where("kind = 1").selectExpr("a cell", "b fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(1), shape)
+    cells = fps.select("fp").mapInArrow(tidy(_cells), "cell long, fp long")
+    first = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_links(0)), shape))
+    again = first.where("kind = 1").selectExpr("a cell", "b fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_links(1)), shape)
     return first.where("kind = 0").select("a", "b").unionByName(again.where("kind = 0").select("a", "b"))
 
 
