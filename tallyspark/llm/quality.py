@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, stored, table
+from .common import chunks, mix, stored, table, tidy
 
 ORDER = 4
 LOW, HIGH, SLACK = 0.005, 0.97, 1.1
@@ -89,7 +89,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                 k = keys[lo : lo + 100_000].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(sums[lo : lo + 100_000])], ["lang", "g", "c"])
 
-    return docs.select("text", "lang", "trusted").mapInArrow(run, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    return docs.select("text", "lang", "trusted").mapInArrow(tidy(run), "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
 def _null(lang: str):
@@ -109,7 +109,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
         mask = (1 << 8 * n) - 1
         tally = grams[n].groupBy("lang").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
         y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
-        cut = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.when(F.col(f"n{k + 1}") > 0, F.col(f"n{k + 1}")) / F.when(F.col(f"n{k}") > 0, F.col(f"n{k}")), F.lit(0.5 * k))))  # noqa: E731, B023
+        cut = lambda k: F.greatest(F.lit(0.1), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.when(F.col(f"n{k + 1}") > 0, F.col(f"n{k + 1}")) / F.when(F.col(f"n{k}") > 0, F.col(f"n{k}")), F.lit(0.5 * k))))  # noqa: E731, B023
         cuts = tally.select("lang", *[cut(k).alias(f"d{k}") for k in (1, 2, 3)])
         counted = grams[n].join(cuts, "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         contexts = counted.groupBy("lang", F.expr("g div 256").alias("h")).agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
@@ -182,7 +182,7 @@ def _scored_by_broadcast(docs: DataFrame, table_: DataFrame) -> DataFrame:
                     surprise[rows] = -np.add.reduceat(tables[name](keys).astype(np.float64), bounds[:-1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("trusted"), pa.array(n), pa.array(surprise, from_pandas=True)], ["doc_id", "lang", "trusted", "n_symbols", "surprise"])
 
-    return docs.select("doc_id", "text", "lang", "trusted").mapInArrow(run, _SCORED)
+    return docs.select("doc_id", "text", "lang", "trusted").mapInArrow(tidy(run), _SCORED)
 
 
 def _scored_by_join(docs: DataFrame, table_: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def _scored_by_join(docs: DataFrame, table_: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(at), pa.array(["\0" if lang is None else lang] * len(c), pa.string()), pa.array((both & np.uint64(2**32 - 1)).astype(np.int64)), pa.array(c)], ["row", "l", "g", "n"])
 
     numbered = stored(docs.select("doc_id", "text", "lang", "trusted").withColumn("row", F.monotonically_increasing_id()))
-    own = numbered.mapInArrow(run, "row long, l string, g long, n long")
+    own = numbered.mapInArrow(tidy(run), "row long, l string, g long, n long")
     sums = own.join(table_, (own["l"] == table_["lang"]) & (own["g"] == table_["g"]), "left").groupBy("row").agg(F.sum("n").alias("n_symbols"), F.sum(-F.col("n") * F.col("logp").cast("double")).alias("surprise"))
     return numbered.drop("text").join(sums, "row").select("doc_id", "lang", "trusted", "n_symbols", "surprise")
 
