@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 NAMES = {"system": "System", "user": "User", "assistant": "Assistant"}
@@ -127,7 +127,7 @@ def chat_windows(df: DataFrame, *, budget: int = 1024, history: int = 256, token
         yield pa.RecordBatch.from_pylist(rows, _windows)
 
     turns = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(tidy(run), WINDOWS)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def read_back(windows: DataFrame) -> DataFrame:
             end()
         yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return windows.mapInArrow(run, schema)
+    return windows.mapInArrow(tidy(run), schema)
 
 
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -137,6 +139,16 @@ def run_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return span_hashes(values, at, at + k)
 
 
-def batches(df: DataFrame, f, schema: str) -> DataFrame:
-    """df through f, a function from Arrow batches to Arrow batches."""
-    return df.mapInArrow(f, schema)
+def tidy(f):
+    """f, a function over Arrow batches, that gives its memory back to the system at the end: workers are used again."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run

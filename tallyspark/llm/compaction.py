@@ -74,7 +74,7 @@ class ShardStore:
         """The shards of one write: its files, without those that hold no row."""
         folder = f"{self.root}/data/{name}"
         delete(self.spark, folder)
-        df.write.parquet(folder)
+        df.write.option("parquet.block.size", 32 << 20).parquet(folder)
         files = {x.getPath().getName(): x.getLen() for x in self.fs.listStatus(self.path(folder)) if x.getPath().getName().startswith("part-")}
         full = [r[0] for r in self.spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_name")).count().collect()]
         return [{"id": f"{name}-{k:05d}", "path": f"{folder}/{f}", "bytes": files[f]} for k, f in enumerate(sorted(full))]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, chunks, keyed, restored, span_hashes, table, word_spans
+from .common import ALNUM, LOWER, chunks, keyed, restored, span_hashes, table, tidy, word_spans
 
 WINDOW, LANE, TABLE_BITS = 10, 256, 18
 #: Patterns in a broadcast; about 150 bytes each.
@@ -146,7 +146,7 @@ def find_patterns(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         return run
 
     def flush(by_size):
-        passes.append(docs.select("id", "text").mapInArrow(finder(spark.sparkContext.broadcast([by_size[k] for k in sorted(by_size)])), f"id long, {_found}"))
+        passes.append(docs.select("id", "text").mapInArrow(tidy(finder(spark.sparkContext.broadcast([by_size[k] for k in sorted(by_size)]))), f"id long, {_found}"))
 
     by_size, held = defaultdict(dict), 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("string")).toLocalIterator():  # one partition at a time
@@ -191,7 +191,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WI
 
     def flush():
         nonlocal docs, held
-        docs = docs.mapInArrow(cleaner(spark.sparkContext.broadcast([by_size[k] for k in sorted(by_size)])), schema)
+        docs = docs.mapInArrow(tidy(cleaner(spark.sparkContext.broadcast([by_size[k] for k in sorted(by_size)]))), schema)
         by_size.clear()
         held = 0
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 
 #: Magic bytes of public formats, with the format and the magic's offset in it.
 MAGIC = [
@@ -252,12 +252,12 @@ STORED = "doc_id long, n_bytes long, media binary, declared string"
 
 def store_texts(df: DataFrame) -> DataFrame:
     """(doc_id, text) as (doc_id, n_bytes, media, declared): each whole text as a WAV file."""
-    return df.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_stored, STORED)
+    return df.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(_stored), STORED)
 
 
 def sniff_media(df: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media, declared) with detected and corrected type and the embedded media (type, offset, length)."""
-    return df.select("doc_id", "n_bytes", "media", "declared").mapInArrow(_sniffed, f"{STORED}, detected string, type string, embedded array<struct<type:string,offset:long,length:long>>")
+    return df.select("doc_id", "n_bytes", "media", "declared").mapInArrow(tidy(_sniffed), f"{STORED}, detected string, type string, embedded array<struct<type:string,offset:long,length:long>>")
 
 
 def carve(df: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def op2_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "documents")
         .selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-        .mapInArrow(lambda b: _digests(_sniffed(_stored(b))), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        .mapInArrow(tidy(lambda b: _digests(_sniffed(_stored(b)))), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     )
 
 

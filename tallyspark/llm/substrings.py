@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACED, chunks, keyed, restored, run_hashes, span_hashes, table, text_buffers, word_spans
+from .common import SPACED, chunks, keyed, restored, run_hashes, span_hashes, table, text_buffers, tidy, word_spans
 
 WINDOW, ANCHOR, HOT = 20, 8, 1000
 
@@ -237,19 +237,19 @@ def _cut(batches):
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(id, th, spans) of the rows (id, th, text) that lose words."""
-    places = docs.mapInArrow(_anchor_rows, "anchor long, id long, th long, n int")
+    places = docs.mapInArrow(tidy(_anchor_rows), "anchor long, id long, th long, n int")
     by = W.partitionBy("anchor")
     repeated = places.repartition("anchor").select("id", "th", "anchor", F.sum("n").over(by).alias("all"), F.count("*").over(by).alias("docs")).where("all > 1")
     flags = repeated.groupBy("id", "th").agg(F.collect_list("anchor").alias("known"), F.collect_list(F.col("docs") > HOT).alias("hot"))
-    segments = docs.join(flags, ["id", "th"]).select("id", "th", "text", "known", "hot").mapInArrow(_segments, _SEGMENTS)
-    spans = segments.repartition("shard").sortWithinPartitions("shard", "id", "th", "start").mapInArrow(_removed, "id long, th long, start int, end int")
+    segments = docs.join(flags, ["id", "th"]).select("id", "th", "text", "known", "hot").mapInArrow(tidy(_segments), _SEGMENTS)
+    spans = segments.repartition("shard").sortWithinPartitions("shard", "id", "th", "start").mapInArrow(tidy(_removed), "id long, th long, start int, end int")
     return spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def dedup_substrings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kept: the kept words' bytes joined by one space, n_words, n_removed) of each row."""
     docs = keyed(df, id_col, text_col).select("id", F.xxhash64("text").alias("th"), "text")
-    out = docs.join(removed_spans(docs), ["id", "th"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, kept binary, n_words long, n_removed long")
+    out = docs.join(removed_spans(docs), ["id", "th"], "left").select("id", "text", "spans").mapInArrow(tidy(_cut), "id long, kept binary, n_words long, n_removed long")
     return out.select(restored().alias(id_col), "kept", "n_words", "n_removed")
 
 

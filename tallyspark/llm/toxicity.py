@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, span_hashes, table
+from .common import mix, span_hashes, table, tidy
 
 #: At most so many labelled texts of each class are fitted on: those first by a hash of doc_id.
 SAMPLE = 2500
@@ -29,7 +29,7 @@ BUCKETS, DIM, GRAMS, THRESHOLD = 1 << 18, 8, (3, 4, 5, 6), 0.3
 #: N-grams in a smaller share of the sample's texts than this aren't learned from: they would memorise single texts.
 MIN_SHARE = 0.01
 #: Words whose scores a Python worker keeps.
-CACHE = 400_000
+CACHE = 150_000
 _word = re.compile(r"\w+")
 
 
@@ -61,40 +61,65 @@ class _Sparse:
     """A sparse matrix as row runs, times a vector from the right (times) or the left (under)."""
 
     def __init__(self, cols, offs, vals, n_cols):
-        self.cols, self.offs, self.vals, self.n_cols = cols, offs, vals, n_cols
-        self.full = np.flatnonzero(np.diff(offs))
-        self.rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        self.cols, self.offs, self.vals, self.n_cols = cols.astype(np.int32), offs, vals.astype(np.float32), n_cols
+
+    def _parts(self):
+        """Runs of rows with about a million entries."""
+        lo, n = 0, len(self.offs) - 1
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(self.offs, self.offs[lo] + 1_000_000, "right")) - 1)
+            yield lo, hi, slice(self.offs[lo], self.offs[hi])
+            lo = hi
 
     def times(self, v):
         out = np.zeros(len(self.offs) - 1)
-        if len(self.full):
-            out[self.full] = np.add.reduceat(v[self.cols] * self.vals, self.offs[self.full])
+        for lo, hi, part in self._parts():
+            full = lo + np.flatnonzero(np.diff(self.offs[lo : hi + 1]))
+            if len(full):
+                out[full] = np.add.reduceat(v[self.cols[part]] * self.vals[part], self.offs[full] - self.offs[lo])
         return out
 
     def under(self, v):
-        return np.bincount(self.cols, v[self.rows] * self.vals, self.n_cols)
+        out = np.zeros(self.n_cols)
+        for lo, hi, part in self._parts():
+            out += np.bincount(self.cols[part], np.repeat(v[lo:hi], np.diff(self.offs[lo : hi + 1])) * self.vals[part], self.n_cols)
+        return out
 
 
 def train(texts: list[str | None], labels: np.ndarray, share: float, *, steps: int = 120, rate: float = 0.3, decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float, float]:
     """(score of each bucket, slope, intercept); share: of toxic among all labels, for calibration."""
     labels = np.asarray(labels, np.float32)
-    bags = [words_of(t) for t in texts]
-    vocabulary = {w: k for k, w in enumerate(sorted(set().union(*bags)))} if bags else {}
+    vocabulary: dict[str, int] = {}
+    ids, parts, sizes = [], [], []
+    for t in texts:  # one bag at a time: bags of all texts would take many times the texts' memory
+        bag = words_of(t)
+        ids.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in bag), np.int32, len(bag)))
+        parts.append(np.fromiter(bag.values(), np.float32, len(bag)) / max(1, bag.total()))
+        sizes.append(len(bag))
     if not vocabulary or labels.min() == labels.max():
         p = min(max(share, 1e-6), 1 - 1e-6)
         return np.zeros(BUCKETS, np.float32), 0.0, float(np.log(p / (1 - p)) if share > 0 else -30.0)
-    buckets, offs = subwords(list(vocabulary))
-    texts_of = Counter(w for b in bags for w in b)
-    often = np.bincount(buckets, np.repeat(np.fromiter((texts_of[w] for w in vocabulary), np.int64, len(vocabulary)), np.diff(offs)), BUCKETS) >= max(2, MIN_SHARE * len(bags))
-    keep, share_of = often[buckets], 1 / np.repeat(np.diff(offs), np.diff(offs))
-    offs = np.concatenate([[0], np.cumsum(keep)])[offs]
-    used, local = np.unique(buckets[keep], return_inverse=True)
-    if not len(used):
-        used, local = np.zeros(1, np.int32), local.astype(np.int64)
-    grams = _Sparse(local.astype(np.int32), offs, share_of[keep], len(used))
-    sizes = np.array([len(b) for b in bags])
-    docs = _Sparse(np.fromiter((vocabulary[w] for b in bags for w in b), np.int32, sizes.sum()), np.concatenate([[0], np.cumsum(sizes)]), np.fromiter((n / max(1, b.total()) for b in bags for n in b.values()), np.float32, sizes.sum()), len(vocabulary))
-    fit = np.arange(len(bags)) % 5 != 4
+    docs = _Sparse(np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(parts), len(vocabulary))
+    texts_of = np.bincount(docs.cols, minlength=len(vocabulary))
+    del ids, parts
+    names, pieces, heads, often = list(vocabulary), [], [], np.zeros(BUCKETS)
+    for lo in range(0, len(names), 20_000):
+        buckets, offs = subwords(names[lo : lo + 20_000])
+        often += np.bincount(buckets, np.repeat(texts_of[lo : lo + 20_000], np.diff(offs)), BUCKETS)
+        pieces.append(buckets)
+        heads.append(np.diff(offs))
+    del names, vocabulary
+    buckets, lens = np.concatenate(pieces), np.concatenate(heads)
+    del pieces, heads
+    keep = (often >= max(2, MIN_SHARE * len(texts)))[buckets]
+    share_of = np.repeat((1 / lens).astype(np.float32), lens)[keep]
+    offs = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lens)])]
+    buckets = buckets[keep]
+    used = np.unique(buckets)
+    grams = _Sparse(np.searchsorted(used, buckets), offs, share_of, max(1, len(used)))
+    used = used if len(used) else np.zeros(1, np.int32)
+    del buckets, keep, share_of
+    fit = np.arange(len(texts)) % 5 != 4
     weight = fit * np.where(labels > 0, 0.5 / max(1, labels[fit].sum()), 0.5 / max(1, (1 - labels[fit]).sum()))
     # Logits differ by the texts' mean vectors times (soft[1] - soft[0]), so both gradients follow from one residual
     # for each text. Steps of the embeddings are scaled by their n-grams' frequency, as in diagonal discriminants.
@@ -151,8 +176,8 @@ class Scorer:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = list({w for b in bags for w in b})
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
+        for lo in range(0, len(new), 10_000):
+            part = new[lo : lo + 10_000]
             grams, offs = subwords(part)
             known.update(zip(part, (np.add.reduceat(self.buckets[grams], offs[:-1]) / np.diff(offs)).tolist()))
         out = []
@@ -185,11 +210,11 @@ def score_toxicity(docs: DataFrame, model, *, threshold: float = THRESHOLD) -> D
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 250):
+                part = batch.slice(lo, 250)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scorer(part.column(2).to_pylist()), pa.float64())], ["doc_id", "held_out", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -201,11 +226,11 @@ def drop_toxic(docs: DataFrame, model, *, threshold: float = THRESHOLD) -> DataF
         scorer = Scorer(shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 250):
+                part = batch.slice(lo, 250)
                 yield part.filter(pa.array([s < threshold for s in scorer(part.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
