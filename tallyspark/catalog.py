@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import likelihood as L
 from .functions import outcome as O
-from .operators import detect, mismatch, runscore, steps, windows
+from .operators import detect, evaluate, mismatch, runscore, steps, validate, windows
 from .sources.events import CHANGED, HEALTHY, read_table, records
 
 QUERIES, ORACLE = {}, {}
@@ -298,3 +298,145 @@ def as_of(spark, sf_dir):
 @query("X1_savings", "select c_custkey, c_nationkey * 2.5 * greatest(0.0, c_acctbal - 100 - 24) savings from customer")
 def savings(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").select("c_custkey", O.savings(F.col("c_nationkey"), F.lit(2.5), F.col("c_acctbal"), F.lit(100), F.lit(24)).alias("savings"))
+
+
+VIOLATIONS_SQL = rf"""
+with {CHANGED}, b as (
+  select event_id, case when k % 20 = 1 then '-' else '' end || unit_id unit_id, case when k % 20 = 2 then 0 else 1 end attempt, kind, action, started_at_ms, case when k % 20 = 3 then started_at_ms - 1 else ended_at_ms end ended_at_ms,
+    case when failure_kind is null or k % 20 = 4 then 'ok' else 'failed' end outcome, failure_kind, case when k % 20 = 5 then 'nan'::double when k % 20 = 6 then 1.0 when k % 20 <> 7 then reward end reward
+  from records join (select event_id, 'u-' || lpad(event_id::varchar, 8, '0') uid from events) e on uid = unit_id
+), rules as (
+  select event_id, unnest([case when not regexp_full_match(unit_id, '[A-Za-z0-9][A-Za-z0-9_.-]{{0,127}}') then 'V2' end, case when attempt < 1 then 'V3' end, case when ended_at_ms < started_at_ms then 'V4' end,
+    case when (outcome = 'failed') <> (failure_kind is not null) then 'V5' end, case when (outcome = 'ok') <> (action = 'score') then 'V6' end, case when action = 'zero' and reward is distinct from 0.0 then 'V7' end,
+    case when action in ('mask', 'retry', 'abort') and reward is not null then 'V8' end, case when action = 'score' and kind in ('eval', 'trajectory') and reward is null then 'V9' end, case when not isfinite(reward) then 'V10' end]) as rule from b
+) select event_id, rule from rules where rule is not null
+"""
+
+
+@query("V2_V10_violations", VIOLATIONS_SQL)
+def row_violations(spark, sf_dir):
+    d, t = records(spark, sf_dir), F.col("k") % 20
+    d = d.withColumn("event_id", F.substring("unit_id", 3, 8).cast("long")).withColumn("outcome", F.when(F.col("failure_kind").isNull() | (t == 4), "ok").otherwise("failed"))
+    d = d.withColumn("unit_id", F.concat(F.when(t == 1, "-").otherwise(""), "unit_id")).withColumn("attempt", F.when(t == 2, 0).otherwise(1))
+    d = d.withColumn("ended_at_ms", F.when(t == 3, F.col("started_at_ms") - 1).otherwise(F.col("ended_at_ms")))
+    d = d.withColumn("reward", F.when(t == 5, float("nan")).when(t == 6, 1.0).when(t != 7, F.col("reward")))
+    return validate.violations(d, "event_id")
+
+
+@query("V17_duplicates", "select user_id, event_type, count(*) n from events group by all having count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return validate.duplicates(read_table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+ATTRIBUTION_SQL = f"""
+with recursive {HEALTHY}, {STEPS_SQL}, {BATCHES}, fr as (with recursive {fold_sql(FAILURE_LLR)} select * from f), rw as (with recursive {fold_sql(REWARD_LLR)} select * from f), mm as (with recursive {fold_sql(MISMATCH_LLR, 'run_id')} select * from f),
+alarms as (select source, min(pos) pos from rw where x >= {L.ALARM_LOG_ODDS} group by source), nums as (
+  select source, step, at_ms, row_number() over w i, count(*) over (partition by source) n from obs window w as (partition by source order by step)
+), hits as (
+  select a.source, a.pos, t.at_ms, 1 / (1 + exp(-fr.x)) pf from alarms a join nums o on o.source is not distinct from a.source and o.step = a.pos
+    join nums t on t.source is not distinct from a.source and t.i = least(o.i + 5, o.n) join fr on fr.source is not distinct from a.source and fr.pos = t.step
+), history as (select bt.at_ms, 1 / (1 + exp(-mm.x)) pm from mm join bt on bt.pos = mm.pos), p as (
+  select hits.*, coalesce(h.pm, 0.0) pm, 1 - (1 - pf) * (1 - coalesce(h.pm, 0.0)) pc from hits asof left join history h on hits.at_ms >= h.at_ms
+) select source, pos, at_ms, round(pf, 6) + 0.0 failure_rate_probability, round(pm, 6) + 0.0 mismatch_probability, round(pc, 6) + 0.0 configuration_probability, case when pc >= 0.999 then 'configuration' when pc < 0.5 then 'algorithm' else 'undetermined' end verdict from p
+"""
+
+
+def reward_attributions(spark, sf_dir) -> DataFrame:
+    o = steps.step_observations(records(spark, sf_dir, healthy=True))
+    alarms = detect.first_crossing(detect.reward_stream(o), ["run_id", "source"]).drop("x")
+    times = read_table(spark, sf_dir, "events").groupBy(F.expr("event_id div 50").alias("pos")).agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("at_ms"))
+    history = detect.mismatch_stream(mismatch_batches(spark, sf_dir)).join(times, "pos").select("run_id", "at_ms", L.sigmoid(F.col("x")).alias("probability"))
+    return detect.attributed(alarms, o, detect.failure_rate_stream(o), history)
+
+
+@query("F12_D6_attribution", ATTRIBUTION_SQL)
+def attribution(spark, sf_dir):
+    return reward_attributions(spark, sf_dir).select("source", "pos", "at_ms", *[r(c).alias(c) for c in ("failure_rate_probability", "mismatch_probability", "configuration_probability")], "verdict")
+
+
+@query("E22_verdicts", f"select verdict, count(*) n from ({ATTRIBUTION_SQL}) group by verdict")
+def verdicts(spark, sf_dir):
+    return reward_attributions(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def factor_sql(by: str) -> str:
+    """Scores sc of cells by the profile of rows train, both with the columns by."""
+    on = lambda a, b: " and ".join(f"{a}.{c.strip()} = {b}.{c.strip()}" for c in by.split(","))
+    cols = ", ".join(f"c.{c.strip()}" for c in by.split(","))
+    return f"""
+pm as (select {by}, feature, step, avg(v) m, var_samp(v) va from train group by all), ps as (select {by}, feature, greatest(coalesce(sqrt(avg(va)), 0), 0.01 * avg(abs(m)), 1e-9) sp from pm group by all),
+z as (select {cols}, c.run, c.feature, count(*) n, sum((v - m) / sp) s from cells c join pm on {on('c', 'pm')} and c.feature = pm.feature and c.step = pm.step join ps on {on('c', 'ps')} and c.feature = ps.feature group by all),
+fa as (select z.*, -0.5 * ln(1 + n * 0.09) + s * s * 0.09 / (2 * (1 + n * 0.09)) factor from z),
+sc as (select {by}, run, max(factor) + ln(sum(exp(factor - top)) / count(*)) score from (select *, max(factor) over (partition by run) top from fa) group by all)"""
+
+
+FOLDS_SQL = f"""
+with cells as (select user_id run, (user_id // 6) % 5 fold, event_type feature, day(ts) step, avg(value) v from events where user_id % 6 = 0 group by all),
+train as (select run, feature, step, v, f.fold from cells join (select unnest(range(5)) fold) f on f.fold <> cells.fold), {factor_sql('fold')}
+select run, fold::bigint fold, round(score, 6) + 0.0 score from sc
+"""
+
+
+@query("E15_D8_out_of_sample", FOLDS_SQL)
+def out_of_sample(spark, sf_dir):
+    normals = run_series(spark, sf_dir).where("run % 6 = 0").withColumn("fold", F.expr("(run div 6) % 5"))
+    return runscore.out_of_sample_scores(normals).select("run", F.col("fold").cast("long").alias("fold"), r("score").alias("score"))
+
+
+GRAINS_SQL = f"""
+with base as (select user_id run, 't' || (user_id % 3) task, 'b' || ((user_id // 12) % 4) batch, event_type feature, day(ts) step, avg(value) v from events group by all),
+normal as (select * from base where run % 4 = 0), nr as (select distinct run, task, batch from normal),
+grain as (select b.run, (select count(*) from nr where nr.task = b.task and nr.batch = b.batch) fine, (select count(*) from nr where nr.task = b.task) coarse, b.task, b.batch from (select distinct run, task, batch from base) b),
+chosen as (select run, case when fine >= 5 then 2 when coarse >= 2 then 1 else 0 end depth, case when fine >= 5 or coarse >= 2 then task else '' end task, case when fine >= 5 then batch else '' end batch from grain),
+cells as (select base.run, depth, chosen.task, chosen.batch, feature, step, v from base join chosen on base.run = chosen.run),
+copies as (select run, 2 depth, task, batch, feature, step, v from normal union all select run, 1, task, '', feature, step, v from normal union all select run, 0, '', '', feature, step, v from normal),
+train as (select c.* from copies c join (select depth, task, batch from copies group by all having count(distinct run) >= 2) e on c.depth = e.depth and c.task = e.task and c.batch = e.batch), {factor_sql('depth, task, batch')}
+select run, depth, task, batch, round(score, 6) + 0.0 score from sc
+"""
+
+
+@query("E17_D9_grain_scores", GRAINS_SQL)
+def grain_scores(spark, sf_dir):
+    cells = run_series(spark, sf_dir).withColumn("task", F.concat(F.lit("t"), (F.col("run") % 3).cast("string"))).withColumn("batch", F.concat(F.lit("b"), F.expr("cast((run div 12) % 4 as string)")))
+    normals = cells.where("run % 4 = 0")
+    chosen = runscore.chosen_grain(cells.select("run", "task", "batch").distinct(), normals)
+    means, spreads = runscore.grain_profiles(normals)
+    values = cells.drop("task", "batch").join(chosen, "run")
+    return runscore.scores(runscore.shift_factors(values, means, spreads, *runscore.GRAIN), *runscore.GRAIN).select("run", "depth", "task", "batch", r("score").alias("score"))
+
+
+CONFUSION_SQL = """
+with runs as (select case when c_nationkey % 5 > 0 then 'f' || (c_nationkey % 5) end family, case when c_custkey % 2 = 0 then 'easy' else 'hard' end setting, c_nationkey % 5 > 0 and c_custkey % 7 > 0 faulty, c_acctbal > 4000 flagged from customer),
+t as (select g.family, g.setting, count(*) filter (flagged and faulty) tp, count(*) filter (flagged and not faulty) fp, count(*) filter (not flagged and faulty) fn from (select distinct family, setting from runs where family is not null) g join runs on runs.family is null or runs.family = g.family and runs.setting = g.setting group by all),
+p as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end "precision", case when tp + fn > 0 then tp / (tp + fn) else 0.0 end recall from t)
+select family, setting, tp, fp, fn, round("precision", 6) "precision", round(recall, 6) recall, round(case when "precision" + recall > 0 then 2 * "precision" * recall / ("precision" + recall) else 0.0 end, 6) f1 from p
+"""
+
+
+@query("E18_D7_confusion", CONFUSION_SQL)
+def confusion(spark, sf_dir):
+    nation, cust = F.col("c_nationkey") % 5, F.col("c_custkey")
+    runs = read_table(spark, sf_dir, "customer").select(F.when(nation > 0, F.concat(F.lit("f"), nation.cast("string"))).alias("family"), F.when(cust % 2 == 0, "easy").otherwise("hard").alias("setting"), ((nation > 0) & (cust % 7 > 0)).alias("faulty"), (F.col("c_acctbal") > 4000).alias("flagged"))
+    t = evaluate.confusion(runs)
+    return t.select("family", "setting", "tp", "fp", "fn", *[r(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("E20_delay_summary", f"with {CHANGED}, d as (select grp scenario, case when k % 10 > 0 then k % 37 end delay from records) select scenario, count(*) total, count(*) filter (delay is null) missed, median(delay)::double median, list_sort(list(delay) filter (delay is not null))[1 + least(count(delay) - 1, floor(0.9::double * count(delay))::bigint)]::bigint p90 from d group by scenario")
+def delay_summary(spark, sf_dir):
+    d = records(spark, sf_dir).select(F.col("grp").alias("scenario"), F.when(F.col("k") % 10 > 0, F.col("k") % 37).alias("delay"))
+    return evaluate.delay_summary(d, "scenario").select("scenario", "total", "missed", F.col("median").cast("double").alias("median"), F.col("p90").cast("long").alias("p90"))
+
+
+@query("E21_class_counts", f"with {CHANGED} select grp, count(*) filter (failure_class = 'agent') agent, count(*) filter (failure_class = 'grader') grader, count(*) filter (failure_class = 'infra') infra, count(*) filter (failure_class = 'none') \"none\" from records group by grp")
+def class_counts(spark, sf_dir):
+    return evaluate.counts_by(records(spark, sf_dir), "grp", "failure_class", ["agent", "grader", "infra", "none"])
+
+
+@query("E23_distinct_steps", f"with {CHANGED} select source, count(distinct step) steps, count(distinct grp) clusters from records group by source")
+def distinct_steps(spark, sf_dir):
+    return records(spark, sf_dir).groupBy("source").agg(F.countDistinct("step").alias("steps"), F.countDistinct("grp").alias("clusters"))
+
+
+@query("D10_group_fill", f"with {CHANGED} select unit_id, round(coalesce(reward, avg(reward) over (partition by step, grp), 0.0), 6) filled from records")
+def group_fill(spark, sf_dir):
+    return records(spark, sf_dir).select("unit_id", r(evaluate.group_fill(F.col("reward"), "step", "grp")).alias("filled"))

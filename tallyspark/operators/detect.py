@@ -77,3 +77,25 @@ def as_of(probes: DataFrame, history: DataFrame, *, by: str, time: str, value: s
     w = W.partitionBy(by).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
     seen = F.max(F.col("_side") == 0).over(W.partitionBy(by))
     return both.withColumn(value, F.when(seen, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(0.0)))).where("_side = 1").drop("_side")
+
+
+ATTRIBUTION_STEPS, EVEN_ODDS = 5, 0.5
+
+
+def attributed(alarms: DataFrame, observations: DataFrame, failure_stream: DataFrame, history: DataFrame) -> DataFrame:
+    """Reward alarms (run_id, source, pos, ...) with the probability that the configuration changed, and a verdict.
+
+    The failure rate's log odds and the time are those of ATTRIBUTION_STEPS observations later, or of the last one;
+    history (run_id, at_ms, probability) is the mismatch stream, looked up as of that time."""
+    by = W.partitionBy("run_id", "source").orderBy("step")
+    stream = failure_stream.select("run_id", F.col("source").alias("_source"), F.col("pos").alias("step"), F.col("x").alias("_x"))
+    o = observations.select("run_id", "source", "step", "at_ms")
+    o = o.join(stream, (o.run_id == stream.run_id) & o.source.eqNullSafe(F.col("_source")) & (o.step == stream.step)).select(o.run_id, "source", o.step, F.struct("at_ms", F.col("_x").alias("x")).alias("now"))
+    last = F.last("now").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    o = o.select(F.col("run_id").alias("_run"), F.col("source").alias("_source"), "step", F.coalesce(F.lead("now", ATTRIBUTION_STEPS).over(by), last).alias("then"))
+    hit = alarms.join(o, (alarms.run_id == F.col("_run")) & alarms.source.eqNullSafe(F.col("_source")) & (alarms.pos == F.col("step")))
+    hit = hit.select(*[alarms[c] for c in alarms.columns], L.sigmoid(F.col("then.x")).alias("failure_rate_probability"), F.col("then.at_ms").alias("at_ms"))
+    hit = as_of(hit, history.withColumnRenamed("probability", "mismatch_probability"), by="run_id", time="at_ms", value="mismatch_probability")
+    p = 1 - (1 - F.col("failure_rate_probability")) * (1 - F.coalesce("mismatch_probability", F.lit(0.0)))
+    verdict = F.when(p >= L.ALARM, "configuration").when(p < EVEN_ODDS, "algorithm").otherwise("undetermined")
+    return hit.withColumn("configuration_probability", p).withColumn("verdict", verdict)

@@ -31,3 +31,38 @@ def scores(factors: DataFrame, *by: str) -> DataFrame:
 
 def threshold(normal_scores: DataFrame, multiplier: float) -> DataFrame:
     return normal_scores.agg((F.avg("score") + multiplier * F.stddev_samp("score")).alias("threshold"))
+
+
+def out_of_sample_scores(normals: DataFrame, folds: int = 5, *, prior_scale: float = PRIOR_SCALE) -> DataFrame:
+    """The score of each run of normals (run, fold, feature, step, value) by the profile of the other folds."""
+    if folds < 2:
+        raise ValueError("folds must be at least 2")
+    others = F.explode(F.filter(F.array(*[F.lit(k) for k in range(folds)]), lambda k: k != F.col("fold")))
+    means, spreads = profile(normals.withColumn("_other", others).drop("fold").withColumnRenamed("_other", "fold"), "fold")
+    return scores(shift_factors(normals, means, spreads, "fold", prior_scale=prior_scale), "fold")
+
+
+GRAIN = ("depth", "task", "batch")
+
+
+def _grains(df: DataFrame) -> DataFrame:
+    """Each row at the grains (task, batch), (task) and all; absent levels are ''."""
+    level = lambda depth, task, batch: F.struct(F.lit(depth).alias("depth"), task.alias("task"), batch.alias("batch"))
+    task, batch, none = F.col("task"), F.col("batch"), F.lit("")
+    return df.withColumn("_grain", F.explode(F.array(level(2, task, batch), level(1, task, none), level(0, none, none)))).drop("task", "batch").select("*", "_grain.*").drop("_grain")
+
+
+def grain_profiles(normals: DataFrame, *, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Profiles of normals (run, task, batch, feature, step, value) at each grain that has so many runs."""
+    rows = _grains(normals)
+    enough = rows.groupBy(*GRAIN).agg(F.countDistinct("run").alias("runs")).where(F.col("runs") >= least).drop("runs")
+    return profile(rows.join(enough, list(GRAIN), "left_semi"), *GRAIN)
+
+
+def chosen_grain(runs: DataFrame, normals: DataFrame, *, batch_least: int = 5, task_least: int = 2) -> DataFrame:
+    """runs (run, task, batch) with the grain of their profile: the finest one with enough normal runs."""
+    n = normals.select("run", "task", "batch").distinct()
+    fine, coarse = n.groupBy("task", "batch").agg(F.count("*").alias("_fine")), n.groupBy("task").agg(F.count("*").alias("_coarse"))
+    depth = F.when(F.col("_fine") >= batch_least, 2).when(F.col("_coarse") >= task_least, 1).otherwise(0)
+    chosen = runs.join(fine, ["task", "batch"], "left").join(coarse, "task", "left").withColumn("depth", depth)
+    return chosen.select("run", "depth", F.when(F.col("depth") > 0, F.col("task")).otherwise("").alias("task"), F.when(F.col("depth") > 1, F.col("batch")).otherwise("").alias("batch"))
