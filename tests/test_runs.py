@@ -1,0 +1,81 @@
+"""Strict scans of run directories, against hand fixtures."""
+
+import copy
+import hashlib
+import json
+
+import pytest
+
+from tallyspark.operators import validate
+from tallyspark.sources import runs
+
+GOOD = {
+    "attempt": 1, "cost": {"cpu_seconds": 1, "gpu_seconds": 0.5, "tokens_in": 3, "tokens_out": 4, "usd": None}, "decision": {"action": "mask", "attempt": 1, "reason": "x"}, "ended_at_ms": 20,
+    "failure": {"evidence": ["a"], "exception_type": None, "kind": "sandbox", "message": "m", "retryable": True, "stage": "tool"}, "kind": "trajectory", "mismatch": None, "outcome": "failed",
+    "resources": {"gpu_total_bytes": [], "peak_gpu_used_bytes": [], "peak_host_rss_bytes": 0, "sample_count": 0}, "reward": None, "run_id": "r", "schema_version": 2, "source": None, "started_at_ms": 10, "tags": [["step", "3"]], "unit_id": "u1",
+}
+
+
+def changed(path, value=..., **extra):
+    d = copy.deepcopy(GOOD)
+    *way, last = path.split(".")
+    at = d
+    for k in way:
+        at = at[k]
+    if value is ...:
+        del at[last]
+    else:
+        at[last] = value
+    return d | extra
+
+
+V1 = {k: v for k, v in GOOD.items() if k != "mismatch"} | {"schema_version": 1}
+CASES = [
+    (GOOD, None), (V1, None), (changed("reward", 1), None), (changed("failure", None), None), (changed("tags", []), None),
+    (changed("attempt", True), "record.attempt"), (changed("attempt", 1.0), "record.attempt"), (changed("reward", "1"), "record.reward"), (changed("source"), "record"), (changed("zz", 1), "record"),
+    (changed("schema_version", 3), "record.schema_version"), (GOOD | {"schema_version": 1}, "record"), (changed("kind", "other"), "record.kind"), (changed("failure.kind", "x"), "record.failure.kind"),
+    (changed("failure.more", 1), "record.failure"), (changed("cost.tokens_in", 2**70), "record.cost.tokens_in"), (changed("cost", None), "record.cost"), (changed("failure.evidence", [None]), "record.failure.evidence"),
+    (changed("tags", [["a"]]), "record.tags"), (changed("tags", [["a", 1]]), "record.tags"), ([1], "record"), ("x", "record"),
+]
+
+
+def test_strict_parse(spark):
+    texts = spark.createDataFrame([(json.dumps(d), f"f{k:02}") for k, (d, _) in enumerate(CASES)] + [("{", "f98"), ("", "f99")], "value string, file_name string")
+    got = {r.file_name: r.problem for r in runs.parse_records(texts, keep_bad=True).collect()}
+    assert got == {f"f{k:02}": p for k, (_, p) in enumerate(CASES)} | {"f98": "record", "f99": "record"}
+
+
+def test_scan_and_sink(spark, tmp_path):
+    (tmp_path / "records").mkdir()
+    (tmp_path / "started").mkdir()
+    for name, d in {"b.json": GOOD | {"unit_id": "u2"}, "a.json": V1, ".hidden.json": 1, "note.txt": 2}.items():
+        (tmp_path / "records" / name).write_text(json.dumps(d))
+    (tmp_path / "started" / "u--x--02").write_text("123\n")
+    got = runs.scan_run(spark, str(tmp_path))
+    assert [(r.unit_id, r.schema_version, r.tags, r.cost.cpu_seconds) for r in got.collect()] == [("u1", 2, {"step": "3"}, 1.0), ("u2", 2, {"step": "3"}, 1.0)]
+    assert [tuple(r) for r in runs.scan_markers(spark, str(tmp_path)).collect()] == [("u--x", 2, 123)]
+    runs.write_flat(got, str(tmp_path / "flat"))
+    back = spark.read.parquet(str(tmp_path / "flat"))
+    assert len(back.columns) == 21 and {r.failure_class for r in back.collect()} == {"infra"}
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        runs.write_flat(got, str(tmp_path / "flat"))
+    assert validate.violations(runs.flat(got).withColumnRenamed("decision", "action"), "unit_id").count() == 0
+    (tmp_path / "records" / "c.json").write_text("{}")
+    with pytest.raises(Exception, match="c.json: record"):
+        runs.scan_run(spark, str(tmp_path)).collect()
+
+
+def test_steps(spark, tmp_path):
+    for k in (1, 2, 10):
+        (tmp_path / f"records-{k}.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert sorted(r.step for r in runs.scan_steps(spark, str(tmp_path), last_step=2).collect()) == [1, 1, 2, 2]
+
+
+def test_spans(spark):
+    texts = spark.createDataFrame([(json.dumps(changed("reward", None)), "a")], "value string, file_name string")
+    s = json.loads(runs.spans(runs.parse_records(texts), "test").first().span)
+    assert (s["name"], s["kind"], s["startTimeUnixNano"], s["status"]) == ("invoke_agent", 1, "10000000", {"code": 2, "message": "m"})
+    assert s["traceId"] == hashlib.sha256(b"test\0r\0u1").hexdigest()[:32] and s["spanId"] == hashlib.sha256(b"test\0r\0u1\x001").hexdigest()[:16]
+    keys = [a["key"] for a in s["attributes"]]
+    assert keys == sorted(keys) and "rl.reward" not in keys and "rl.source" not in keys
+    assert {"key": "gen_ai.usage.input_tokens", "value": {"intValue": "3"}} in s["attributes"] and {"key": "error.type", "value": {"stringValue": "sandbox"}} in s["attributes"]
