@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import likelihood as L
 from .functions import outcome as O
-from .operators import detect, evaluate, mismatch, runscore, steps, validate, windows
+from .functions import signatures as S
+from .operators import detect, evaluate, faults, lookup, mismatch, runscore, steps, validate, windows
 from .sources.events import CHANGED, HEALTHY, read_table, records
 
 QUERIES, ORACLE = {}, {}
@@ -440,3 +441,146 @@ def distinct_steps(spark, sf_dir):
 @query("D10_group_fill", f"with {CHANGED} select unit_id, round(coalesce(reward, avg(reward) over (partition by step, grp), 0.0), 6) filled from records")
 def group_fill(spark, sf_dir):
     return records(spark, sf_dir).select("unit_id", r(evaluate.group_fill(F.col("reward"), "step", "grp")).alias("filled"))
+
+
+#: Class names that records are given in turn: all of the signatures', and some that none knows.
+NAMES = [*dict.fromkeys(n for _, names, _, _ in S.SIGNATURES for n in names or ()), "RuntimeError", "ValueError", "HTTPError"]
+MESSAGES = ["plain", "first\nsecond", "CUDA out of memory: 2 GiB", "NCCL timeout", "Xid 79", "uncorrectable ECC error", "no room in KV cache", ""]
+STATUSES = [None, 200, 408, 429, 500, 503]
+
+
+def quoted(x) -> str:
+    return "null" if x is None else "'" + str(x).replace("'", "''") + "'"
+
+
+def listed(values) -> str:
+    return "[" + ", ".join("null" if v is None else str(v) if isinstance(v, int) else quoted(v) for v in values) + "]"
+
+
+RULES_SQL = "rules(priority, kind, name, fragment, prefix) as (values " + ", ".join(f"({i}, {quoted(kind)}, {quoted(n)}, {quoted(fragment)}, {quoted(prefix)})" for i, (kind, names, fragment, prefix) in enumerate(S.SIGNATURES) for n in names or (None,)) + ")"
+ERRORS_SQL = f"errors as (select unit_id, k, {listed(NAMES)}[1 + (started_at_ms + k) % {len(NAMES)}] type_name, {listed(MESSAGES)}[1 + (started_at_ms // 7 + k) % {len(MESSAGES)}] message, {listed(STATUSES)}[1 + tokens_out % {len(STATUSES)}] status from records)"
+RETRY_SQL = ", ".join(quoted(k) for k in O.RETRYABLE)
+
+
+def errors(spark, sf_dir) -> DataFrame:
+    def pick(values, by):
+        return F.get(F.array(*[F.lit(v) for v in values]), by.cast("int"))
+
+    ms = F.col("started_at_ms")
+    return records(spark, sf_dir).select("unit_id", "k", pick(NAMES, (ms + F.col("k")) % len(NAMES)).alias("type_name"), pick(MESSAGES, (F.floor(ms / 7) + F.col("k")) % len(MESSAGES)).alias("message"), pick(STATUSES, F.col("tokens_out") % len(STATUSES)).alias("status"))
+
+
+NAMED_SQL = f"""
+with {CHANGED}, {ERRORS_SQL}, {RULES_SQL}, matched as (
+  select e.*, (select arg_min(r.kind, r.priority) from rules r where (r.name is null or r.name = e.type_name and r.prefix is null) and (r.fragment is null or contains(e.message, r.fragment))) known from errors e
+), judged as (select *, coalesce(known, case when status >= 500 or status in (408, 429) then 'engine_crash' else 'agent_exception' end) kind, split_part(message, chr(10), 1) line from matched)
+select unit_id, kind, case when kind in ('grader_exception', 'missing_reward') then 'grade' else 'rollout' end stage, kind in ({RETRY_SQL}) retryable, kind || ': ' || type_name || ': ' || line message,
+  array_to_string(list_sort(list_filter(['exception_type=' || type_name, 'message=' || line, 'status_code=' || status], lambda x: x is not null)), ';') evidence from judged
+"""
+
+
+@query("J1_J4_J6_J7_D11_named_errors", NAMED_SQL)
+def named_errors(spark, sf_dir):
+    f = S.at_grade_stage(S.classify_name(F.col("type_name"), F.col("message"), F.lit("rollout"), F.col("status")))
+    return errors(spark, sf_dir).select("unit_id", f.alias("f")).select("unit_id", "f.kind", "f.stage", "f.retryable", "f.message", F.array_join("f.evidence", ";").alias("evidence"))
+
+
+CHAIN_SQL = f"""
+with {CHANGED}, {ERRORS_SQL}, {RULES_SQL}, links as (
+  select unit_id, k, 0 depth, type_name, 'app' as module, message, 'Exception' base from errors where k % 3 > 0
+  union all select unit_id, k, 1, {listed(NAMES)}[1 + (k * 5) % {len(NAMES)}], case when k % 2 = 0 then 'ray.exceptions' else 'torch' end, 'inner', case when k % 7 = 0 then 'TimeoutError' else 'RuntimeError' end from errors where k % 3 = 2
+), hits as (
+  select l.unit_id, l.depth, l.type_name, r.kind, r.priority from links l join rules r on (r.name is null or r.name = l.base and r.prefix is null or r.name = l.type_name and (r.prefix is null or starts_with(l.module, r.prefix))) and (r.fragment is null or contains(l.message, r.fragment))
+), best as (select unit_id, arg_min(kind, (depth, priority)) kind, arg_min(type_name, (depth, priority)) type_name from hits group by unit_id)
+select e.unit_id, case when e.k % 3 > 0 then coalesce(b.kind, 'agent_exception') when r.reward is null then 'missing_reward' end kind, case when e.k % 3 > 0 then coalesce(b.type_name, e.type_name) end exception_type
+from errors e join records r on r.unit_id = e.unit_id left join best b on b.unit_id = e.unit_id
+"""
+
+
+@query("J2_J3_J8_error_chains", CHAIN_SQL)
+def error_chains(spark, sf_dir):
+    k = F.col("k")
+
+    def link(name, module, message, base):
+        named = lambda m, n: F.struct(m.alias("module"), n.alias("name"))
+        return F.struct(F.array(named(module, name), named(F.lit("base"), base)).alias("hierarchy"), name.alias("type_name"), message.alias("message"))
+
+    outer = link(F.col("type_name"), F.lit("app"), F.col("message"), F.lit("Exception"))
+    inner = link(F.get(F.array(*[F.lit(n) for n in NAMES]), (k * 5) % len(NAMES)), F.when(k % 2 == 0, "ray.exceptions").otherwise("torch"), F.lit("inner"), F.when(k % 7 == 0, "TimeoutError").otherwise("RuntimeError"))
+    chain = F.when(k % 3 == 1, F.array(outer)).when(k % 3 == 2, F.array(outer, inner))
+    e = errors(spark, sf_dir).join(records(spark, sf_dir).select("unit_id", "kind", "reward"), "unit_id")
+    return e.select("unit_id", S.failure_of_unit(chain, F.lit("rollout"), F.col("kind"), F.col("reward")).alias("f")).select("unit_id", "f.kind", "f.exception_type")
+
+
+ALARMS_SQL = f"""
+with recursive {{records}}, {STEPS_SQL}, {BATCHES}, fr as (with recursive {fold_sql(FAILURE_LLR)} select * from f), rw as (with recursive {fold_sql(REWARD_LLR)} select * from f), mm as (with recursive {fold_sql(MISMATCH_LLR, 'run_id')} select * from f),
+firsts as (
+  select 'failure_rate' signal, source, min(pos) pos, arg_min(x, pos) x from fr where x >= {L.ALARM_LOG_ODDS} group by source union all select 'reward', source, min(pos), arg_min(x, pos) from rw where x >= {L.ALARM_LOG_ODDS} group by source
+), found as (
+  select signal, a.source, o.unit_id, o.at_ms, 1 / (1 + exp(-x)) p from firsts a join obs o on o.source is not distinct from a.source and o.step = a.pos
+  union all select 'mismatch', null, 's-' || lpad(bt.pos::varchar, 8, '0'), bt.at_ms, 1 / (1 + exp(-a.x)) from (select min(pos) pos, arg_min(x, pos) x from mm where x >= {L.ALARM_LOG_ODDS}) a join bt on bt.pos = a.pos
+  union all select 'poisoned', source, arg_min(unit_id, (started_at_ms, unit_id)), min(started_at_ms), 1.0 from records where failure_class in ('grader', 'infra') and reward is not null group by source
+)"""
+
+
+def alarm_set(spark, sf_dir, healthy: bool) -> DataFrame:
+    found = records(spark, sf_dir, healthy=healthy)
+    times = read_table(spark, sf_dir, "events").groupBy(F.expr("event_id div 50").alias("pos")).agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("at_ms"))
+    batches = mismatch_batches(spark, sf_dir).join(times, "pos").withColumns({"source": F.lit(None).cast("string"), "unit_id": F.concat(F.lit("s-"), F.lpad(F.col("pos").cast("string"), 8, "0"))})
+    return detect.alarms(found, steps.step_observations(found), batches)
+
+
+@query("F13_alarms", ALARMS_SQL.format(records=CHANGED) + " select signal, source, unit_id, at_ms, round(p, 6) probability from found")
+def changed_alarms(spark, sf_dir):
+    return alarm_set(spark, sf_dir, False).select("signal", "source", "unit_id", "at_ms", r("probability").alias("probability"))
+
+
+@query("F13_alarms_healthy", ALARMS_SQL.format(records=HEALTHY) + " select signal, source, unit_id, at_ms, round(p, 6) probability from found")
+def healthy_alarms(spark, sf_dir):
+    return alarm_set(spark, sf_dir, True).select("signal", "source", "unit_id", "at_ms", r("probability").alias("probability"))
+
+
+@query("D5_alarm_steps", ALARMS_SQL.format(records=CHANGED) + " select signal, found.source, found.unit_id, r.step from found join records r on r.unit_id = found.unit_id")
+def alarm_steps(spark, sf_dir):
+    return lookup.alarm_steps(alarm_set(spark, sf_dir, False), records(spark, sf_dir)).select("signal", "source", "unit_id", "step")
+
+
+@query("D2_refused_starts", f"with {CHANGED}, starts as (select unit_id, k % 3 attempt from records) select starts.* from starts semi join records on records.unit_id = starts.unit_id and records.attempt = starts.attempt")
+def refused_starts(spark, sf_dir):
+    done = records(spark, sf_dir)
+    return lookup.refused_starts(done.select("unit_id", (F.col("k") % 3).alias("attempt")), done)
+
+
+@query("D12_A5_registry", "with last as (select c_nationkey, arg_max(c_mktsegment, c_custkey) segment from customer where c_nationkey % 4 > 0 group by c_nationkey) select c_custkey, coalesce(segment, 'unregistered') segment from customer left join last using (c_nationkey)")
+def registry(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer")
+    last = lookup.last_by(c.where("c_nationkey % 4 > 0").select("c_nationkey", "c_custkey", F.col("c_mktsegment").alias("segment")), ["c_nationkey"], "c_custkey")
+    return lookup.with_default(c.select("c_custkey", "c_nationkey"), last.select("c_nationkey", "segment"), "c_nationkey", {"segment": F.lit("unregistered")}).select("c_custkey", "segment")
+
+
+FAULT = faults.Schedule("sandbox_partly_typed", start=20, rate=0.4, typed=0.7)
+INJECT_SQL = f"""
+with {CHANGED}, d as (select *, step >= 20 and ('0x' || substr(md5('0:hit:' || step || ':' || unit_id), 1, 8))::bigint / 4294967296 < 0.4 hit, ('0x' || substr(md5('0:typed:' || step || ':' || unit_id), 1, 8))::bigint / 4294967296 < 0.7 drawn from records),
+m as (select *, avg(reward) filter (not hit) over (partition by step, grp) mean from d)
+select unit_id, case when not hit then 'healthy' when drawn then 'sandbox_typed' else 'sandbox_untyped' end truth, case when hit and drawn then 'mask' else 'score' end as action, case when hit and drawn then 'sandbox' end failure_kind,
+  round(case when not hit then reward when drawn then coalesce(mean, 0) else 0 end, 6)::double trainer_reward, (case when not hit then reward when not drawn then 0 end)::double record_reward from m
+"""
+
+
+@query("M1_M3_injected_faults", INJECT_SQL)
+def injected_faults(spark, sf_dir):
+    rows = records(spark, sf_dir).select("unit_id", "step", F.col("grp").alias("uid"), F.col("unit_id").alias("idx"), "reward")
+    return faults.inject(rows, FAULT, 0).select("unit_id", "truth", "action", "failure_kind", r("trainer_reward").alias("trainer_reward"), "record_reward")
+
+
+@query("M2_overrides", f"with {CHANGED} select distinct step, case when step >= 20 then 1.5 end::double temperature, case when step >= 30 then 4.0 else 1.0 end::double learning_rate_scale from records")
+def overrides(spark, sf_dir):
+    hot, spike = faults.Schedule("temperature", 20, 1.5), faults.Schedule("lr_spike", 30, 4.0)
+    step = F.col("step")
+    return records(spark, sf_dir).select("step", hot.value("temperature", step).alias("temperature"), F.coalesce(spike.value("lr_spike", step), F.lit(1.0)).alias("learning_rate_scale")).distinct()
+
+
+@query("G7_best_multiplier", "with t as (select l_partkey % 50 run, floor(l_discount * 100) / 4 k, avg(l_tax) * 2 false_alarms, round(avg(l_quantity) / 50, 1) f1 from lineitem group by all) select run::bigint run, arg_max(k, (false_alarms <= 0.1::double, f1, k)) k from t where abs(false_alarms - 0.1) > 1e-9 group by run")
+def multiplier(spark, sf_dir):
+    t = read_table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 50).alias("run"), (F.floor(F.col("l_discount") * 100) / 4).alias("k")).agg((F.avg("l_tax") * 2).alias("false_alarms"), F.round(F.avg("l_quantity") / 50, 1).alias("f1"))
+    return faults.best_multiplier(t.where(F.abs(F.col("false_alarms") - 0.1) > 1e-9), "run")

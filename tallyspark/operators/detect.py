@@ -99,3 +99,25 @@ def attributed(alarms: DataFrame, observations: DataFrame, failure_stream: DataF
     p = 1 - (1 - F.col("failure_rate_probability")) * (1 - F.coalesce("mismatch_probability", F.lit(0.0)))
     verdict = F.when(p >= L.ALARM, "configuration").when(p < EVEN_ODDS, "algorithm").otherwise("undetermined")
     return hit.withColumn("configuration_probability", p).withColumn("verdict", verdict)
+
+
+SIGNALS = ("failure_rate", "mismatch", "poisoned", "reward")
+
+
+def alarms(records: DataFrame, observations: DataFrame, batches: DataFrame) -> DataFrame:
+    """(run_id, signal, source, unit_id, at_ms, probability): the first alarm of each stream, in report order.
+
+    batches: as of mismatch_stream, with source, unit_id and at_ms of the train step; empty if none were recorded."""
+
+    def named(crossed: DataFrame, steps: DataFrame, signal: str) -> DataFrame:
+        c = crossed.select(F.col("run_id").alias("_run"), *([F.col("source").alias("_source")] if "source" in crossed.columns else []), F.col("pos").alias("_pos"), "x")
+        on = (steps.run_id == c["_run"]) & (steps.pos == c["_pos"]) & (steps.source.eqNullSafe(c["_source"]) if "_source" in c.columns else F.lit(True))
+        return steps.join(c, on).select("run_id", F.lit(signal).alias("signal"), "source", "unit_id", "at_ms", L.sigmoid(F.col("x")).alias("probability"))
+
+    steps = observations.select("run_id", "source", F.col("step").alias("pos"), "unit_id", "at_ms")
+    keys = ["run_id", "source"]
+    found = named(first_crossing(failure_rate_stream(observations), keys), steps, "failure_rate")
+    found = found.unionByName(named(first_crossing(reward_stream(observations), keys), steps, "reward"))
+    found = found.unionByName(named(first_crossing(mismatch_stream(batches), ["run_id"]), batches.select("run_id", "source", "pos", "unit_id", "at_ms"), "mismatch"))
+    found = found.unionByName(first_poisoned(records).select("run_id", F.lit("poisoned").alias("signal"), "source", "unit_id", "at_ms", F.lit(1.0).alias("probability")))
+    return found.orderBy("run_id", "at_ms", "signal", F.coalesce("source", F.lit("")))
