@@ -584,3 +584,12 @@ def overrides(spark, sf_dir):
 def multiplier(spark, sf_dir):
     t = read_table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 50).alias("run"), (F.floor(F.col("l_discount") * 100) / 4).alias("k")).agg((F.avg("l_tax") * 2).alias("false_alarms"), F.round(F.avg("l_quantity") / 50, 1).alias("f1"))
     return faults.best_multiplier(t.where(F.abs(F.col("false_alarms") - 0.1) > 1e-9), "run")
+
+
+COUNTED = CHANGED + ", numbered as (select records.* exclude (step), ((row_number() over (partition by source order by started_at_ms, unit_id, attempt) - 1) // 32) * 32 step from records)"
+
+
+@query("F2_counted_steps", f"with {COUNTED}, {STEPS_SQL.replace('from records', 'from numbered')} select source, step::bigint step, units, failures, clusters, clean_count, round(clean_mean, 6) + 0.0 clean_mean, unit_id from obs")
+def counted_steps(spark, sf_dir):
+    o = steps.step_observations(windows.counted_steps(records(spark, sf_dir)))
+    return o.select("source", "step", "units", "failures", "clusters", "clean_count", r("clean_mean").alias("clean_mean"), "unit_id")

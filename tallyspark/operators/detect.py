@@ -53,16 +53,19 @@ def reward_stream(observations: DataFrame) -> DataFrame:
     return folded(reward_llrs(observations), ["run_id", "source"])
 
 
-def mismatch_llr() -> "F.Column":
+HEALTHY_KL, BROKEN_KL = 1e-3, 1e-2
+
+
+def mismatch_llr(healthy_kl: float = HEALTHY_KL, broken_kl: float = BROKEN_KL) -> "F.Column":
     """Of kl, ratio_mean, ratio_se: KL alone where the ratio has no spread."""
-    kl = L.gaussian(F.log10(F.greatest(F.col("kl"), F.lit(1e-12))), math.log10(1e-3), math.log10(1e-2), F.lit(0.5))
+    kl = L.gaussian(F.log10(F.greatest(F.col("kl"), F.lit(1e-12))), math.log10(healthy_kl), math.log10(broken_kl), F.lit(0.5))
     ratio = L.gaussian(F.col("ratio_mean"), 1.0, 0.99, F.greatest(F.col("ratio_se"), F.lit(1e-9)))
     return F.when(F.col("ratio_se") == 0, kl).otherwise(L.mean_of_two(kl, ratio))
 
 
-def mismatch_stream(batches: DataFrame) -> DataFrame:
+def mismatch_stream(batches: DataFrame, **kl: float) -> DataFrame:
     """batches: run_id, pos (train steps in start order), kl, ratio_mean, ratio_se; one stream for each run."""
-    return folded(batches.select("run_id", "pos", mismatch_llr().alias("llr")), ["run_id"])
+    return folded(batches.select("run_id", "pos", mismatch_llr(**kl).alias("llr")), ["run_id"])
 
 
 def first_poisoned(records: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def attributed(alarms: DataFrame, observations: DataFrame, failure_stream: DataF
 SIGNALS = ("failure_rate", "mismatch", "poisoned", "reward")
 
 
-def alarms(records: DataFrame, observations: DataFrame, batches: DataFrame) -> DataFrame:
+def alarms(records: DataFrame, observations: DataFrame, batches: DataFrame, **kl: float) -> DataFrame:
     """(run_id, signal, source, unit_id, at_ms, probability): the first alarm of each stream, in report order.
 
     batches: as of mismatch_stream, with source, unit_id and at_ms of the train step; empty if none were recorded."""
@@ -118,6 +121,6 @@ def alarms(records: DataFrame, observations: DataFrame, batches: DataFrame) -> D
     keys = ["run_id", "source"]
     found = named(first_crossing(failure_rate_stream(observations), keys), steps, "failure_rate")
     found = found.unionByName(named(first_crossing(reward_stream(observations), keys), steps, "reward"))
-    found = found.unionByName(named(first_crossing(mismatch_stream(batches), ["run_id"]), batches.select("run_id", "source", "pos", "unit_id", "at_ms"), "mismatch"))
+    found = found.unionByName(named(first_crossing(mismatch_stream(batches, **kl), ["run_id"]), batches.select("run_id", "source", "pos", "unit_id", "at_ms"), "mismatch"))
     found = found.unionByName(first_poisoned(records).select("run_id", F.lit("poisoned").alias("signal"), "source", "unit_id", "at_ms", F.lit(1.0).alias("probability")))
     return found.orderBy("run_id", "at_ms", "signal", F.coalesce("source", F.lit("")))

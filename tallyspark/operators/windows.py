@@ -17,6 +17,11 @@ def window_index(units: int) -> Column:
     return F.floor((F.row_number().over(W.partitionBy("run_id", "source").orderBy(*START)) - 1) / units).cast("long")
 
 
+def counted_steps(records: DataFrame, units: int = 32) -> DataFrame:
+    """The rewarded units with step replaced by the start of their window of so many units: for runs without steps."""
+    return records.where(F.col("kind").isin(*O.REWARDED)).withColumn("step", window_index(units) * units)
+
+
 def source_windows(records: DataFrame, *, window_units: int = 50) -> DataFrame:
     """Metrics of each window of rewarded units. Error rates are over all units, the zero rate over rewarded ones."""
     if window_units < 1:
