@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import likelihood as L
 from .functions import outcome as O
 from .functions import signatures as S
+from .functions import traces
 from .operators import detect, evaluate, faults, lookup, mismatch, runscore, steps, validate, windows
 from .sources.events import CHANGED, HEALTHY, read_table, records
 
@@ -115,8 +116,9 @@ def source_order(spark, sf_dir):
 @query("A13_identifiers", f"with {CHANGED} select unit_id, substr(sha256('trace' || chr(31) || run_id || chr(31) || unit_id), 1, 32) trace_id, substr(sha256('span' || chr(31) || run_id || chr(31) || unit_id || chr(31) || attempt), 1, 16) span_id from records")
 def identifiers(spark, sf_dir):
     # the separator is a parameter of the comparison: DuckDB's chr(0) ends a string
-    cut = lambda n, *p: F.substring(F.sha2(F.concat_ws(chr(31), *p), 256), 1, n)
-    return records(spark, sf_dir).select("unit_id", cut(32, F.lit("trace"), "run_id", "unit_id").alias("trace_id"), cut(16, F.lit("span"), "run_id", "unit_id", F.col("attempt").cast("string")).alias("span_id"))
+    run, unit = F.col("run_id"), F.col("unit_id")
+    span = O.identifier(16, "span", run, unit, F.col("attempt").cast("string"), separator=chr(31))
+    return records(spark, sf_dir).select("unit_id", O.identifier(32, "trace", run, unit, separator=chr(31)).alias("trace_id"), span.alias("span_id"))
 
 
 @query("J5_exec_kind", f"with {CHANGED} select unit_id, case when k % 10 = 0 then 'wall_clock' when k % 10 < 4 then null when k % 10 = 4 then 'oom_gpu' when k % 10 < 6 then null when k % 10 = 6 or k > 90 then 'oom_host' else 'process_killed' end exec_kind from records")
@@ -593,3 +595,28 @@ COUNTED = CHANGED + ", numbered as (select records.* exclude (step), ((row_numbe
 def counted_steps(spark, sf_dir):
     o = steps.step_observations(windows.counted_steps(records(spark, sf_dir)))
     return o.select("source", "step", "units", "failures", "clusters", "clean_count", r("clean_mean").alias("clean_mean"), "unit_id")
+
+
+TRACES_SQL = """
+with t as (select l_orderkey, count(*) filter (l_tax = 0) lacking, sum(l_discount * l_quantity) reward from lineitem group by all)
+select l_orderkey, case when lacking = 0 then round(reward, 6) end reward, case when l_orderkey % 5 = 0 then 'engine_crash' when l_orderkey % 5 = 1 then 'grader_exception' when lacking > 0 then 'missing_reward' end failure_kind,
+  case when l_orderkey % 5 = 0 then 'rollout' when l_orderkey % 5 = 1 or lacking > 0 then 'grade' end failure_stage from t
+"""
+
+
+@query("B15_J7_trace_outcomes", TRACES_SQL)
+def trace_outcomes(spark, sf_dir):
+    key = F.col("l_orderkey") % 5
+    named = lambda name, status: F.struct(F.lit(name).alias("type_name"), F.lit("m").alias("message"), F.lit(status).cast("int").alias("status"))
+    seen = F.when(key == 0, F.array(named("TaskError", None), named("Unknown", 503))).when(key == 1, F.array(named("ReadTimeout", None), named("TaskError", 503)))
+    lines = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.when(F.col("l_tax") > 0, F.col("l_discount")).alias("score"), F.col("l_quantity").alias("weight"))).alias("rewards"))
+    f = traces.trace_failure(seen, F.col("rewards"), F.lit("trajectory"), F.lit("rollout"))
+    out = lines.select("l_orderkey", r(traces.weighted_reward(F.col("rewards"))).alias("reward"), f.alias("f"))
+    return out.select("l_orderkey", "reward", F.col("f.kind").alias("failure_kind"), F.col("f.stage").alias("failure_stage"))
+
+
+@query("H1_C9_fork", f"with {CHANGED}, b as (select 'b' || unit_id unit_id, step from records where k % 2 = 0 and step > 8) select unit_id, step from records where step <= 8 union all select unit_id, step from b")
+def fork(spark, sf_dir):
+    parent = records(spark, sf_dir).select("unit_id", "step", "k")
+    branch = parent.where("k % 2 = 0 and step > 8").select(F.concat(F.lit("b"), "unit_id").alias("unit_id"), "step")
+    return lookup.forked(parent.select("unit_id", "step"), branch, 8)

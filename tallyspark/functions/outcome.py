@@ -117,9 +117,9 @@ def retryable(kind: Column) -> Column:
     return kind.isin(*RETRYABLE)
 
 
-def identifier(length: int, domain: str, *parts: Column) -> Column:
+def identifier(length: int, domain: str, *parts: Column, separator: str = "\0") -> Column:
     """The first hex digits of SHA-256 over domain and parts, joined by NUL."""
-    return F.substring(F.sha2(F.concat_ws("\0", F.lit(domain), *parts), 256), 1, length)
+    return F.substring(F.sha2(F.concat_ws(separator, F.lit(domain), *parts), 256), 1, length)
 
 
 def classify_exec(timed_out: Column, exit_code: Column, signal: Column, text: Column, peak: Column, limit: Column) -> Column:

@@ -38,3 +38,8 @@ def read_registry(spark: SparkSession, path: str, key: str, schema: str) -> Data
     Rows are numbered in file order: the file is read as one partition, as a registry is small."""
     rows = spark.read.csv(path, header=True, schema=schema).coalesce(1).withColumn("_row", F.monotonically_increasing_id())
     return last_by(rows, [key], "_row").drop("_row")
+
+
+def forked(parent: DataFrame, branch: DataFrame, fork_step: int) -> DataFrame:
+    """The rows of a run that was forked after fork_step: the parent's up to that step, and all of the branch's."""
+    return parent.where(F.col("step") <= fork_step).unionByName(branch)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import signatures as S
+from tallyspark.functions import traces
 from tallyspark.operators import faults, lookup
 
 CHAIN = "chain array<struct<hierarchy: array<struct<module: string, name: string>>, type_name: string, message: string>>"
@@ -83,3 +84,13 @@ def test_registry(spark, tmp_path):
     assert sorted(map(tuple, r.collect())) == [("a", "z"), ("b", "y")]
     rows = spark.createDataFrame([("a",), ("c",), (None,)], "id string")
     assert sorted(map(tuple, lookup.with_default(rows, r, "id", {"fault": F.lit("none")}).collect()), key=str) == [("a", "z"), ("c", "none"), (None, "none")]
+
+
+@pytest.mark.parametrize("rewards, want", [([(0.5, 2.0), (1.0, 1.0)], 2.0), ([], None), (None, None), ([(None, 1.0)], None), ([(1.0, None), (1.0, 1.0)], None)])
+def test_weighted_reward(spark, rewards, want):
+    assert spark.createDataFrame([(rewards,)], "r array<struct<score:double,weight:double>>").select(traces.weighted_reward(F.col("r"))).first()[0] == want
+
+
+def test_masked_output(spark):
+    got = spark.createDataFrame([([1, 2], True), ([3], False)], "p array<long>, f boolean").select(traces.masked_output(F.col("p"), F.col("f"), F.lit("x")).alias("m")).collect()
+    assert (got[0].m.prompt_ids, got[0].m.response_ids, got[0].m.metrics, got[0].m.extra_fields, got[1].m) == ([1, 2], [], {}, "x", None)
