@@ -9,7 +9,9 @@ are given, or proportional to size ** alpha.
 
 Edge cases: a null source is a source; sources without a given weight have share 0 and go; a source of size 0 has
 the rate `epochs`; a null doc_id hashes as the word null; repeated rows get equal counts; no rows give no rows.
-Rates must be at most 700, below which exp(-rate) is a normal double.
+A rate has no upper bound: up to 700, where exp(-rate) is a normal double, the terms start from 0 copies; above, from
+12 standard deviations below the rate, under which lies less than exp(-60) of the distribution and no uniform number
+but 0. A document's copies are exploded in blocks of BLOCK, so no array grows with their number.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SEED, ALPHA = 42, 0.5
+#: Rates up to here start from exp(-rate); copies in an exploded array.
+DIRECT, BLOCK = 700, 1 << 16
 
 
 def source_rates(df: DataFrame, *, weights: dict | None = None, alpha: float = ALPHA, epochs: float = 1.0) -> DataFrame:
@@ -31,7 +35,7 @@ def source_rates(df: DataFrame, *, weights: dict | None = None, alpha: float = A
         share = F.coalesce(*[F.when(F.col("mix_source").eqNullSafe(k), F.lit(float(v))) for k, v in weights.items()], F.lit(0.0))
     total, shares = sizes.agg(F.sum("size"), F.sum(share)).first()
     rate = F.when(F.col("size") == 0, F.lit(float(epochs))).otherwise(F.lit(float(epochs)) * float(total or 0) * share / float(shares or 1) / F.col("size"))
-    return sizes.select("mix_source", F.when(rate <= 700, rate).otherwise(F.raise_error(F.lit("a mean repetition rate is over 700"))).alias("mix_rate"))
+    return sizes.select("mix_source", rate.alias("mix_rate"))
 
 
 def uniform(seed: int, *parts) -> F.Column:
@@ -41,11 +45,16 @@ def uniform(seed: int, *parts) -> F.Column:
 
 
 def poisson(u, rate) -> F.Column:
-    """The smallest k whose cumulative probability is over u, by the recurrence of the terms."""
-    start = F.exp(-rate)
-    most = (F.ceil(rate + 12 * F.sqrt(rate)) + 24).cast("int")
+    """The smallest k whose cumulative probability is over u, by the recurrence of the terms; a long."""
+    first = F.when(rate <= DIRECT, F.lit(0)).otherwise(F.floor(rate - 12 * F.sqrt(rate))).cast("long")
+    # the term of a large k by the saddle point, without differences of large numbers: d is (k - rate) / rate
+    d = (first - rate) / rate
+    error = 1 / (12 * first) - 1 / (360 * F.pow(first, F.lit(3))) + 1 / (1260 * F.pow(first, F.lit(5)))
+    start = F.when(rate <= DIRECT, F.exp(-rate)).otherwise(F.exp(-rate * ((1 + d) * F.log1p(d) - d) - error) / F.sqrt(2 * F.pi() * first))
+    most = (F.ceil(rate + 12 * F.sqrt(rate)) + 24).cast("long")
     step = lambda s, k: F.when(s.cdf <= u, F.struct(k.alias("k"), (s.term * rate / k).alias("term"), (s.cdf + s.term * rate / k).alias("cdf"))).otherwise(s)
-    return F.aggregate(F.sequence(F.lit(1), most), F.struct(F.lit(0).alias("k"), start.alias("term"), start.alias("cdf")), step, lambda s: s.k)
+    k = F.aggregate(F.sequence(first + 1, most), F.struct(first.alias("k"), start.alias("term"), start.alias("cdf")), step, lambda s: s.k)
+    return F.when(u <= 0, F.lit(0).cast("long")).otherwise(k)
 
 
 def mix_sources(df: DataFrame, *, weights: dict | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
@@ -55,14 +64,15 @@ def mix_sources(df: DataFrame, *, weights: dict | None = None, alpha: float = AL
     stored table, so they are broadcast only if its files are under the session's threshold."""
     rates = source_rates(df, weights=weights, alpha=alpha, epochs=epochs)
     out = df.join(rates, df["source"].eqNullSafe(rates["mix_source"])).withColumn("mix_copies", poisson(uniform(seed, F.col("doc_id")), F.col("mix_rate"))).where("mix_copies > 0")
-    out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+    out = out.withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1, F.lit(BLOCK).cast("long"))))
+    out = out.withColumn("mix_copy", F.explode(F.sequence("mix_block", F.least(F.col("mix_copies"), F.col("mix_block") + BLOCK) - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
-    return out.drop("mix_source", "mix_rate").withColumn("mix_order", key).repartition("mix_order").sortWithinPartitions("mix_order")
+    return out.drop("mix_source", "mix_rate", "mix_block").withColumn("mix_order", key).repartition("mix_order").sortWithinPartitions("mix_order")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "source", F.col("mix_copy").alias("copy"), F.col("mix_copies").alias("copies"), F.col("mix_order").alias("order_key"), F.md5("text").alias("text_md5"))
+    return mixed.select("doc_id", "source", F.col("mix_copy").cast("int").alias("copy"), F.col("mix_copies").cast("int").alias("copies"), F.col("mix_order").alias("order_key"), F.md5("text").alias("text_md5"))
 
 
 ORACLE = f"""

@@ -160,6 +160,31 @@ def test_mixing(docs):
     assert mean[0] == pytest.approx(2.5, abs=0.05) and mean[1] == pytest.approx(2.5, abs=0.12)
 
 
+def test_mixing_of_a_small_source_has_no_bound_on_its_rate(spark, monkeypatch):
+    from decimal import Decimal, localcontext
+
+    asked = [(u, r) for r in (0.5, 650.25, 699.75, 700.25, 1234.5, 39000.75) for u in (0.0, 2.0**-52, 1e-9, 0.1, 0.5, 0.9, 1 - 1e-9)]
+    want = []
+    with localcontext() as c:
+        c.prec = 60
+        for u, r in asked:
+            k, rate = 0, Decimal(r)
+            term = cdf = (-rate).exp()
+            while cdf <= Decimal(u):
+                k += 1
+                term = term * rate / k
+                cdf += term
+            want.append((u, r, k))
+    df = spark.createDataFrame(asked, "u double, r double")
+    assert got(df.select("u", "r", mixing.poisson(F.col("u"), F.col("r")))) == sorted(want, key=str)
+    monkeypatch.setattr(mixing, "BLOCK", 1000)
+    rows = spark.createDataFrame([(1, "x" * 40_000, "large"), (2, "y", "small"), (None, "z", "small")], "doc_id long, text string, source string")
+    m = mixing.mix_sources(rows, weights={"large": 1, "small": 1}).groupBy("doc_id").agg(F.count("*"), F.count_distinct("mix_copy"), F.max("mix_copy") + 1, F.max("mix_copies"))
+    counts = {r[0]: r[1:] for r in m.collect()}
+    assert all(len(set(v)) == 1 for v in counts.values())
+    assert all(abs(counts[k][0] - 10_000) < 600 for k in (2, None))
+
+
 def test_sharding(spark, docs, tmp_path):
     store = compaction.ShardStore(spark, str(tmp_path / "s"), target_bytes=60_000, fan_in=3)
     for _ in range(4):
