@@ -197,7 +197,7 @@ def _links(level: int):
                 if cell[lo] != name:
                     close()
                     held, name, large = [], int(cell[lo]), False
-                if hi - lo == 1 and not held and hi < len(cell):
+                if hi - lo == 1 and not held and not large and hi < len(cell):
                     continue  # alone in its cell
                 if large:
                     defer(fp[lo:hi])

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -121,6 +122,14 @@ def test_simhash_forest_of_a_dense_cluster(monkeypatch):
     assert parts(simhash.forest(fps).tolist()) == parts(brute)
 
 
+def test_simhash_last_row_of_a_large_cell(monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 5)
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([f for _, f in rows], pa.int64())], ["cell", "fp"])
+    found = list(simhash._links(0)(iter([batch([(1, k) for k in range(10)]), batch([(1, 10), (2, 99)])])))
+    deferred = {b for r in found for k, b in zip(r.column(0).to_pylist(), r.column(2).to_pylist()) if k == 1}
+    assert deferred == set(range(11))
+
+
 @pytest.mark.parametrize("block", [200_000, 5])
 def test_decontamination(spark, docs, pairs, block):
     t = dict(pairs)
