@@ -11,8 +11,7 @@ the documents; with one block there is one pass and no shuffle.
 
 Edge cases: null, empty or wordless documents have no words and no hits; items without words have no pattern; an
 item_id that repeats adds its windows to the same item; a null item_id counts as the item "null" if its text has
-words; documents that repeat are each reported where one pass is enough, and by (doc_id, text) otherwise; an empty
-benchmark leaves all clean; only identifiers and texts are read.
+words; rows that repeat are each reported, in one pass or many; an empty benchmark leaves all clean; only identifiers and texts are read.
 """
 
 from __future__ import annotations
@@ -128,8 +127,8 @@ _found = "n_words long, spans array<struct<start:int,end:int>>, items array<stri
 
 def find_patterns(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(id, n_words, spans of hit words, items) of each row of keyed(): merged spans and sorted item ids."""
-    spark, passes = docs.sparkSession, []
-    shape = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
+    spark, shared = docs.sparkSession, []
+    shape = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
     def finder(shared):
         def run(batches):
@@ -141,12 +140,13 @@ def find_patterns(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
                     for t, a, b, ids in hits:
                         spans[t].append((a, b))
                         items[t].update(ids)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in _merged(spans.get(t, []))] for t in range(hi - lo)], shape.field("spans").type), pa.array([sorted(items.get(t, ())) for t in range(hi - lo)], shape.field("items").type)], schema=shape)
+                    keys = [(c, batch.column(c).slice(lo, hi - lo)) for c in batch.schema.names if c != "text"]
+                    yield pa.RecordBatch.from_arrays([*[x for _, x in keys], pa.array(n, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in _merged(spans.get(t, []))] for t in range(hi - lo)], shape.field("spans").type), pa.array([sorted(items.get(t, ())) for t in range(hi - lo)], shape.field("items").type)], [*[c for c, _ in keys], *shape.names])
 
         return run
 
     def flush(by_size):
-        passes.append(docs.select("id", "text").mapInArrow(tidy(finder(spark.sparkContext.broadcast([by_size[k] for k in sorted(by_size)]))), f"id long, {_found}"))
+        shared.append(spark.sparkContext.broadcast([by_size[k] for k in sorted(by_size)]))
 
     by_size, held = defaultdict(dict), 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("string")).toLocalIterator():  # one partition at a time
@@ -158,15 +158,19 @@ def find_patterns(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         if held >= block:
             flush(by_size)
             by_size, held = defaultdict(dict), 0
-    if held or not passes:
+    if held or not shared:
         flush({k: v for k, v in by_size.items() if v})
-    if len(passes) == 1:
-        return passes[0]
-    # more patterns than one broadcast holds: the passes' spans meet by document
+    if len(shared) == 1:
+        return docs.select("id", "text").mapInArrow(tidy(finder(shared[0])), f"id long, {_found}")
+    # more patterns than one broadcast holds: the passes' spans meet by id and text, and equal rows, which have equal
+    # spans, are counted and given again as often as they came
+    hashed = docs.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    passes = [hashed.mapInArrow(tidy(finder(s)), f"id long, h1 long, h2 long, {_found}") for s in shared]
     rows = passes[0]
     for p in passes[1:]:
         rows = rows.unionByName(p)
-    spans = rows.groupBy("id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    spans = rows.groupBy("id", "h1", "h2", "n_words").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.expr(f"count(*) div {len(passes)}").alias("times"))
+    spans = spans.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("id", "n_words", "spans", "items")
     merge = F.aggregate("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"), lambda out, x: F.when((F.size(out) > 0) & (x.start <= F.element_at(out, -1).end), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1).start.alias("start"), F.greatest(F.element_at(out, -1).end, x.end).alias("end"))))).otherwise(F.concat(out, F.array(x))))
     return spans.withColumn("spans", merge)
 

@@ -158,6 +158,16 @@ def test_decontamination(spark, docs, pairs, block):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _, n, _ in want if not n)
 
 
+def test_decontamination_of_repeated_rows_in_many_passes(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    clean = " ".join(f"clean{k}" for k in range(16))
+    rows = [(1, item), (1, item), (1, clean), (None, item), (None, clean), (None, clean), (None, None), (None, "")]
+    docs = keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    bench = spark.createDataFrame([(k, item if k == 3 else f"item {k} " * 8) for k in range(6)], "item_id long, text string")
+    counts = lambda block: got(decontam.find_patterns(docs, bench, block=block).selectExpr("id", "n_words", "size(spans)", "items"))
+    assert counts(2) == counts(200_000) and len(counts(2)) == len(rows) and sum(r[2] for r in counts(2)) == 3
+
+
 def test_mixing(docs):
     assert got(mixing.mix_sources(docs, weights={"a": 1.0}).select("source").distinct()) == [("a",)]
     m = mixing.mix_sources(docs, epochs=3.0)
