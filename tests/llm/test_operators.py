@@ -69,6 +69,18 @@ def test_line_dedup(docs, pairs):
     assert any(w[3] for w in want)
 
 
+def test_line_dedup_of_texts_that_share_an_id(spark):
+    line = "a line of over forty characters that many documents hold"
+    same = [(7, f"{line}\nown one"), (7, "clean first line that no other document has at all\nown two"), (8, line), (9, line), (10, line), (11, line)]
+    null = [(None, f"{line}\nnull one"), (None, "another clean line that no other document has at all\nnull two")]
+    found = lines.dedup_lines(spark.createDataFrame(same + null, "doc_id long, text string"))
+    want = [(7, "own one", 2, 1), (7, same[1][1], 2, 0), (8, "", 1, 1), (9, "", 1, 1), (10, "", 1, 1), (11, line, 1, 0), (None, "null one", 2, 1), (None, null[1][1], 2, 0)]
+    assert got(found) == sorted(want, key=str)
+    # each text under null is a document: five of them are enough, and one keeps the line
+    found = lines.dedup_lines(spark.createDataFrame([(None, f"{line}\n{k}") for k in range(5)], "doc_id long, text string")).collect()
+    assert sorted(r.n_dropped for r in found) == [0, 1, 1, 1, 1]
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_substring_dedup(docs, pairs, hot, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
