@@ -17,7 +17,7 @@ def toxicity(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each component of near-duplicates, the document with the smallest doc_id stays."""
+    """Of each component of near-duplicates, one row stays: the smallest by doc_id, then by a hash of the text."""
     return drop_near_duplicates(docs)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, chunks, keyed, restored, stored, table, tidy, word_spans
+from .common import LOWER, NULL_ID, SPACED, chunks, keyed, restored, stored, table, tidy, word_spans
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 CELL, RUN = 20_000, 2048
@@ -65,15 +65,16 @@ def fingerprints_of(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) ->
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, fp) of each row of keyed()."""
+    """(id, fp) of each row of keyed(), and its columns besides the text."""
+    more = [c for c in docs.columns if c not in ("id", "text")]
 
     def run(batches):
         for batch in batches:
             got = [fingerprints_of(data, offs) for _, _, data, offs in chunks(batch.column(1))]
             fp = np.concatenate(got) if got else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["id", "fp", *more])
 
-    return docs.select("id", "text").mapInArrow(tidy(run), "id long, fp long")
+    return docs.select("id", "text", *more).mapInArrow(tidy(run), ", ".join(["id long, fp long", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in more]]))
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -245,21 +246,43 @@ def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
     return now.selectExpr("a node", "b root")
 
 
+def rooted(distinct: DataFrame) -> DataFrame:
+    """(fp, first, root) of distinct fingerprints (fp, first): root is the same in a whole component."""
+    roots = components(links(distinct))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): component is the smallest id reachable by links, as stored for nulls (see keyed())."""
     prints = stored(fingerprints(keyed(df, id_col, text_col)))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(links(distinct))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = stored(rooted.join(least, "root").select("fp", "component"))
+    found = rooted(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    least = found.groupBy("root").agg(F.min("first").alias("component"))
+    named = stored(found.join(least, "root").select("fp", "component"))
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of their component; of rows that repeat that doc_id, all stay."""
-    kept = stored(near_duplicates(docs).where("id = component").select(F.col("id").alias("_kept")).distinct())
-    return docs.join(kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("_kept"), "left_semi")
+    """One row of each component, all columns: the smallest by doc_id (nulls first) and a hash of the text; of rows equal in both, the smallest."""
+    names = ("id", "h1", "h2")
+    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    prints = stored(fingerprints(keyed(docs, "doc_id", "text").select("id", "text", *hashes)))
+    # equal rows are counted, and each fingerprint is reduced to one candidate, before components meet
+    counted = prints.groupBy("fp", *names).agg(F.count("*").alias("n"))
+    found = rooted(stored(counted.groupBy("fp").agg(F.min(F.struct(*names, "n")).alias("first"))))
+    kept = stored(found.groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    text = F.col("text").cast("string")
+    keys = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)}
+
+    def rows(which):
+        which = which.select([F.col(c).alias(f"_kept_{c}") for c in names])
+        return docs.join(which, [keys[c] == F.col(f"_kept_{c}") for c in names], "left_semi")
+
+    out = rows(kept.where("n = 1"))
+    repeated = stored(kept.where("n > 1"))
+    if repeated.isEmpty():
+        return out
+    least = rows(repeated).groupBy(*[keys[c].alias(f"_kept_{c}") for c in names]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return out.unionByName(least.select("_row.*"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

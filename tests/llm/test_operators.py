@@ -142,6 +142,21 @@ def test_simhash_last_row_of_a_large_cell(monkeypatch):
     assert deferred == set(range(11))
 
 
+def test_drop_near_duplicates_keeps_one_row_of_each_component(spark):
+    rng = random.Random(8)
+    base, other, third = ([f"w{rng.randint(0, 10**6)}" for _ in range(300)] for _ in range(3))
+    near = " ".join(["changed", *base[1:]])
+    a, b, c = " ".join(base), " ".join(other), " ".join(third)
+    rows = [(2, a, "x"), (2, a, "x"), (2, near, "x"), (5, near, "y"), (5, b, "y"), (6, b, "z"), (None, c, "p"), (None, c, "q"), (None, c + " more", "r"), (9, c, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    parts = {(r.id, r.component) for r in simhash.near_duplicates(docs).collect()}
+    assert parts == {(2, 2), (5, 2), (5, 5), (6, 5), (-(2**63), -(2**63)), (9, -(2**63))}
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "None"]
+    assert [r.text for r in kept.where("doc_id = 5").collect()] == [b]
+
+
 @pytest.mark.parametrize("block", [200_000, 5])
 def test_decontamination(spark, docs, pairs, block):
     t = dict(pairs)
