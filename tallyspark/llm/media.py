@@ -11,6 +11,7 @@ not confirmed is ignored; repeated rows give repeated rows; other columns are ne
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -102,9 +103,23 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
+_STARTXREF, _PREV = re.compile(rb"startxref\s+(\d{1,18})\s+%%EOF"), re.compile(rb"/Prev\s+(\d{1,18})")
+#: A table, or the stream that holds one.
+_XREF = re.compile(rb"\s*(?:xref\s|\d+\s+\d+\s+obj\b.*?/XRef\b)", re.S)
+
+
 def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    """To the last %%EOF of the chain of revisions: each startxref names its own table, and an update's /Prev the one before."""
+    length = re.search(rb"/L\s+(\d{1,18})", b[at : at + 1024]) if b.find(b"/Linearized", at, at + 1024) >= 0 else None
+    # a linearised file has an %%EOF after its first page too; /L is the length up to the first revision's end
+    least, end, named = at + int(length[1]) - 2 if length else 0, None, -1
+    for m in _STARTXREF.finditer(b, at):
+        x = int(m[1])
+        if not _XREF.match(b, at + x, m.start()) or m.end() < least:
+            continue
+        if end is None or (at + x >= end and any(int(p[1]) == named for p in _PREV.finditer(b, at + x, m.start()))):
+            end, named = m.end(), x
+    return end - at if end else None
 
 
 def _bmp(b: bytes, at: int) -> int | None:
@@ -164,10 +179,12 @@ def _gzip(b: bytes, at: int) -> int | None:
 
 def _zip(b: bytes, at: int) -> int | None:
     k = b.find(b"PK\x05\x06", at)
-    if k < 0 or k + 22 > len(b):
-        return None
-    size, start, note = struct.unpack_from("<IIH", b, k + 12)
-    return k + 22 + note - at if at + start + size == k and k + 22 + note <= len(b) else None
+    while 0 <= k <= len(b) - 22:  # a stored member can hold end records of its own; the archive's is the one whose offsets fit
+        size, start, note = struct.unpack_from("<IIH", b, k + 12)
+        if at + start + size == k and k + 22 + note <= len(b):
+            return k + 22 + note - at
+        k = b.find(b"PK\x05\x06", k + 1)
+    return None
 
 
 VALIDATORS = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "pdf": _pdf, "bmp": _bmp, "flac": _flac, "ogg": _ogg, "mp4": _mp4, "gzip": _gzip, "zip": _zip}

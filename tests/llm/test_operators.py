@@ -260,6 +260,38 @@ def test_media_round_trip(docs, pairs):
     assert media.sniff(b"--" + z + b"--", media.automaton()) == [("gzip", 2, len(z))]
 
 
+def test_media_ends_of_revised_pdfs_and_nested_zips():
+    import io
+    import zipfile
+
+    def pdf(head=b"%PDF-1.4\n1 0 obj <<>> endobj\n", prev=None):
+        link = b"" if prev is None else b"/Prev %d " % prev
+        return head + b"xref\n0 1\ntrailer << %s>>\nstartxref\n%d\n%%%%EOF" % (link, len(head)), len(head)
+
+    one, at = pdf()
+    two, later = pdf(one + b"\n2 0 obj <<>> endobj\n", at)
+    three, _ = pdf(two + b"\n3 0 obj <<>> endobj\n", later)
+    linear = b"%PDF-1.4\n1 0 obj << /Linearized 1 /L 00000 >> endobj\n"
+    page = linear + b"xref\n0 1\ntrailer << >>\nstartxref\n0\n%%EOF\n"
+    whole = (page + b"xref\n0 1\ntrailer << >>\nstartxref\n%d\n%%%%EOF" % len(linear)).replace(b"00000", b"%05d" % (len(page) + 39 + len(str(len(linear)))))
+    magic = media.automaton()
+    length = lambda b: [x[1:] for x in media.sniff(b"--" + b + b"--", magic) if x[0] == "pdf"]
+    for x in (one, two, three, whole):
+        assert length(x) == [(2, len(x))]
+    assert length(two + one) == [(2, len(two)), (2 + len(two), len(one))] and length(one + one) == [(2, len(one)), (2 + len(one), len(one))]
+    assert length(one[: -len("startxref\n00\n%%EOF")] + b"startxref\n5\n%%EOF") == []
+
+    def archive(name, data):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    inner = archive("a.txt", b"text")
+    outer = archive("inner.zip", inner)
+    assert media.sniff(b"--" + outer + b"--", magic) == [("zip", 2, len(outer)), ("zip", 2 + outer.find(inner), len(inner))]
+
+
 def test_chat(spark):
     rng, rows = random.Random(5), []
     for c in [*range(8), None]:
