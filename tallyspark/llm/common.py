@@ -29,21 +29,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; only where that is unset (tests on one machine), below a temporary folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyspark-"))
-        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root.rstrip('/')}/tallyspark-{uuid.uuid4().hex}"
+#: Folders that shared_dir() named inside each open scratch().
+_named: list[list[str]] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage, survives lost executors."""
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir or the context's checkpoint folder; where neither is set, below a
+    temporary folder of this machine, which only a local master can share with its executors."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyspark-"))
+        root = context._jsc.sc().getCheckpointDir().get()
+    path = f"{root.rstrip('/')}/tallyspark-{uuid.uuid4().hex}"
+    if _named:
+        _named[-1].append(path)
+    return path
+
+
+def stored(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: cuts lineage, survives lost executors. Frames that were stored
+    before and are done with are deleted."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    release(*done)
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames that stored() gave; others stay as they are."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """On leaving, deletes whatever was stored inside, but for the frames given to the function that it yields."""
+    _named.append([])
+    kept = set()
+    try:
+        yield lambda df: kept.add(df._stored_at)
+    finally:
+        for path in _named.pop():
+            if path not in kept:
+                delete(spark, path)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (counted: df should be stored)."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def delete(spark: SparkSession, path: str) -> None:
