@@ -7,13 +7,20 @@ they share a cell of one of the 20 grids that fix three slabs. Cell mates within
 
 Only distinct fingerprints enter the join, so exact copies cost nothing. A cell links its members by a spanning
 forest, not by all pairs. A cell of over CELL members is dealt out again under 20 finer cells for each member (three
-of six parts of the other slabs' bits, by the same argument for exact bits); inside a task, runs of equal keys are
-split further in the same way, so that no run compares more than RUN members pairwise. Components then spread over
-the links by alternating large-star and small-star steps, all in DataFrames.
-
-Edge cases: a null, empty or wordless text has fingerprint zero and links as any other; fewer than three words are
-one shingle; rows that share a doc_id are separate rows with one component where they link; a null doc_id is smaller
-than all others and reported as null; no rows give no rows; only identifier and text are read.
+of six interleaved parts of all bits, by the same argument for exact bits), where at most 2^16 fingerprints meet;
+inside a task, runs of equal keys are split further in the same way. Components then spread over the links by
+alternating large-star and small-star steps, all in DataFrames.
+
+near_duplicates() links three-word fingerprints, h being XXH64, as its query's contract says. drop_near_duplicates(),
+a pipeline's stage, asks for five-word shingles and a similarity of 0.8: there a point of the grid is one of three
+fingerprints of a text's words (each weighted by the root of its count), and two texts are linked if one of these
+differs in 3 bits or less, and those of their different five-word shingles in at most 13, the angle of a cosine of
+0.8; or if the latter are equal.
+
+Edge cases: a null, empty or wordless text has fingerprint zero and links as any other; fewer words than a shingle
+has are one shingle; a text of any length is read whole, in blocks; rows that share a doc_id are separate rows with
+one component where they link; a null doc_id is smaller than all others and reported as null; no rows give no rows;
+near_duplicates() reads the identifier and text alone; drop_near_duplicates() passes all columns, of whatever names.
 """
 
 from __future__ import annotations
@@ -25,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NULL_ID, SPACED, chunks, keyed, restored, stored, table, tidy, word_spans
+from .common import LOWER, NULL_ID, SPACED, chunks, free_name, keyed, mix, release, restored, span_hashes, stored, table, tidy, word_spans
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
+#: Of the pipeline's stage: words in a shingle, bits by which shingles' fingerprints may differ, fingerprints of words.
+STAGE_SHINGLE, STAGE_DISTANCE, STAGE_POINTS = 5, 13, 3
 CELL, RUN = 20_000, 2048
 
 
@@ -77,6 +86,51 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", *more).mapInArrow(tidy(run), ", ".join(["id long, fp long", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in more]]))
 
 
+def _majority(values: np.ndarray, bounds: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """For each text the fingerprint of its values (values[bounds[t]:bounds[t + 1]]): bits set in over half their weight."""
+    ones, total = np.zeros((len(bounds) - 1, 64)), np.zeros(len(bounds) - 1)
+    for lo in range(0, len(values), 1 << 16):
+        hi = min(lo + (1 << 16), len(values))
+        t = np.arange(np.searchsorted(bounds, lo, "right") - 1, np.searchsorted(bounds, hi, "left"))
+        t = t[bounds[t + 1] > bounds[t]]
+        at = np.maximum(bounds[t], lo) - lo
+        bits = np.unpackbits(values[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        if weights is None:
+            ones[t] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+            total[t] += np.diff(np.append(at, hi - lo))
+        else:
+            w = weights[lo:hi]
+            ones[t] += np.add.reduceat(bits * w[:, None], at, axis=0, dtype=np.float64)
+            total[t] += np.add.reduceat(w, at, dtype=np.float64)
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def _distinct(owner: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, count, bounds) of each text's different values."""
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.diff(np.append(first, len(h))), np.searchsorted(owner[first], np.arange(texts + 1))
+
+
+def stage_fingerprints_of(data: np.ndarray, offs: np.ndarray, size: int = STAGE_SHINGLE, points: int = STAGE_POINTS) -> list[np.ndarray]:
+    """The shingles' fingerprint of each text of a buffer, and its words' fingerprints."""
+    data, texts = LOWER[data], len(offs) - 1
+    starts, ends, bounds = word_spans(data, offs, SPACED)
+    h = span_hashes(data, starts, ends)
+    n = np.diff(bounds)
+    owner = np.repeat(np.arange(texts), n)
+    take = np.minimum(size, n)[owner]
+    first = np.arange(len(h))
+    whole = first + take <= bounds[1:][owner]
+    first, take = first[whole], take[whole]
+    shingles, _, at = _distinct(owner[whole], span_hashes(h, first, first + take), texts)
+    out = [_majority(shingles, at)]
+    words, count, at = _distinct(owner, h, texts)
+    weight = np.sqrt(count).astype(np.float32)
+    return out + [_majority(mix(words + np.uint64(k + 1)), at, weight) for k in range(points)]
+
+
 def popcounts(fp: np.ndarray) -> np.ndarray:
     """The embedding, two bits for each count."""
     return fp - ((fp >> np.uint64(1)) & np.uint64(0x5555555555555555))
@@ -108,106 +162,110 @@ def _parts(bits: np.ndarray) -> list[np.uint64]:
     return [np.uint64(sum(1 << int(k) for k in np.concatenate(c))) for c in combinations(np.array_split(bits, 6), 3)]
 
 
-def forest(fps: np.ndarray, mask_left: int = 2**64 - 1, depth: int = 0) -> np.ndarray:
-    """Links (pairs of fingerprints, as rows) that connect whatever chains of distances of 3 or less connect.
-
-    fps: distinct; they agree outside mask_left. Runs of up to RUN are compared pairwise, in blocks; others are
-    sorted by each of 20 masks of which one is equal for any linked pair, and their runs are taken alone."""
-    n = len(fps)
-    if n < 2:
+def _tree(a: np.ndarray, b: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (two arrays of b) of a spanning forest: breadth first, so that a dense run costs little more than its length."""
+    embedded, left, right, todo = popcounts(a), [], [], np.arange(len(a))
+    while len(todo) > 1:
+        front, todo = todo[:1], todo[1:]
+        while len(front) and len(todo):
+            part, front = front[:256], front[256:]
+            for lo in range(0, len(todo), 1 << 16):
+                rest = todo[lo : lo + (1 << 16)]
+                x, y = np.nonzero(manhattan(embedded[part][:, None], embedded[rest][None]) <= DISTANCE)
+                ok = np.bitwise_count(a[part[x]] ^ a[rest[y]]) <= DISTANCE
+                if within < 64:
+                    ok &= np.bitwise_count(b[part[x]] ^ b[rest[y]]) <= within
+                met, at = np.unique(y[ok], return_index=True)
+                left.append(b[part[x[ok][at]]])
+                right.append(b[rest[met]])
+                front = np.concatenate([front, rest[met]])
+                todo[lo + met] = -1
+            todo = todo[todo >= 0]
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def forest(a: np.ndarray, b: np.ndarray | None = None, within: int = 64, mask_left: int = 2**64 - 1) -> np.ndarray:
+    """Links (pairs of b, as rows) that connect whatever chains of links connect: a within DISTANCE bits, b within `within`.
+
+    (a, b) are distinct, b is a by default; the a agree outside mask_left. Runs of up to RUN are compared directly;
+    others are sorted by each of 20 masks of which one is equal for any linked pair, and their runs are taken alone."""
+    b = a if b is None else b
+    if len(a) < 2:
         return np.zeros((0, 2), np.uint64)
     bits = np.flatnonzero([(mask_left >> k) & 1 for k in range(64)])
-    if n <= RUN or len(bits) < 12:
-        parent = np.arange(n)
-        embedded = popcounts(fps)
-        pairs = []
-        for lo in range(0, n, 512):
-            near = manhattan(embedded[lo : lo + 512, None], embedded[None]) <= DISTANCE
-            a, b = np.nonzero(near)
-            a += lo
-            ok = (a < b) & (np.bitwise_count(fps[a] ^ fps[b]) <= DISTANCE)
-            for link in zip(a[ok].tolist(), b[ok].tolist()):
-                i, j = link
-                while parent[i] != i:
-                    parent[i] = i = parent[parent[i]]
-                while parent[j] != j:
-                    parent[j] = j = parent[parent[j]]
-                if i != j:
-                    parent[max(i, j)] = min(i, j)
-                    pairs.append(link)
-        return fps[np.array(pairs, np.int64).reshape(-1, 2)]
+    if len(a) <= RUN or len(bits) < 12:
+        return np.stack(_tree(a, b, within), 1)
     links = []
     for mask in _parts(bits):
-        key = fps & mask
+        key = a & mask
         order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        for run in np.split(fps[order], cuts):
+        for run in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(run) > 1:
-                links.append(forest(run, mask_left & ~int(mask), depth + 1))
+                links.append(forest(a[run], b[run], within, mask_left & ~int(mask)))
     return np.concatenate(links) if links else np.zeros((0, 2), np.uint64)
 
 
 def _cells(batches):
-    """(cell, fp): the 20 cells of each fingerprint."""
+    """(cell, a, b): from rows (b, points...) the 20 cells of each point."""
     for batch in batches:
-        fp = batch.column(0).to_numpy().view(np.uint64)
-        points = popcounts(fp)
-        cell = np.concatenate([_hash(points & grid, k) for k, grid in enumerate(_GRIDS)])
-        yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.tile(fp, 20).view(np.int64))], ["cell", "fp"])
+        b, *points = (c.to_numpy().view(np.uint64) for c in batch.columns)
+        for s, a in enumerate(points):
+            embedded = popcounts(a)
+            cell = np.concatenate([_hash(embedded & grid, 20 * s + k) for k, grid in enumerate(_GRIDS)])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (cell, np.tile(a, 20), np.tile(b, 20))], ["cell", "a", "b"])
 
 
 def _hash(key: np.ndarray, grid: int) -> np.ndarray:
     """A cell's name; names that collide only make a larger cell."""
-    from .common import mix
-
     return mix(mix(key) + np.uint64(grid + 1))
 
 
-def _links(level: int):
-    """From rows sorted by cell to links (kind 0: a, b), and, of cells over CELL members, to finer cells (kind 1: cell, fp)."""
-    finer = [m for half in (_parts(np.arange(64)),) for m in half]
+#: The finer cells: bits k, k + 6, k + 12, ... are a part, so each halves whatever bits a cell of the grid leaves free.
+_FINER = [np.uint64(sum(1 << k for k in range(64) if k % 6 in c)) for c in combinations(range(6), 3)]
+
+
+def _links(level: int, within: int = 64):
+    """From rows sorted by cell to links (kind 0: a, b), and, of cells over CELL members, to finer cells (kind 1: cell, a, b)."""
 
     def run(batches):
-        out_a, out_b, out_k, held, name, large = [], [], [], [], None, False
+        out, held, size, name, large = [], [], 0, None, False
 
-        def defer(fp):
-            if len(fp):
-                for k, mask in enumerate(finer):
-                    out_a.append(_hash(fp & mask, 100 + 20 * level + k) ^ np.uint64(name & (2**64 - 1)))
-                    out_b.append(fp)
-                    out_k.append(np.ones(len(fp), np.int32))
+        def defer(a, b):
+            for k, mask in enumerate(_FINER):
+                out.append((np.ones(len(a), np.int32), _hash(a & mask, 1000 + k) ^ np.uint64(name & (2**64 - 1)), a, b))
 
         def close():
-            if held and not large:
-                got = forest(np.unique(np.concatenate(held)))
-                out_a.append(got[:, 0])
-                out_b.append(got[:, 1])
-                out_k.append(np.zeros(len(got), np.int32))
+            if size > 1:
+                points = np.unique(np.concatenate([np.stack(x, 1) for x in held]), axis=0)
+                got = forest(np.ascontiguousarray(points[:, 0]), np.ascontiguousarray(points[:, 1]), within)
+                out.append((np.zeros(len(got), np.int32), np.zeros(len(got), np.uint64), got[:, 0], got[:, 1]))
 
         def ready():
-            a, b, k = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((out_a, np.uint64), (out_b, np.uint64), (out_k, np.int32)))
-            out_a.clear(), out_b.clear(), out_k.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
+            kinds = [np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int32 if k == 0 else np.uint64) for k in range(4)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(kinds[0]), *[pa.array(x.view(np.int64)) for x in kinds[1:]]], ["kind", "cell", "a", "b"])
 
         for batch in batches:
-            cell, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            cell, a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().view(np.uint64)
             if not len(cell):
                 continue
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if cell[lo] != name:
                     close()
-                    held, name, large = [], int(cell[lo]), False
-                if hi - lo == 1 and not held and not large and hi < len(cell):
+                    held, size, name, large = [], 0, int(cell[lo]), False
+                if hi - lo == 1 and not size and not large and hi < len(cell):
                     continue  # alone in its cell
                 if large:
-                    defer(fp[lo:hi])
+                    defer(a[lo:hi], b[lo:hi])
                     continue
-                held.append(fp[lo:hi].copy())
-                if level == 0 and sum(map(len, held)) > CELL:
-                    large = True
-                    defer(np.concatenate(held))
-                    held = []
+                held.append((a[lo:hi].copy(), b[lo:hi].copy()))
+                size += hi - lo
+                if level == 0 and size > CELL:
+                    for x in held:
+                        defer(*x)
+                    held, size, large = [], 0, True
             yield ready()
         close()
         yield ready()
@@ -215,20 +273,22 @@ def _links(level: int):
     return run
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints (fp) that connect all that lie in one component, and no others."""
-    shape = "kind int, a long, b long"
-    cells = fps.select("fp").mapInArrow(tidy(_cells), "cell long, fp long")
-    first = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_links(0)), shape))
-    again = first.where("kind = 1").selectExpr("a cell", "b fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_links(1)), shape)
-    return first.where("kind = 0").select("a", "b").unionByName(again.where("kind = 0").select("a", "b"))
+def links(points: DataFrame, within: int = 64) -> DataFrame:
+    """(a, b): links between distinct rows (b, points...), named by b, that connect all that lie in one component, and no others."""
+    shape = "kind int, cell long, a long, b long"
+    cells = points.mapInArrow(tidy(_cells), "cell long, a long, b long")
+    first = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_links(0, within)), shape))
+    again = first.where("kind = 1").select("cell", "a", "b").repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_links(1, within)), shape)
+    out = stored(first.where("kind = 0").select("a", "b").unionByName(again.where("kind = 0").select("a", "b")))
+    release(first)
+    return out
 
 
 def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
     """(node, root) of each node of edges (a, b): alternating large-star and small-star steps until nothing moves.
 
     Groups are only ever reduced to a minimum, never collected, and each step's links are stored in the shared folder."""
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), edges)
     before = None
     for _ in range(most):
         both = now.unionByName(now.selectExpr("b a", "a b"))
@@ -236,52 +296,69 @@ def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a and b <> m").selectExpr("b a", "m b").distinct()  # large star: larger neighbours go to the minimum
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").selectExpr("b a", "m b").unionByName(down.selectExpr("a", "m b")).where("a <> b").distinct()
-        now = stored(small)
+        now = stored(small, now)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError("components didn't settle")
-    return now.selectExpr("a node", "b root")
-
-
-def rooted(distinct: DataFrame) -> DataFrame:
-    """(fp, first, root) of distinct fingerprints (fp, first): root is the same in a whole component."""
-    roots = components(links(distinct))
-    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    out = now.selectExpr("a node", "b root")
+    out._stored_at = now._stored_at
+    return out
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): component is the smallest id reachable by links, as stored for nulls (see keyed())."""
     prints = stored(fingerprints(keyed(df, id_col, text_col)))
-    found = rooted(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = components(links(distinct.selectExpr("fp b", "fp point")))
+    found = stored(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), distinct, roots)
     least = found.groupBy("root").agg(F.min("first").alias("component"))
-    named = stored(found.join(least, "root").select("fp", "component"))
+    named = stored(found.join(least, "root").select("fp", "component"), found)
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
+def stage_fingerprints(docs: DataFrame) -> DataFrame:
+    """(id, h1, h2, b, p0, p1, ...) of rows (id, text, h1, h2)."""
+    names = ["b", *[f"p{k}" for k in range(STAGE_POINTS)]]
+
+    def run(batches):
+        for batch in batches:
+            got = [stage_fingerprints_of(data, offs) for _, _, data, offs in chunks(batch.column(1))]
+            columns = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, np.uint64)] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *[pa.array(x.view(np.int64)) for x in columns]], ["id", "h1", "h2", *names])
+
+    return docs.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ("id", "h1", "h2", *names)))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component, all columns: the smallest by doc_id (nulls first) and a hash of the text; of rows equal in both, the smallest."""
+    """One row of each component, all columns: the smallest by doc_id (nulls first) and a hash of the text; of rows equal in both, the smallest.
+
+    Texts cross the network once, in a merge join that is the same at every size: what is kept grows with the input."""
     names = ("id", "h1", "h2")
-    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
-    prints = stored(fingerprints(keyed(docs, "doc_id", "text").select("id", "text", *hashes)))
+    prints = stored(stage_fingerprints(keyed(docs, "doc_id", "text").select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))))
     # equal rows are counted, and each fingerprint is reduced to one candidate, before components meet
-    counted = prints.groupBy("fp", *names).agg(F.count("*").alias("n"))
-    found = rooted(stored(counted.groupBy("fp").agg(F.min(F.struct(*names, "n")).alias("first"))))
-    kept = stored(found.groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
-    text = F.col("text").cast("string")
-    keys = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)}
+    firsts = stored(prints.groupBy("b", *names).agg(F.count("*").alias("n")).groupBy("b").agg(F.min(F.struct(*names, "n")).alias("first")))
+    points = stored(prints.drop(*names).distinct(), prints)
+    edges = links(points, STAGE_DISTANCE)
+    release(points)
+    roots = components(edges)
+    found = firsts.join(roots, firsts["b"] == roots["node"], "left").groupBy(F.coalesce("root", "b").alias("root")).agg(F.min("first").alias("first"))
+    kept = stored(found.select("first.*"), firsts, roots)
+    text = F.col("`text`").cast("string")
+    keys = {"id": F.coalesce(F.col("`doc_id`").cast("long"), F.lit(NULL_ID)), "h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)}
+    own = {c: free_name(docs, f"_kept_{c}") for c in names}
 
     def rows(which):
-        which = which.select([F.col(c).alias(f"_kept_{c}") for c in names])
-        return docs.join(which, [keys[c] == F.col(f"_kept_{c}") for c in names], "left_semi")
+        which = which.select([F.col(c).alias(own[c]) for c in names]).hint("merge")
+        return docs.join(which, [keys[c] == F.col(own[c]) for c in names], "left_semi")
 
     out = rows(kept.where("n = 1"))
-    repeated = stored(kept.where("n > 1"))
+    repeated = kept.where("n > 1")
     if repeated.isEmpty():
         return out
-    least = rows(repeated).groupBy(*[keys[c].alias(f"_kept_{c}") for c in names]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    least = rows(repeated).groupBy(*[keys[c].alias(own[c]) for c in names]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
     return out.unionByName(least.select("_row.*"))
 
 
