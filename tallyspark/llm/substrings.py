@@ -14,7 +14,9 @@ every document: windows and reference meet by content instead.
 
 A shard's automaton has the different segments of one anchor only. Anchors in over HOT documents (a passage that a
 share of all documents hold, with as many different neighbours) are dealt out by single windows, salted by content,
-so no task holds their neighbourhoods.
+so no task holds their neighbourhoods. Before anything is dealt out, a task sends of each BUFFER bytes of segments only
+the first of those that are equal; the others are covered whole and go on as spans without words. So a passage that a
+third of all documents hold costs its shard a row for each buffer, not for each document.
 
 Edge cases: null, empty and short texts lose nothing; rows with equal id and text are one document and get equal
 results; rows with equal id and different texts are ordered by a hash of the text; a null id comes first; no rows
@@ -23,17 +25,17 @@ give no rows; only identifier and text are read.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACED, chunks, keyed, restored, run_hashes, span_hashes, table, text_buffers, tidy, word_spans
+from .common import SPACED, chunks, keyed, mix, restored, run_hashes, span_hashes, table, text_buffers, tidy, word_spans
 
 WINDOW, ANCHOR, HOT = 20, 8, 1000
+#: Bytes of segments that a task looks through for equal ones at once.
+BUFFER = 32 << 20
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, k: int = ANCHOR):
@@ -130,13 +132,31 @@ def _anchor_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key[cuts].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(n, pa.int32())], ["anchor", "id", "th", "n"])
 
 
-_SEGMENTS = "shard long, id long, th long, start int, words binary"
+_SEGMENTS = "shard long, id long, th long, start int, end int, words binary"
+
+
+def _reduced(parts: list[tuple]) -> pa.RecordBatch:
+    """Of parts (shard, digest, id, th, start, end, words): the first of equal segments with its words, the others dealt out by place, without."""
+    shard, digest, i, t, start, end = (np.concatenate([p[k] for p in parts]) for k in range(6))
+    words = [w for p in parts for w in p[6]]
+    order = np.lexsort((start, t, i, digest, shard))
+    first = np.ones(len(order), bool)
+    first[1:] = (shard[order][1:] != shard[order][:-1]) | (digest[order][1:] != digest[order][:-1])
+    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    again = ~first & (i[order] == i[lead]) & (t[order] == t[lead]) & (start[order] == start[lead])  # rows that repeat are one document
+    order, first = order[~again], first[~again]
+    shard, i, t, start, end = (x[order] for x in (shard, i, t, start, end))
+    shard = np.where(first, shard, mix(t.view(np.uint64) ^ start.astype(np.uint64)))
+    kept = pa.array([words[k] if alone else None for k, alone in zip(order.tolist(), first.tolist())], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(i), pa.array(t), pa.array(start, pa.int32()), pa.array(end, pa.int32()), kept], ["shard", "id", "th", "start", "end", "words"])
 
 
 def _segments(batches):
-    """(shard, id, th, start, words) of each run of windows with a repeated anchor."""
+    """(shard, id, th, start, end, words) of each run of windows with a repeated anchor; words is null if an earlier segment is equal."""
+    parts, size = [], 0
     for batch in batches:
         known, hot = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for lo, hi, data, offs in chunks(batch.column(2)):
             starts, ends, bounds, h, at, place, key = anchors(data, offs)
             owner = np.searchsorted(bounds, at, "right") - 1
@@ -172,14 +192,17 @@ def _segments(batches):
             if not row:
                 continue
             shard, row, first, count = map(np.concatenate, (shard, row, first, count))
-            if not len(row):
-                continue
-            raw = data.tobytes()
-            words = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first + count - 1].tolist())]
-            rows = pa.array(row + lo)
-            for cut in range(0, len(row), 20_000):
-                part = slice(cut, cut + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[part].view(np.int64)), batch.column(0).take(rows[part]), batch.column(1).take(rows[part]), pa.array((first - bounds[row])[part], pa.int32()), pa.array(words[part], pa.binary())], ["shard", "id", "th", "start", "words"])
+            for cut in range(0, len(row), 50_000):
+                part = slice(cut, cut + 50_000)
+                r, f, e = row[part], first[part], first[part] + count[part]
+                words = [data[x:y].tobytes() for x, y in zip(starts[f].tolist(), ends[e - 1].tolist())]
+                parts.append((shard[part], span_hashes(h, f, e), ids[r + lo], hashes[r + lo], f - bounds[r], e - bounds[r], words))
+                size += sum(map(len, words))
+                if size > BUFFER:
+                    yield _reduced(parts)
+                    parts, size = [], 0
+    if parts:
+        yield _reduced(parts)
 
 
 def _removed(batches):
@@ -187,15 +210,17 @@ def _removed(batches):
     shard, seen, todo, grown = None, {}, [], None
     for batch in batches:
         out = []
-        for s, i, t, start, raw in zip(*(batch.column(c).to_pylist() for c in range(5))):
+        for s, i, t, start, end, raw in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            if raw is None:
+                out.append((i, t, start, end))
+                continue
             if s != shard:
                 shard, seen, todo, grown = s, {}, [], None
             words = raw.split()
             name = b" ".join(words)
-            digest = hashlib.blake2b(name, digest_size=16).digest()
-            if digest in seen:
-                if seen[digest] != (i, t, start):
-                    out.append((i, t, start, start + len(words)))
+            if name in seen:
+                if seen[name] != (i, t, start):
+                    out.append((i, t, start, end))
                 continue
             if seen:
                 grown = grown or Automaton()
@@ -212,7 +237,7 @@ def _removed(batches):
                         b = k + 1
                 if a is not None:
                     out.append((i, t, start + a, start + b))
-            seen[digest] = (i, t, start)
+            seen[name] = (i, t, start)
             todo.append(words)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "th", "start", "end"])
 
