@@ -6,32 +6,37 @@ order's probability. A document's perplexity is the exponential of its mean surp
 kept if that lies between two quantiles of its language's trusted documents, widened by a factor: junk of rare
 symbols is over the upper one, mindless repetition under the lower one.
 
-The table of probabilities is joined to the documents as a broadcast if it has at most BROADCAST rows (12 bytes each),
-else as a sharded join of each document's own n-gram counts.
+Documents meet the table of probabilities shard by shard: each shard has about SHARD rows (12 bytes each) and is
+broadcast, and a pass over the documents adds what it knows of their n-grams to a running sum, so texts and n-grams
+are never shuffled and no broadcast grows with the table.
 
 Edge cases: a null text is the empty text, which has the end mark alone; a null language is a language of its own;
 a language without trusted text has no model: perplexity and thresholds are null and the document is kept; labels
 that are null are none, and a doc_id that is labelled twice is trusted if all labels are 1; repeated rows are each
-scored; no rows give no rows; only the named columns are read.
+scored; a very long text is counted and scored whole, alone in its chunk; no rows give no rows; only the named columns
+are read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, stored, table, tidy
+from .common import chunks, mix, release, small, stored, table, tidy
 
 ORDER = 4
 LOW, HIGH, SLACK = 0.005, 0.97, 1.1
 #: The thresholds of a text of n symbols are wider by exp(SHORT / sqrt(n)): means over few symbols scatter.
 SHORT = 1.5
-BROADCAST = 3_000_000
-#: Trusted identifiers that are broadcast at most; more are joined.
-TRUSTED = 4_000_000
+#: Rows of the table of probabilities in a broadcast.
+SHARD = 2_000_000
+#: Trusted identifiers that are broadcast at most; more are joined. Languages likewise.
+TRUSTED, LANGUAGES = 4_000_000, 100_000
 
 
 def ngrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,19 +104,21 @@ def _null(lang: str):
 def probabilities(counts: DataFrame) -> DataFrame:
     """(lang, g, logp) of each n-gram of counts, for languages that have trusted text; lang null as chr(0)."""
     corpus = stored(counts.select(_null("lang").alias("lang"), "g", "c"))
-    grams = {ORDER: corpus.where("c > 0")}
+    grams, cuts = {ORDER: corpus.where("c > 0")}, {}
     for n in range(ORDER - 1, 0, -1):
         # each n-gram's continuation count: how many different symbols stand before it
-        grams[n] = grams[n + 1].select("lang", F.expr(f"g & {(1 << 8 * n) - 1}").alias("g")).groupBy("lang", "g").agg(F.count("*").alias("c"))
-    wanted = corpus.select("lang", "g").join(grams[1].select("lang").distinct(), "lang", "left_semi")
+        grams[n] = stored(grams[n + 1].select("lang", F.expr(f"g & {(1 << 8 * n) - 1}").alias("g")).groupBy("lang", "g").agg(F.count("*").alias("c")))
+    # joins by language alone are broadcasts of a row for each language: else all n-grams of a language would meet
+    known = stored(grams[1].select("lang").distinct())
+    wanted = corpus.select("lang", "g").join(small(known, LANGUAGES), "lang", "left_semi")
     lower = None
     for n in range(1, ORDER + 1):
         mask = (1 << 8 * n) - 1
         tally = grams[n].groupBy("lang").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
         y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
         cut = lambda k: F.greatest(F.lit(0.1), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.when(F.col(f"n{k + 1}") > 0, F.col(f"n{k + 1}")) / F.when(F.col(f"n{k}") > 0, F.col(f"n{k}")), F.lit(0.5 * k))))  # noqa: E731, B023
-        cuts = tally.select("lang", *[cut(k).alias(f"d{k}") for k in (1, 2, 3)])
-        counted = grams[n].join(cuts, "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        cuts[n] = stored(tally.select("lang", *[cut(k).alias(f"d{k}") for k in (1, 2, 3)]))
+        counted = grams[n].join(small(cuts[n], LANGUAGES), "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         contexts = counted.groupBy("lang", F.expr("g div 256").alias("h")).agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
         asked = wanted.select("lang", F.expr(f"g & {mask}").alias("g")).distinct() if n < ORDER else wanted
         rows = asked.join(counted.select("lang", "g", (F.col("c") - F.col("d")).alias("own")), ["lang", "g"], "left").withColumn("h", F.expr("g div 256")).join(contexts, ["lang", "h"], "left")
@@ -120,7 +127,8 @@ def probabilities(counts: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("s", F.expr(f"g & {(1 << 8 * (n - 1)) - 1}")).join(lower.select("lang", F.col("g").alias("s"), F.col("p").alias("below")), ["lang", "s"])
         p = F.coalesce(F.coalesce("own", F.lit(0.0)) / F.col("total") + F.col("mass") / F.col("total") * F.col("below"), F.col("below"))
-        lower = stored(rows.select("lang", "g", p.alias("p")))
+        lower = stored(rows.select("lang", "g", p.alias("p")), *([lower] if lower is not None else []))
+    release(corpus, known, *cuts.values(), *[grams[n] for n in range(1, ORDER)])
     return lower.select("lang", "g", F.ln("p").cast("float").alias("logp"))
 
 
@@ -158,11 +166,9 @@ class Lookup:
         return out
 
 
-_SCORED = "doc_id long, lang string, trusted boolean, n_symbols long, surprise double"
-
-
-def _scored_by_broadcast(docs: DataFrame, table_: DataFrame) -> DataFrame:
-    rows = table_.orderBy("lang").toArrow()  # at most BROADCAST rows
+def _added(docs: DataFrame, shard: DataFrame) -> DataFrame:
+    """docs with what a shard's n-grams add to n_symbols and surprise."""
+    rows = shard.orderBy("lang").toArrow()  # about SHARD rows
     runs = pc.run_end_encode(rows.column("lang").combine_chunks()) if rows.num_rows else None
     ends = [0, *(runs.run_ends.to_pylist() if runs is not None else [])]
     keys, values = rows.column("g").to_numpy(), rows.column("logp").to_numpy()
@@ -171,7 +177,8 @@ def _scored_by_broadcast(docs: DataFrame, table_: DataFrame) -> DataFrame:
     def run(batches):
         tables: dict = {}
         for batch in batches:
-            n, surprise = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, np.nan)
+            surprise = batch.column("surprise").to_numpy(zero_copy_only=False).copy()
+            n = np.zeros(batch.num_rows, np.int64)
             for lang, rows, data, offs, _ in _by_language(batch, 1 << 18):
                 keys, bounds = ngrams(data, offs)
                 n[rows] = np.diff(bounds)
@@ -179,40 +186,33 @@ def _scored_by_broadcast(docs: DataFrame, table_: DataFrame) -> DataFrame:
                 if name in shared.value:
                     if name not in tables:
                         tables[name] = Lookup(*shared.value[name])
-                    surprise[rows] = -np.add.reduceat(tables[name](keys).astype(np.float64), bounds[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("trusted"), pa.array(n), pa.array(surprise, from_pandas=True)], ["doc_id", "lang", "trusted", "n_symbols", "surprise"])
-
-    return docs.select("doc_id", "text", "lang", "trusted").mapInArrow(tidy(run), _SCORED)
+                    surprise[rows] = np.nan_to_num(surprise[rows]) - np.add.reduceat(tables[name](keys).astype(np.float64), bounds[:-1])
+            at = {"n_symbols": pa.array(n), "surprise": pa.array(surprise, from_pandas=True)}
+            yield pa.RecordBatch.from_arrays([at.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
+    return docs.mapInArrow(tidy(run), docs.schema)
 
-def _scored_by_join(docs: DataFrame, table_: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for lang, rows, data, offs, _ in _by_language(batch, 1 << 18):
-                keys, bounds = ngrams(data, offs)
-                owner = np.repeat(np.arange(len(rows), dtype=np.uint64), np.diff(bounds))
-                both, c = np.unique((owner << np.uint64(32)) | keys, return_counts=True)
-                at = pa.array(rows[(both >> np.uint64(32)).astype(np.int64)])
-                yield pa.RecordBatch.from_arrays([batch.column("row").take(at), pa.array(["\0" if lang is None else lang] * len(c), pa.string()), pa.array((both & np.uint64(2**32 - 1)).astype(np.int64)), pa.array(c)], ["row", "l", "g", "n"])
 
-    numbered = stored(docs.select("doc_id", "text", "lang", "trusted").withColumn("row", F.monotonically_increasing_id()))
-    own = numbered.mapInArrow(tidy(run), "row long, l string, g long, n long")
-    sums = own.join(table_, (own["l"] == table_["lang"]) & (own["g"] == table_["g"]), "left").groupBy("row").agg(F.sum("n").alias("n_symbols"), F.sum(-F.col("n") * F.col("logp").cast("double")).alias("surprise"))
-    return numbered.drop("text").join(sums, "row").select("doc_id", "lang", "trusted", "n_symbols", "surprise")
+def _scored(docs: DataFrame, model: DataFrame, shard_rows: int) -> DataFrame:
+    """(doc_id, lang, trusted, n_symbols, surprise) of each row; surprise is null without a model of its language."""
+    out = docs.select("doc_id", "text", "lang", "trusted", F.lit(0).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("surprise"))
+    shards = max(1, math.ceil(model.count() / shard_rows))
+    for k in range(shards):
+        out = _added(out, model.where(F.pmod(F.xxhash64("lang", "g"), F.lit(shards)) == k))
+    return out.drop("text")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, low: float = LOW, high: float = HIGH, slack: float = SLACK, broadcast_rows: int = BROADCAST) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, low: float = LOW, high: float = HIGH, slack: float = SLACK, short: float = SHORT, shard_rows: int = SHARD) -> DataFrame:
     """(doc_id, lang, trusted, n_symbols, perplexity, low, high, keep) of each row of docs (doc_id, text, lang)."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_good")).agg(F.min("quality").alias("q")).where("q = 1").select("_good")
-    if good.count() <= TRUSTED:
-        good = F.broadcast(good)
+    good = small(stored(good), TRUSTED)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.join(good, F.col("doc_id") == F.col("_good"), "left").withColumn("trusted", F.col("_good").isNotNull()).drop("_good")
     model = probabilities(count_ngrams(docs))
-    score = _scored_by_broadcast if model.count() <= broadcast_rows else _scored_by_join
-    scored = stored(score(docs, model).withColumn("perplexity", F.exp(F.col("surprise") / F.col("n_symbols"))))
+    scored = stored(_scored(docs, model, shard_rows).withColumn("perplexity", F.exp(F.col("surprise") / F.col("n_symbols"))))
     limits = scored.where("trusted and perplexity is not null").groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("q")).select("_lang", (F.col("q")[0] / slack).alias("low"), (F.col("q")[1] * slack).alias("high"))
-    wider = F.exp(F.lit(SHORT) / F.sqrt("n_symbols"))
+    limits = small(stored(limits), LANGUAGES)
+    wider = F.exp(F.lit(short) / F.sqrt("n_symbols"))
     out = scored.join(limits, scored["lang"].eqNullSafe(limits["_lang"]), "left")
     return out.select("doc_id", "lang", "trusted", "n_symbols", "perplexity", "low", "high", F.coalesce(F.col("perplexity").between(F.col("low") / wider, F.col("high") * wider), F.lit(True)).alias("keep"))
 
