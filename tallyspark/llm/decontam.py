@@ -2,21 +2,26 @@
 
 A pattern is a window of 10 consecutive words of a benchmark item (or a whole shorter item). A block is the last two
 words of a position; the shift table says how far the search can move on from it (9 words, if the block is in no
-pattern), so most positions are never looked at. Where the shift is 0, the block's hash selects a bucket of patterns,
-and a direct comparison of the words' bytes confirms an occurrence. Many pointers move through a batch at once, each
-over its own lane of positions. Patterns are grouped by their number of words; each group has its own table.
+pattern), so most positions are never looked at. The table has 64 slots or more for each pattern, so that a full block
+of patterns still leaves nine tenths of it at the full shift. Where the shift is 0, the block's hash selects a bucket of patterns,
+a hash of the whole window picks the candidate in it, and a direct comparison of the words' bytes confirms the
+occurrence. Many pointers move through a batch at once, each over its own lane of positions. Patterns are grouped by
+their number of words; each group has its own table, built once in each worker.
 
 Patterns go to the executors in blocks of at most BLOCK patterns: one broadcast of a bounded size for each pass over
 the documents; with one block there is one pass and no shuffle.
 
 Edge cases: null, empty or wordless documents have no words and no hits; items without words have no pattern; an
 item_id that repeats adds its windows to the same item; a null item_id counts as the item "null" if its text has
-words; rows that repeat are each reported, in one pass or many; an empty benchmark leaves all clean; only identifiers and texts are read.
+words; rows that repeat are each reported, in one pass or many; a very long text is searched whole, alone in its chunk; an
+empty benchmark leaves all clean; find_patterns() reads only identifiers and texts, drop_contaminated() passes all columns.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, chunks, keyed, restored, span_hashes, table, tidy, word_spans
 
-WINDOW, LANE, TABLE_BITS = 10, 256, 18
+WINDOW, LANE = 10, 256
+#: Bits of the smallest and of the largest shift table.
+TABLE_BITS = 16, 24
 #: Patterns in a broadcast; about 150 bytes each.
 BLOCK = 200_000
 
@@ -37,15 +44,11 @@ def words_of(text: str | None) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def patterns_of(text: str | None, window: int = WINDOW) -> set[tuple[bytes, ...]]:
+def patterns_of(text: str | None, window: int = WINDOW) -> set[tuple[int, bytes]]:
+    """(number of words, words joined by spaces) of each window of an item."""
     w = words_of(text)
-    return {tuple(w[k : k + window]) for k in range(max(1, len(w) - window + 1))} if w else set()
-
-
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    return span_hashes(data, ends - np.array([len(w) for w in words]), ends)
+    m = min(window, len(w))
+    return {(m, b" ".join(w[k : k + m])) for k in range(len(w) - m + 1)} if w else set()
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,21 +56,25 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Group:
-    """Shift table and buckets of the patterns of one length in words."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]]):
-        self.m = len(next(iter(patterns)))
-        self.block = min(2, self.m)
-        hashes = _hash_words([w for p in patterns for w in p]).reshape(len(patterns), self.m)
-        far = self.m - self.block + 1
-        self.shift = np.full(1 << TABLE_BITS, far, np.uint8)
-        self.buckets = defaultdict(list)
-        for k in range(self.block - 1, self.m):
+    """Shift table and buckets of the patterns {words: items} of m words each."""
+
+    def __init__(self, m: int, patterns: dict[bytes, list[str]]):
+        self.m, self.block = m, min(2, m)
+        self.bits = min(max(TABLE_BITS[0], (64 * len(patterns) - 1).bit_length()), TABLE_BITS[1])
+        data = np.frombuffer(b" ".join(patterns), np.uint8)
+        starts, ends, _ = word_spans(data, np.array([0, len(data)]), ALNUM)
+        hashes = span_hashes(data, starts, ends).reshape(len(patterns), m)
+        far = m - self.block + 1
+        self.shift = np.full(1 << self.bits, far, np.uint8)
+        for k in range(self.block - 1, m):
             at = self.blocks(hashes[:, k - self.block + 1], hashes[:, k])
-            np.minimum.at(self.shift, (at >> np.uint64(64 - TABLE_BITS)).astype(np.int64), min(far, self.m - 1 - k))
-        for p, h in zip(patterns.items(), at.tolist()):
-            self.buckets[h].append(p)
-        self.suffixes = np.unique(at)
+            np.minimum.at(self.shift, (at >> np.uint64(64 - self.bits)).astype(np.int64), min(far, m - 1 - k))
+        whole = span_hashes(hashes.reshape(-1), m * np.arange(len(patterns)), m * np.arange(1, len(patterns) + 1))
+        order = np.lexsort((whole, at))
+        #: Buckets, as rows sorted by suffix and window.
+        self.suffixes, self.windows = at[order], whole[order]
+        known = list(patterns.items())
+        self.patterns = [known[k] for k in order.tolist()]
 
     def blocks(self, a, b):
         return _pairs(a, b) if self.block == 2 else b * np.uint64(0x9E3779B97F4A7C15)
@@ -78,7 +85,7 @@ class Group:
         pos, stop, found = first, np.minimum(first + LANE, len(h)), []
         while len(pos):
             block = self.blocks(h[pos - self.block + 1], h[pos])
-            step = self.shift[(block >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.int64)
+            step = self.shift[(block >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
             hit = np.flatnonzero(step == 0)
             if len(hit):
                 at = np.searchsorted(self.suffixes, block[hit])
@@ -89,6 +96,12 @@ class Group:
             pos, stop = pos[on], stop[on]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
+    def bucket(self, suffix: int, window: int) -> Iterator[tuple[bytes, list[str]]]:
+        """The patterns of a suffix with this hash of the whole window."""
+        lo, hi = np.searchsorted(self.suffixes, np.uint64(suffix)), np.searchsorted(self.suffixes, np.uint64(suffix), "right")
+        lo, hi = lo + np.searchsorted(self.windows[lo:hi], np.uint64(window)), lo + np.searchsorted(self.windows[lo:hi], np.uint64(window), "right")
+        return iter(self.patterns[lo:hi])
+
 
 def search(groups: list[Group], data: np.ndarray, offs: np.ndarray):
     """(words of each text, [(text, first word, end word, item ids of the pattern)])."""
@@ -101,17 +114,49 @@ def search(groups: list[Group], data: np.ndarray, offs: np.ndarray):
             continue
         owner = np.searchsorted(bounds, pos, "right") - 1
         ok = pos - g.m + 1 >= bounds[owner]
-        last = g.blocks(h[pos - g.block + 1], h[pos])
-        for p, t, key in zip(pos[ok].tolist(), owner[ok].tolist(), last[ok].tolist()):
+        pos, owner = pos[ok], owner[ok]
+        suffix, window = g.blocks(h[pos - g.block + 1], h[pos]), span_hashes(h, pos - g.m + 1, pos + 1)
+        likely = np.isin(window, g.windows)
+        for p, t, x, y in zip(pos[likely].tolist(), owner[likely].tolist(), suffix[likely].tolist(), window[likely].tolist()):
             lo = p - g.m + 1
             words = None
-            for pattern, items in g.buckets[key]:
-                words = words or tuple(data[a:b].tobytes() for a, b in zip(starts[lo : p + 1].tolist(), ends[lo : p + 1].tolist()))
+            for pattern, items in g.bucket(x, y):
+                words = words or b" ".join(data[a:b].tobytes() for a, b in zip(starts[lo : p + 1].tolist(), ends[lo : p + 1].tolist()))
                 if pattern == words:
                     hits.append((t, lo - int(bounds[t]), p + 1 - int(bounds[t]), items))
     return np.diff(bounds), hits
 
 
+#: The tables of the last broadcast that this worker has met.
+_built: dict[str, list[Group]] = {}
+
+
+def _groups(value: tuple[str, dict]) -> list[Group]:
+    name, by_size = value
+    if name not in _built:
+        _built.clear()
+        _built[name] = [Group(m, by_size[m]) for m in sorted(by_size)]
+    return _built[name]
+
+
+def _blocks(benchmark: DataFrame, window: int, block: int, items: bool) -> Iterator[tuple[str, dict]]:
+    """The benchmark's patterns in blocks, as {words: {pattern: items}}; read one partition at a time."""
+    by_size, held = defaultdict(dict), 0
+    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("string")).toLocalIterator():
+        for m, p in patterns_of(row[1], window):
+            own = by_size[m].get(p)
+            if own is None:
+                own = by_size[m][p] = []
+                held += 1
+            if items and row[0] not in own:
+                own.append(row[0])
+        if held >= block:
+            yield uuid.uuid4().hex, dict(by_size)
+            by_size, held = defaultdict(dict), 0
+    if held:
+        yield uuid.uuid4().hex, dict(by_size)
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -127,12 +172,12 @@ _found = "n_words long, spans array<struct<start:int,end:int>>, items array<stri
 
 def find_patterns(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(id, n_words, spans of hit words, items) of each row of keyed(): merged spans and sorted item ids."""
-    spark, shared = docs.sparkSession, []
+    spark = docs.sparkSession
     shape = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
     def finder(shared):
         def run(batches):
-            groups = [Group(p) for p in shared.value]
+            groups = _groups(shared.value)
             for batch in batches:
                 for lo, hi, data, offs in chunks(batch.column(1)):
                     n, hits = search(groups, data, offs)
@@ -145,21 +190,7 @@ def find_patterns(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
         return run
 
-    def flush(by_size):
-        shared.append(spark.sparkContext.broadcast([by_size[k] for k in sorted(by_size)]))
-
-    by_size, held = defaultdict(dict), 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("string")).toLocalIterator():  # one partition at a time
-        for p in patterns_of(row[1], window):
-            if p not in by_size[len(p)]:
-                by_size[len(p)][p], held = [], held + 1
-            if row[0] not in by_size[len(p)][p]:
-                by_size[len(p)][p].append(row[0])
-        if held >= block:
-            flush(by_size)
-            by_size, held = defaultdict(dict), 0
-    if held or not shared:
-        flush({k: v for k, v in by_size.items() if v})
+    shared = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window, block, True)] or [spark.sparkContext.broadcast(("", {}))]
     if len(shared) == 1:
         return docs.select("id", "text").mapInArrow(tidy(finder(shared[0])), f"id long, {_found}")
     # more patterns than one broadcast holds: the passes' spans meet by id and text, and equal rows, which have equal
@@ -181,7 +212,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WI
 
     def cleaner(shared):
         def run(batches):
-            groups = [Group(p) for p in shared.value]
+            groups = _groups(shared.value)
             for batch in batches:
                 at = batch.schema.get_field_index("text")
                 for lo, hi, data, offs in chunks(batch.column(at)):
@@ -191,22 +222,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WI
 
         return run
 
-    by_size, held = defaultdict(dict), 0
-
-    def flush():
-        nonlocal docs, held
-        docs = docs.mapInArrow(tidy(cleaner(spark.sparkContext.broadcast([by_size[k] for k in sorted(by_size)]))), schema)
-        by_size.clear()
-        held = 0
-
-    for row in benchmark.select(F.col("text").cast("string")).toLocalIterator():
-        for p in patterns_of(row[0], window):
-            held += p not in by_size[len(p)]
-            by_size[len(p)][p] = [""]
-        if held >= block:
-            flush()
-    if held:
-        flush()
+    for b in _blocks(benchmark, window, block, False):
+        docs = docs.mapInArrow(tidy(cleaner(spark.sparkContext.broadcast(b))), schema)
     return docs
 
 
