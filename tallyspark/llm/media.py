@@ -4,8 +4,13 @@ An Aho-Corasick automaton finds every magic byte string in one pass over the sto
 then confirms structure and length at that place. The first confirmed format at offset 0 corrects the declared type;
 confirmed formats at later offsets are carved as embedded media.
 
+Whatever a validator looks for behind its magic (ends of archives and revisions, chains of chunks) is found once for
+all magics of a blob, so many magic strings in a long text cost no more than its length.
+
 Edge cases: null or empty bytes have no type (detected null, no embedded media); a magic string whose structure is
-not confirmed is ignored; repeated rows give repeated rows; other columns are neither read nor able to clash.
+not confirmed is ignored; of two formats confirmed at one offset the first found counts; a medium inside another one
+is reported too, by its own offset; texts of 4 GiB and more don't fit a WAV file's length fields (Spark's rows end at
+2 GiB before that); repeated rows give repeated rows; other columns are neither read nor able to clash.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +48,74 @@ BLOCK = 576
 RATE = 8000
 
 
-def _wav(b: bytes, at: int) -> int | None:
+class Blob:
+    """The bytes under test, with what validators look up in them, found at the first use."""
+
+    def __init__(self, b: bytes):
+        self.b, self.walks = b, {}
+
+    @cached_property
+    def image_ends(self) -> list[int]:
+        """Places of the JPEG end marker."""
+        return [m.start() for m in re.finditer(rb"\xff\xd9", self.b)]
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Start of each ZIP archive that an end record's offsets name, and the first such archive's end."""
+        out: dict[int, int] = {}
+        for m in re.finditer(rb"PK\x05\x06", self.b):
+            k = m.start()
+            if k + 22 <= len(self.b):
+                size, start, note = struct.unpack_from("<IIH", self.b, k + 12)
+                if k + 22 + note <= len(self.b):
+                    out.setdefault(k - start - size, k + 22 + note)
+        return out
+
+    @cached_property
+    def revisions(self) -> dict[int, list[tuple[int, int, int]]]:
+        """Start of each PDF that a startxref names by the table before it: (table, number, end) of its revisions."""
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        tables = [m.start() for m in _TABLE.finditer(self.b)]
+        streams = [m.start() for m in _OBJECT.finditer(self.b)]
+        for m in _STARTXREF.finditer(self.b):
+            for places in (tables, streams):
+                k = bisect_left(places, m.start()) - 1
+                if k < 0 or (places is streams and self.b.find(b"/XRef", places[k], m.start()) < 0):
+                    continue
+                for blank in range(3):  # the number may name white space before the table
+                    at = places[k] - blank - int(m[1])
+                    if at >= 0 and not self.b[places[k] - blank : places[k]].strip():
+                        out.setdefault(at, []).append((places[k], int(m[1]), m.end()))
+        return out
+
+    @cached_property
+    def last_parts(self) -> list[int]:
+        """Ends of all startxref sections."""
+        return [m.end() for m in _STARTXREF.finditer(self.b)]
+
+    def walk(self, kind: str, k: int, step) -> int | None:
+        """The end of the chain from k by step(k) -> (next place, ends there); None if it breaks. Each place is walked once."""
+        known, path = self.walks.setdefault(kind, {}), []
+        end = None
+        while k not in known:
+            path.append(k)
+            found = step(k)
+            if found is None:
+                break
+            k, last = found
+            if last:
+                end = k
+                break
+        else:
+            end = known[k]
+        for x in path:
+            known[x] = end
+        return end
+
+
+def _wav(blob: Blob, at: int) -> int | None:
     """Length of the RIFF/WAVE file at this place: chunks must nest exactly, with one fmt before data."""
+    b = blob.b
     if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -59,114 +132,148 @@ def _wav(b: bytes, at: int) -> int | None:
     return end - at if fmt and data else None
 
 
-def _png(b: bytes, at: int) -> int | None:
-    k = at + 8
-    while k + 12 <= len(b):
+def _png(blob: Blob, at: int) -> int | None:
+    b = blob.b
+
+    def step(k: int):
+        if k + 12 > len(b):
+            return None
         size, kind = struct.unpack_from(">I4s", b, k)
-        if k + 12 + size > len(b) or zlib.crc32(b[k + 4 : k + 8 + size]) != struct.unpack_from(">I", b, k + 8 + size)[0] or (k == at + 8) != (kind == b"IHDR"):
+        if k + 12 + size > len(b) or zlib.crc32(b[k + 4 : k + 8 + size]) != struct.unpack_from(">I", b, k + 8 + size)[0]:
             return None
-        k += 12 + size
-        if kind == b"IEND":
-            return k - at
-    return None
+        return k + 12 + size, kind == b"IEND"
 
+    if b[at + 12 : at + 16] != b"IHDR" or (first := step(at + 8)) is None:
+        return None
+    end = blob.walk("png", first[0], lambda k: None if b[k + 4 : k + 8] == b"IHDR" else step(k))
+    return end and end - at
 
-def _gif(b: bytes, at: int) -> int | None:
+
+def _gif(blob: Blob, at: int) -> int | None:
+    b = blob.b
     if len(b) < at + 13:
         return None
-    k = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    while k < len(b):
+
+    def step(k: int):
+        if k >= len(b):
+            return None
         if b[k] == 0x3B:
-            return k + 1 - at
+            return k + 1, True
         if b[k] == 0x21:
             k += 2
         elif b[k] == 0x2C and k + 10 <= len(b):
             k += 10 + (3 << ((b[k + 9] & 7) + 1) if b[k + 9] & 0x80 else 0) + 1
         else:
             return None
-        while k < len(b) and b[k]:
-            k += b[k] + 1
-        k += 1
-    return None
+        k = blob.walk("gif blocks", k, lambda j: None if j >= len(b) else (j + 1, True) if not b[j] else (j + b[j] + 1, False))
+        return k and (k, False)
 
+    end = blob.walk("gif", at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0), step)
+    return end and end - at
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    k = at + 2
-    while k + 4 <= len(b) and b[k] == 0xFF:
-        kind, size = b[k + 1], struct.unpack_from(">H", b, k + 2)[0]
-        if size < 2 or kind in (0, 0xFF, 0xD8):
+
+def _jpeg(blob: Blob, at: int) -> int | None:
+    b = blob.b
+
+    def step(k: int):
+        if k + 4 > len(b) or b[k] != 0xFF:
             return None
-        k += 2 + size
-        if kind == 0xDA:
-            end = b.find(b"\xff\xd9", k)
-            return end + 2 - at if end >= 0 else None
-    return None
+        kind, size = b[k + 1], struct.unpack_from(">H", b, k + 2)[0]
+        return None if size < 2 or kind in (0, 0xFF, 0xD8) else (k + 2 + size, kind == 0xDA)
+
+    scan = blob.walk("jpeg", at + 2, step)
+    if scan is None:
+        return None
+    k = bisect_left(blob.image_ends, scan)
+    return blob.image_ends[k] + 2 - at if k < len(blob.image_ends) else None
 
 
 _STARTXREF, _PREV = re.compile(rb"startxref\s+(\d{1,18})\s+%%EOF"), re.compile(rb"/Prev\s+(\d{1,18})")
-#: A table, or the stream that holds one.
-_XREF = re.compile(rb"\s*(?:xref\s|\d+\s+\d+\s+obj\b.*?/XRef\b)", re.S)
+_TABLE, _OBJECT = re.compile(rb"(?<!start)xref\s"), re.compile(rb"(?<!\d)\d{1,10}\s{1,4}\d{1,5}\s{1,4}obj\b")
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(blob: Blob, at: int) -> int | None:
     """To the last %%EOF of the chain of revisions: each startxref names its own table, and an update's /Prev the one before."""
-    length = re.search(rb"/L\s+(\d{1,18})", b[at : at + 1024]) if b.find(b"/Linearized", at, at + 1024) >= 0 else None
-    # a linearised file has an %%EOF after its first page too; /L is the length up to the first revision's end
-    least, end, named = at + int(length[1]) - 2 if length else 0, None, -1
-    for m in _STARTXREF.finditer(b, at):
-        x = int(m[1])
-        if not _XREF.match(b, at + x, m.start()) or m.end() < least:
-            continue
-        if end is None or (at + x >= end and any(int(p[1]) == named for p in _PREV.finditer(b, at + x, m.start()))):
-            end, named = m.end(), x
-    return end - at if end else None
-
-
-def _bmp(b: bytes, at: int) -> int | None:
+    b, end, named = blob.b, None, -1
+    if b.find(b"/Linearized", at, at + 1024) >= 0 and (length := re.search(rb"/L\s+(\d{1,18})", b[at : at + 1024])):
+        # a linearised file has an %%EOF after its first page too; /L is the length up to the first revision's end,
+        # whose startxref names the table of the first page
+        k = bisect_left(blob.last_parts, at + int(length[1]) - 2)
+        if k == len(blob.last_parts) or blob.last_parts[k] > at + int(length[1]):
+            return None
+        end = blob.last_parts[k]
+        named = int(_STARTXREF.search(b, b.rfind(b"startxref", at, end))[1])
+        if not (_TABLE.match(b, at + named) or _OBJECT.match(b, at + named)):
+            return None
+    for place, number, last in blob.revisions.get(at, ()):
+        if end is None:
+            end, named = last, number
+        elif place >= end and any(int(p[1]) == named for p in _PREV.finditer(b, place, last)):
+            end, named = last, number
+    return end and end - at
+
+
+def _bmp(blob: Blob, at: int) -> int | None:
+    b = blob.b
     if len(b) < at + 26:
         return None
     size, zero, start, head = struct.unpack_from("<IIII", b, at + 2)
     return size if zero == 0 and head in (12, 40, 52, 56, 64, 108, 124) and 14 + head <= start <= size <= len(b) - at else None
 
 
-def _flac(b: bytes, at: int) -> int | None:
-    k, first = at + 4, True
-    while k + 4 <= len(b):
-        kind, size = b[k], int.from_bytes(b[k + 1 : k + 4], "big")
-        if first and (kind & 0x7F or size != 34) or k + 4 + size > len(b):
+def _flac(blob: Blob, at: int) -> int | None:
+    b = blob.b
+
+    def step(k: int):
+        if k + 4 > len(b):
             return None
-        k, first = k + 4 + size, False
-        if kind & 0x80:
-            return len(b) - at  # frames have no length field; they run to the end
-    return None
+        k2 = k + 4 + int.from_bytes(b[k + 1 : k + 4], "big")
+        return None if k2 > len(b) else (k2, bool(b[k] & 0x80))
 
+    if len(b) < at + 8 or b[at + 4] & 0x7F or int.from_bytes(b[at + 5 : at + 8], "big") != 34:
+        return None
+    return len(b) - at if blob.walk("flac", at + 4, step) else None  # frames have no length field; they run to the end
+
+
+def _ogg(blob: Blob, at: int) -> int | None:
+    b = blob.b
 
-def _ogg(b: bytes, at: int) -> int | None:
-    k = at
-    while k + 27 <= len(b) and b[k : k + 5] == b"OggS\0":
+    def step(k: int):
+        if k + 27 > len(b) or b[k : k + 5] != b"OggS\0":
+            return None
         n = b[k + 26]
         size = 27 + n + sum(b[k + 27 : k + 27 + n])
-        if k + 27 + n > len(b) or k + size > len(b):
-            return None
-        last, k = b[k + 5] & 4, k + size
-        if last:
-            return k - at
-    return None
+        return None if k + 27 + n > len(b) or k + size > len(b) else (k + size, bool(b[k + 5] & 4))
+
+    if len(b) < at + 6 or not b[at + 5] & 2:  # a later page of a stream
+        return None
+    end = blob.walk("ogg", at, step)
+    return end and end - at
 
 
-def _mp4(b: bytes, at: int) -> int | None:
-    k, boxes = at, set()
-    while k + 8 <= len(b):
+def _mp4(blob: Blob, at: int) -> int | None:
+    """From ftyp over whole boxes; moov has to be among them."""
+    b = blob.b
+
+    def box(k: int) -> tuple[int, bytes] | None:
+        if k + 8 > len(b):
+            return None
         size, kind = struct.unpack_from(">I4s", b, k)
-        if size < 8 or k + size > len(b) or not kind.isalnum():
-            break
-        boxes.add(kind)
-        k += size
-    return k - at if {b"ftyp", b"moov"} <= boxes else None
+        return (size, kind) if size >= 8 and k + size <= len(b) and kind.isalnum() else None
 
+    def step(k: int):
+        here = box(k)
+        return here and (k + here[0], box(k + here[0]) is None)
 
-def _gzip(b: bytes, at: int) -> int | None:
-    d = zlib.decompressobj(31)
+    if (first := box(at)) is None or first[1] != b"ftyp":
+        return None
+    end = blob.walk("mp4", at, step)
+    moov = blob.walk("moov", at, lambda k: (here := box(k)) and (k + here[0], here[1] == b"moov"))
+    return end - at if end and moov else None
+
+
+def _gzip(blob: Blob, at: int) -> int | None:
+    b, d = blob.b, zlib.decompressobj(31)
     try:
         for k in range(at, len(b), 1 << 16):
             d.decompress(b[k : k + (1 << 16)])
@@ -177,14 +284,10 @@ def _gzip(b: bytes, at: int) -> int | None:
     return None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    k = b.find(b"PK\x05\x06", at)
-    while 0 <= k <= len(b) - 22:  # a stored member can hold end records of its own; the archive's is the one whose offsets fit
-        size, start, note = struct.unpack_from("<IIH", b, k + 12)
-        if at + start + size == k and k + 22 + note <= len(b):
-            return k + 22 + note - at
-        k = b.find(b"PK\x05\x06", k + 1)
-    return None
+def _zip(blob: Blob, at: int) -> int | None:
+    """A stored member can hold end records of its own; the archive's is the first whose offsets lead back here."""
+    end = blob.archives.get(at)
+    return end and end - at
 
 
 VALIDATORS = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "pdf": _pdf, "bmp": _bmp, "flac": _flac, "ogg": _ogg, "mp4": _mp4, "gzip": _gzip, "zip": _zip}
@@ -201,11 +304,11 @@ def automaton():
 
 
 def sniff(b: bytes, magic) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of each confirmed medium, by offset; what lies inside another one at the same offset is dropped."""
-    found = {}
+    """(type, offset, length) of each confirmed medium, by offset."""
+    found, blob = {}, Blob(b)
     for last, (kind, back, size) in magic.iter(b.decode("latin-1")):
         at = last + 1 - size - back
-        if at >= 0 and at not in found and (n := VALIDATORS[kind](b, at)):
+        if at >= 0 and at not in found and (n := VALIDATORS[kind](blob, at)):
             found[at] = (kind, at, n)
     return [found[k] for k in sorted(found)]
 
