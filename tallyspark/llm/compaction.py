@@ -2,28 +2,37 @@
 
 append() writes an arrival as small immutable shards, one for each task; compact() merges runs of similar size into
 files near the target; each change is committed by renaming a complete manifest to the next version's name, which
-fails if that version exists. Readers take the newest manifest, so they see all of a change or nothing. The driver
-handles file names and sizes only: a manifest has a line for each shard, data size / target size at rest.
-
-Edge cases: an append without rows commits a version without new shards; columns of any names and nulls pass, as
-rows are stored as they are; repeated rows stay; a row longer than the target makes a shard of its own; a lost
-executor's task is run again, and files of a failed job are in no manifest.
+fails if that version exists; the writer that comes second commits again on the new version. Each write has a folder
+of its own name, so no writer can touch another's files. Readers take the newest manifest, so they see all of a change
+or nothing. The file system has to refuse a rename onto an existing file (HDFS, local disks; most object stores don't).
+The driver handles file names and sizes only: a manifest has a line for each shard, data size / target size at rest.
+
+Edge cases: an append without rows commits a version without new shards; nulls pass, as rows are stored as they are;
+an input column named shard_id stays, and the shard's is then shard_id_ (names as free_name() gives them); repeated
+rows stay; a row longer than the target, such as a very long text, makes a shard of its own and is never cut; a lost
+executor's task is run again, and files of a failed job or a lost race are in no manifest.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, shared_dir, table
+from .common import delete, free_name, shared_dir, table
 
 TARGET, FAN_IN = 128 << 20, 4
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed this version."""
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = TARGET, fan_in: int = FAN_IN, parallel: int = 8):
         if target_bytes < 1 or fan_in < 2:
@@ -51,10 +60,10 @@ class ShardStore:
             stream.close()
 
     def commit(self, base: dict, shards: list[dict]) -> dict:
-        """The next version, if nobody has committed it meanwhile; else an error, and nothing has changed."""
+        """The next version; a Conflict if somebody has committed it meanwhile, and then nothing has changed."""
         new = {"version": base["version"] + 1, "parent": base["version"], "shards": shards}
         last = self.path(f"{self.root}/manifests/{new['version']:08d}.json")
-        temp = self.path(f"{self.root}/manifests/.{shared_dir(self.spark).rpartition('-')[2]}.tmp")
+        temp = self.path(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
         self.fs.mkdirs(last.getParent())
         stream = self.fs.create(temp, False)
         stream.write(bytearray(json.dumps(new).encode()))
@@ -63,25 +72,32 @@ class ShardStore:
         rename = jvm.org.apache.hadoop.fs.FileContext.getFileContext(last.toUri(), self.spark._jsc.hadoopConfiguration())
         try:
             rename.rename(temp, last, self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
-        except Exception:
+        except Exception as e:
             self.fs.delete(temp, False)
+            if self.fs.exists(last):
+                raise Conflict(f"version {new['version']} exists") from e
             raise
         return new
 
     # data
 
-    def _write(self, df: DataFrame, name: str) -> list[dict]:
+    def _write(self, df: DataFrame) -> list[dict]:
         """The shards of one write: its files, without those that hold no row."""
+        name = uuid.uuid4().hex
         folder = f"{self.root}/data/{name}"
-        delete(self.spark, folder)
         df.write.option("parquet.block.size", 32 << 20).parquet(folder)
         files = {x.getPath().getName(): x.getLen() for x in self.fs.listStatus(self.path(folder)) if x.getPath().getName().startswith("part-")}
-        full = [r[0] for r in self.spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_name")).count().collect()]
-        return [{"id": f"{name}-{k:05d}", "path": f"{folder}/{f}", "bytes": files[f]} for k, f in enumerate(sorted(full))]
+        full = [r[0] for r in self.spark.read.schema(df.schema).parquet(folder).groupBy(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1)).count().collect()]
+        return [{"id": f"{name}-{re.match('part-([0-9]+)', f)[1]}", "path": f"{folder}/{f}", "bytes": files[f]} for f in sorted(full)]
 
     def append(self, df: DataFrame) -> dict:
-        base = self.manifest()
-        return self.commit(base, base["shards"] + self._write(df, f"v{base['version'] + 1:08d}"))
+        made = self._write(df)
+        while True:
+            base = self.manifest()
+            try:
+                return self.commit(base, base["shards"] + made)
+            except Conflict:  # the files are nobody else's: they join the newer version
+                continue
 
     def tier(self, size: int) -> int:
         """Runs whose sizes differ by less than fan_in share a tier; those of half the target or more are at rest (-1)."""
@@ -108,15 +124,22 @@ class ShardStore:
 
     def compact(self) -> dict:
         """Merge until no merge is due. A merge is one task over at most the target; merges run side by side."""
-        while merges := self.plan((base := self.manifest())["shards"]):
-            def merge(k: int) -> list[dict]:
-                rows = self.spark.read.parquet(*[s["path"] for s in merges[k]])
-                return self._write(rows.coalesce(1), f"v{base['version'] + 1:08d}-{k:05d}")
 
+        def merge(shards: list[dict]) -> list[dict]:
+            return self._write(self.spark.read.parquet(*[s["path"] for s in shards]).coalesce(1))
+
+        while merges := self.plan((base := self.manifest())["shards"]):
             with ThreadPoolExecutor(self.parallel) as pool:
-                made = [s for part in pool.map(merge, range(len(merges))) for s in part]
-            gone = {s["id"] for m in merges for s in m}
-            self.commit(base, [s for s in base["shards"] if s["id"] not in gone] + made)
+                made = list(pool.map(merge, merges))
+            while True:
+                there = {s["id"] for s in base["shards"]}
+                done = [k for k, m in enumerate(merges) if there.issuperset(s["id"] for s in m)]  # others were merged by another writer
+                gone = {s["id"] for k in done for s in merges[k]}
+                try:
+                    self.commit(base, [s for s in base["shards"] if s["id"] not in gone] + [s for k in done for s in made[k]])
+                    break
+                except Conflict:
+                    base = self.manifest()
         return self.manifest()
 
     def vacuum(self) -> None:
@@ -133,10 +156,12 @@ class ShardStore:
         """The rows of a version, with shard_id."""
         shards = self.manifest(version)["shards"]
         if not shards:
-            return self.spark.createDataFrame([], schema).withColumn("shard_id", F.lit(""))
+            none = self.spark.createDataFrame([], schema)
+            return none.withColumn(free_name(none, "shard_id"), F.lit(""))
         df = self.spark.read.schema(schema).parquet(*[s["path"] for s in shards])
-        shard = F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/part-(\\d+)", 1)
-        return df.select("*", F.concat_ws("-", shard, F.regexp_extract(F.col("_metadata.file_name"), "part-(\\d+)", 1)).alias("shard_id"))
+        shard = F.regexp_extract(F.input_file_name(), "/data/([^/]+)/part-(\\d+)", 1)
+        number = F.regexp_extract(F.input_file_name(), "/part-(\\d+)[^/]*$", 1)
+        return df.select("*", F.concat_ws("-", shard, number).alias(free_name(df, "shard_id")))
 
 
 def shard_documents(df: DataFrame, *, target_bytes: int = TARGET, fan_in: int = FAN_IN) -> tuple[ShardStore, DataFrame]:
