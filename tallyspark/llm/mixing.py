@@ -7,7 +7,9 @@ are exploded and shuffled globally by a hash of seed, doc_id and copy. JVM expre
 A source's rate is epochs x total size x its share / its size, with sizes in code points over all documents. Shares
 are given, or proportional to size ** alpha.
 
-Edge cases: a null source is a source; sources without a given weight have share 0 and go; a source of size 0 has
+Edge cases: a null or empty text has size 0 and texts of any length count whole; an input column named like one of
+this operator's (mix_copy, mix_copies, mix_order) stays, and the operator's gets an underscore (free_name());
+a null source is a source; sources without a given weight have share 0 and go; a source of size 0 has
 the rate `epochs`; a null doc_id hashes as the word null; repeated rows get equal counts; no rows give no rows.
 A rate has no upper bound: up to 700, where exp(-rate) is a normal double, the terms start from 0 copies; above, from
 12 standard deviations below the rate, under which lies less than exp(-60) of the distribution and no uniform number
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free_name, stored, table
 
 SEED, ALPHA = 42, 0.5
 #: Rates up to here start from exp(-rate); copies in an exploded array.
@@ -63,11 +65,13 @@ def mix_sources(df: DataFrame, *, weights: dict | None = None, alpha: float = AL
     Expects doc_id, source and text; other columns pass. The rates join by Spark's own choice: they are read from a
     stored table, so they are broadcast only if its files are under the session's threshold."""
     rates = source_rates(df, weights=weights, alpha=alpha, epochs=epochs)
-    out = df.join(rates, df["source"].eqNullSafe(rates["mix_source"])).withColumn("mix_copies", poisson(uniform(seed, F.col("doc_id")), F.col("mix_rate"))).where("mix_copies > 0")
-    out = out.withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1, F.lit(BLOCK).cast("long"))))
-    out = out.withColumn("mix_copy", F.explode(F.sequence("mix_block", F.least(F.col("mix_copies"), F.col("mix_block") + BLOCK) - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
-    return out.drop("mix_source", "mix_rate", "mix_block").withColumn("mix_order", key).repartition("mix_order").sortWithinPartitions("mix_order")
+    source, rate, block, copy, copies, order = (free_name(df, f"mix_{x}") for x in ("source", "rate", "block", "copy", "copies", "order"))
+    rates = rates.select(F.col("mix_source").alias(source), F.col("mix_rate").alias(rate))
+    out = df.join(rates, df["source"].eqNullSafe(rates[source])).withColumn(copies, poisson(uniform(seed, F.col("doc_id")), F.col(rate))).where(F.col(copies) > 0)
+    out = out.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(BLOCK).cast("long"))))
+    out = out.withColumn(copy, F.explode(F.sequence(F.col(block), F.least(F.col(copies), F.col(block) + BLOCK) - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(copy).cast("string")))
+    return out.drop(source, rate, block).withColumn(order, key).repartition(order).sortWithinPartitions(order)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
