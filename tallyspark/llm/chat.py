@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,16 +55,15 @@ def parse(text: str) -> Iterator[tuple[str, str, int, int]]:
         yield ROLES[m[1]] if m[1] in ROLES else unescape(m[1][1:]), unescape(m[2]), m.start(2), m.end(2)
 
 
-@lru_cache(maxsize=4)
-def token_counter(path: str | None):
-    """Tokens of a text by the byte-pair ranks at path; without a path, by words."""
-    if not path:
+@lru_cache(maxsize=2)
+def token_counter(ranks: bytes | None):
+    """Tokens of a text by byte-pair ranks, the bytes of a tokenizer's file; without them, by words."""
+    if not ranks:
         return lambda text: len(text.split())
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    code = tiktoken.Encoding("turns", pat_str=r"\s+|[^\s\p{L}\p{N}]+|\p{L}+|\p{N}+", mergeable_ranks=ranks, special_tokens={})
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    code = tiktoken.Encoding("turns", pat_str=r"\s+|[^\s\p{L}\p{N}]+|\p{L}+|\p{N}+", mergeable_ranks=known, special_tokens={})
     return lambda text: len(code.encode_ordinary(text))
 
 
@@ -106,10 +106,12 @@ class _Conversation:
 def chat_windows(df: DataFrame, *, budget: int = 1024, history: int = 256, tokenizer: str | None = TOKENIZER) -> DataFrame:
     """Windows of conversations (conv_id, turn, role, text): one exchange by conversation, then a stream over sorted
     rows, so that no conversation is ever held whole. Offsets of loss are code points of the window's text; n_turns
-    counts the turns of the window, of which the first `repeated` were in earlier ones."""
+    counts the turns of the window, of which the first `repeated` were in earlier ones. The tokenizer's file is read on
+    the driver and broadcast (about a megabyte)."""
+    shared = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes() if tokenizer else None)
 
     def run(batches):
-        count, now, rows, size = token_counter(tokenizer), None, [], 0
+        count, now, rows, size = token_counter(shared.value), None, [], 0
         for batch in batches:
             for key, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if now is None or now.key != key:
