@@ -136,12 +136,63 @@ def test_simhash_forest_of_a_dense_cluster(monkeypatch):
 
 def test_simhash_last_row_of_a_large_cell(monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 5)
-    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([f for _, f in rows], pa.int64())], ["cell", "fp"])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), *[pa.array([f for _, f in rows], pa.int64())] * 2], ["cell", "a", "b"])
     found = list(simhash._links(0)(iter([batch([(1, k) for k in range(10)]), batch([(1, 10), (2, 99)])])))
-    deferred = {b for r in found for k, b in zip(r.column(0).to_pylist(), r.column(2).to_pylist()) if k == 1}
+    deferred = {b for r in found for k, b in zip(r.column(0).to_pylist(), r.column(3).to_pylist()) if k == 1}
     assert deferred == set(range(11))
 
 
+def test_simhash_of_cells_that_are_dealt_out_again(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    near = [c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 2)).astype(np.uint64), axis=1) for c in rng.integers(0, 2**64, 4, dtype=np.uint64)]
+    fps = np.unique(np.concatenate([*near, rng.integers(0, 2**64, 50, dtype=np.uint64)]))
+    group = np.arange(len(fps))
+    for _ in range(20):
+        for i in range(len(fps)):
+            group[np.bitwise_count(fps ^ fps[i]) <= 3] = group[np.bitwise_count(fps ^ fps[i]) <= 3].min()
+    monkeypatch.setattr(simhash, "CELL", 3)
+    df = spark.createDataFrame([(int(x), int(x)) for x in fps.view(np.int64)], "b long, p long")
+    edges = simhash.links(df)
+    for r in edges.collect():
+        assert ((r.a ^ r.b) % 2**64).bit_count() <= 3
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    found = [roots.get(int(x), int(x)) for x in fps.view(np.int64)]
+    same = lambda g: {frozenset(np.flatnonzero(np.array(g) == k).tolist()) for k in set(g)}
+    assert same(found) == same(group.tolist())
+
+
+def test_stage_fingerprints_and_components(spark, docs, pairs):
+    texts_ = [t or "" for _, t in pairs]
+    data, offs = simhash_buffers(texts_)
+    b, *points = simhash.stage_fingerprints_of(data, offs)
+    one = lambda x: int(simhash.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0])
+    for k, t in enumerate(texts_):
+        w = [one(x.encode()) for x in re.findall(r"[^ \t\n\x0b\x0c\r]+", lower(t))]
+        h = {int(simhash.span_hashes(np.array(w[j : j + 5], np.uint64), np.array([0]), np.array([len(w[j : j + 5])]))[0]) for j in range(max(1, len(w) - 4))} if w else set()
+        assert int(b[k]) == sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in h) > len(h))
+        for n, p in enumerate(points):
+            weight = {int(simhash.mix(np.array([x + n + 1], np.uint64))[0]): w.count(x) ** 0.5 for x in set(w)}
+            assert int(p[k]) == sum(1 << j for j in range(64) if 2 * sum(v for x, v in weight.items() if x >> j & 1) > sum(weight.values()) + 1e-6)
+    group = list(range(len(b)))
+    linked = lambda i, j: b[i] == b[j] or (int(b[i] ^ b[j]).bit_count() <= 13 and any(int(p[i] ^ p[j]).bit_count() <= 3 for p in points))
+    for _ in group:
+        for i in range(len(b)):
+            for j in range(i):
+                if linked(i, j):
+                    group[i] = group[j] = min(group[i], group[j])
+    kept = simhash.drop_near_duplicates(docs.withColumn("_kept_id", F.lit(1))).collect()
+    order = lambda k: (-1 if pairs[k][0] is None else pairs[k][0])
+    want = [min((k for k in range(len(b)) if group[k] == g), key=order) for g in set(group)]
+    assert len(set(group)) < len(b) - 8
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(pairs[k][0]), str(pairs[k][1])) for k in want)
+
+
+def simhash_buffers(texts_):
+    from tallyspark.llm.common import text_buffers
+
+    return text_buffers(pa.array(texts_))
+
+
 def test_drop_near_duplicates_keeps_one_row_of_each_component(spark):
     rng = random.Random(8)
     base, other, third = ([f"w{rng.randint(0, 10**6)}" for _ in range(300)] for _ in range(3))
@@ -231,6 +282,40 @@ def test_mixing_of_a_small_source_has_no_bound_on_its_rate(spark, monkeypatch):
     assert all(abs(counts[k][0] - 10_000) < 600 for k in (2, None))
 
 
+def test_mixing_with_clashing_names(docs):
+    more = docs.selectExpr("*", "1 mix_copy", "2 mix_rate", "3 mix_order", "4 mix_source", "5 mix_block", "6 mix_copies")
+    m = mixing.mix_sources(more)
+    assert m.columns == [*more.columns, "mix_copies_", "mix_copy_", "mix_order_"]
+    assert got(m.select("doc_id", "mix_copy_")) == got(mixing.mix_sources(docs).select("doc_id", "mix_copy"))
+
+
+def test_sharding_of_two_writers(spark, docs, tmp_path, monkeypatch):
+    one, two = (compaction.ShardStore(spark, str(tmp_path / "s"), target_bytes=60_000, fan_in=2) for _ in range(2))
+    base = one.manifest()
+    real, calls = two.manifest, []
+    one.append(docs)
+    # the second writer still holds the first version: it loses, commits again on the new one, and both arrivals stay
+    monkeypatch.setattr(two, "manifest", lambda version=None: base if not calls and not calls.append(1) else real(version))
+    two.append(docs)
+    assert one.manifest()["version"] == 2 and got(one.read(docs.schema).drop("shard_id")) == got(docs.union(docs))
+    assert got(one.read(docs.schema, 1).drop("shard_id")) == got(docs)
+    with pytest.raises(compaction.Conflict):
+        one.commit(base, [])
+    ids = {s["id"] for s in one.manifest()["shards"]}
+    assert {r[0] for r in one.read(docs.schema).select("shard_id").distinct().collect()} == ids
+
+
+def test_sharding_query_and_clashing_names(spark, docs):
+    more = docs.withColumn("shard_id", F.lit("mine"))
+    store, rows = compaction.shard_documents(more, target_bytes=3000, fan_in=2)
+    assert rows.columns == [*more.columns, "shard_id_"] and got(rows.drop("shard_id_")) == got(more)
+    assert {r[0] for r in rows.select("shard_id_").distinct().collect()} <= {s["id"] for s in store.manifest()["shards"]}
+    path = "/root/testdata/sf0.001"
+    found = compaction.op7_sharding(spark, path)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert got(found.drop("shard_id")) == got(docs.select("doc_id", "lang", "source", "n_chars", F.md5("text")))
+
+
 def test_sharding(spark, docs, tmp_path):
     store = compaction.ShardStore(spark, str(tmp_path / "s"), target_bytes=60_000, fan_in=3)
     for _ in range(4):
@@ -260,6 +345,64 @@ def test_media_round_trip(docs, pairs):
     assert media.sniff(b"--" + z + b"--", media.automaton()) == [("gzip", 2, len(z))]
 
 
+def test_media_query_digests(spark, docs, pairs):
+    want = []
+    for i, t in pairs:
+        b = (t or "").encode()
+        b_ = b + b"\xff" * (-len(b) % 576 or (576 if not b else 0))
+        want.append((i, len(b), len(b_), hashlib.sha256(b_).hexdigest(), zlib.crc32(b_[-32:])))
+    rows = media._digests(media._sniffed(media._stored(iter(docs.select("doc_id", "text").toArrow().to_batches()))))
+    found = [tuple(r.values()) for batch in rows for r in batch.to_pylist()]
+    assert sorted((r[:5] for r in found), key=str) == sorted(want, key=str)
+    stored_ = {r.doc_id: bytes(r.media) for r in media.store_texts(docs).collect()}
+    for i, _, size, _, _, n, digest, feature in found:
+        assert n == len(stored_[i]) == size + 44 and digest == hashlib.sha256(stored_[i]).hexdigest()
+        assert feature.startswith(f"wav;samples={size};sum={sum(stored_[i][44:])};")
+
+
+def formats():
+    import struct
+
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    box = lambda k, d: struct.pack(">I", 8 + len(d)) + k + d
+    return {
+        "png": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"x" * 13) + chunk(b"IDAT", b"yy") + chunk(b"IEND", b""),
+        "gif": b"GIF89a\1\0\1\0\x80\0\0" + b"c" * 6 + b"!\xf9\4abcd\0" + b",\0\0\0\0\1\0\1\0\0" + b"\2\2ab\0;",
+        "jpeg": b"\xff\xd8\xff\xe0\0\4ab" + b"\xff\xda\0\4cd" + b"scan" + b"\xff\xd9",
+        "bmp": b"BM" + struct.pack("<IIII", 60, 0, 54, 40) + b"p" * 42,
+        "ogg": b"OggS\0\2" + b"h" * 20 + b"\1\3abc" + b"OggS\0\4" + b"h" * 20 + b"\0",
+        "mp4": box(b"ftyp", b"isom") + box(b"moov", b"m" * 5) + box(b"mdat", b"d" * 9),
+        "flac": b"fLaC\0\0\0\x22" + b"i" * 34 + b"\x84\0\0\2ab" + b"frames",
+    }
+
+
+def test_media_formats_are_confirmed_corrected_and_carved(spark):
+    magic = media.automaton()
+    for kind, b in formats().items():
+        assert media.sniff(b, magic) == [(kind, 0, len(b))], kind
+        tail = b"" if kind == "flac" else b"--\x01"
+        assert (kind, 3, len(b)) in media.sniff(b"abc" + b + tail, magic), kind
+        assert not [x for x in media.sniff(b[: 12 if kind == "mp4" else len(b) * 2 // 3], magic) if x[0] == kind and kind != "flac"], kind
+    png, gif = formats()["png"], formats()["gif"]
+    rows = [(1, 5, png + b"--" + gif, "gif"), (2, 0, None, "wav"), (3, 0, b"", None), (1, 5, png + b"--" + gif, "gif")]
+    df = media.sniff_media(spark.createDataFrame([(a, b, bytearray(c) if c is not None else None, d) for a, b, c, d in rows], media.STORED))
+    assert got(df.select("doc_id", "detected", "type")) == sorted([(1, "png", "png"), (1, "png", "png"), (2, None, "wav"), (3, None, None)], key=str)
+    assert [bytes(r.bytes) for r in media.carve(df).collect()] == [gif, gif]
+
+
+def test_media_of_many_magics_takes_linear_time():
+    import time
+
+    magic = media.automaton()
+    for unit in (b"%PDF-1.4 ", b"startxref 0 %%EOF %PDF-", b"1 0 obj /XRef startxref 9 %%EOF %PDF-", b"PK\x03\x04PK\x05\x06" + b"\0" * 18, b"GIF89a\0\0\0\0\0\0\0", b"\xff\xd8\xff\xe0\0\4", b"\0\0\0\x08ftyp"):
+        took = []
+        for n in (1 << 18, 1 << 20):
+            began = time.perf_counter()
+            media.sniff(unit * (n // len(unit)), magic)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.5 and took[1] < 8, (unit, took)
+
+
 def test_media_ends_of_revised_pdfs_and_nested_zips():
     import io
     import zipfile
@@ -314,10 +457,71 @@ def test_toxicity_finds_unseen_misspellings():
     plain = ["and", "house", "green", "walk", "river", "stone", "letter", "window", "table", "bread"]
     texts = [" ".join(rng.choice(plain) for _ in range(40)) for _ in range(300)]
     bad = [t + " you wretched scoundrel" for t in texts[:100]]
-    model = toxicity.train(bad + texts[100:], np.array([1] * 100 + [0] * 200), 1 / 3)
-    score = toxicity.Scorer(model)([texts[0] + " you wretchedd scoundrell", texts[1], "", None])
+    model = toxicity.train(pa.array(bad + texts[100:]), np.array([1] * 100 + [0] * 200), 1 / 3)
+    score = toxicity.Scorer(model)(pa.array([texts[0] + " you wretchedd scoundrell", texts[1], "", None]))
     assert score[0] > 0.3 > score[1] and score[2] == score[3]
-    assert toxicity.Scorer(toxicity.train(["a", None], np.array([0, 0]), 0.0))(["a"])[0] < 1e-6
+    assert toxicity.Scorer(toxicity.train(pa.array(["a", None]), np.array([0, 0]), 0.0))(pa.array(["a"]))[0] < 1e-6
+
+
+def naive_features(texts_):
+    """Share of each bucket in each text: n-grams within a word, words within a text, counted equally."""
+    out = np.zeros((len(texts_), toxicity.BUCKETS), np.float32)
+    for k, t in enumerate(texts_):
+        w = [x.encode() for x in re.findall(r"[a-z0-9\x80-\U0010ffff]+", lower(t))]
+        for x in w:
+            g = [b"<" + x + b">"]
+            grams = [g[0][j : j + n] for n in toxicity.GRAMS for j in range(len(g[0]) - n + 1)]
+            h = lambda v: simhash.span_hashes(np.frombuffer(v, np.uint8), np.array([0]), np.array([len(v)]))[0]
+            hashes = [h(v) for v in grams] + [simhash.mix(np.array([h(g[0])], np.uint64) + np.uint64(1))[0]]
+            for v in hashes:
+                out[k, int(v) & toxicity.BUCKETS - 1] += 1 / len(hashes) / len(w)
+    return out
+
+
+def test_toxicity_against_a_dense_model(monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 1 << 11)
+    rng = random.Random(6)
+    texts_ = [" ".join(rng.choice(["bad", "Good", "wörd", "a1", "longerword", "b"]) for _ in range(rng.randint(0, 12))) for _ in range(30)] + [None]
+    y = np.array([float("bad" in (t or "")) for t in texts_], np.float32)
+    scores, slope, shift = toxicity.train(pa.array(texts_), y, 0.25, steps=15, least=1)
+    x = naive_features(texts_).astype(float)
+    used = np.flatnonzero(x.any(0))
+    x = x[:, used]
+    fit = np.arange(len(y)) % 5 != 4
+    weight = fit * np.where(y > 0, 0.5 / y[fit].sum(), 0.5 / (1 - y[fit]).sum())
+    frequency = x[fit].mean(0)
+    gen = np.random.default_rng(7)
+    emb, soft, bias = gen.normal(0, 0.01, (len(used), toxicity.DIM)), gen.normal(0, 1 / toxicity.DIM**0.5, (toxicity.DIM, 2)), np.zeros(2)
+    moved = np.zeros_like(emb)
+    for _ in range(15):
+        mean = x @ emb  # a text's vector
+        z = mean @ soft + bias
+        p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+        residual = (p - np.stack([1 - y, y], 1)) * weight[:, None]
+        moved = 0.9 * moved + (x.T @ residual @ soft.T) / (frequency + frequency.max() * 1e-4)[:, None] + 1e-3 * emb
+        push = mean.T @ residual
+        emb, soft, bias = emb - 0.3 * moved, soft - 0.3 * 0.01 * push, bias - 0.3 * residual.sum(0)
+    want = emb @ (soft[:, 1] - soft[:, 0])
+    assert np.allclose(scores[used], want, rtol=1e-3, atol=1e-4)
+    given = toxicity.Scorer((scores, slope, shift))(pa.array(texts_))
+    assert np.allclose(given, 1 / (1 + np.exp(-(slope * (x @ scores[used]) + shift))), atol=1e-5)
+
+
+def test_toxicity_query_and_sample(spark, docs):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(24)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    learnable = [k for k in range(24) if zlib.crc32(str(k).encode()) % 4 != 2]
+    texts_, y, share = toxicity.sampled(docs.union(docs), labels)
+    assert len(texts_) == len(learnable) and y.sum() == sum(k % 2 for k in learnable) and share == pytest.approx(y.mean())
+    assert len(toxicity.sampled(docs, labels, sample=3)[0]) == 6
+    short = toxicity.sampled(docs, labels, sample_bytes=500)[0]
+    assert 0 < sum(len((t or "").encode()) for t in short.to_pylist()) <= 1000
+    model = toxicity.fit_toxicity(docs, labels)
+    rows = toxicity.score_toxicity(docs.union(docs), model).collect()
+    own = dict(docs.select("doc_id", "text").collect())
+    plain = dict(zip(own, toxicity.Scorer(model)(pa.array(list(own.values())))))
+    assert len(rows) == 2 * docs.count() and all(r.score == pytest.approx(plain[r.doc_id], abs=1e-9) and r.predicted == (r.score >= 0.3) for r in rows)
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and got(kept.select("doc_id")) == sorted(((i,) for i, p in plain.items() if p < 0.3), key=str)
 
 
 def test_held_out_rule(spark):
@@ -326,10 +530,59 @@ def test_held_out_rule(spark):
         assert r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
-def test_quality_is_a_distribution_and_paths_agree(spark, docs):
+def naive_perplexities(rows, trusted):
+    """Interpolated modified Kneser-Ney over bytes, by recursion: {(id, text): perplexity}."""
+    from collections import Counter
+
+    symbols = lambda t: [0, 0, 0, *(t or "").encode(), 0]
+    out = {}
+    for lang in {r[2] for r in rows}:
+        seqs = [symbols(t) for i, t, x in rows if x == lang and i in trusted]
+        counts = {4: Counter(tuple(s[k - 3 : k + 1]) for s in seqs for k in range(3, len(s)))}
+        for n in (3, 2, 1):
+            counts[n] = Counter(g[1:] for g in counts[n + 1])
+        cuts, total, mass = {}, {}, {}
+        for n, c in counts.items():
+            m = Counter(c.values())
+            y = m[1] / (m[1] + 2 * m[2]) if m[1] else None
+            d = [max(0.1, min(k, k - (k + 1) * y * m[k + 1] / m[k] if y and m[k] and m[k + 1] else 0.5 * k)) for k in (1, 2, 3)]
+            cuts[n] = lambda x, d=d: d[min(x, 3) - 1]
+            total[n], mass[n] = Counter(), Counter()
+            for g, x in c.items():
+                total[n][g[:-1]] += x
+                mass[n][g[:-1]] += cuts[n](x)
+
+        def p(g):
+            n = len(g)
+            below = p(g[1:]) if n > 1 else 1 / 256
+            x = counts[n][g]
+            return ((x - cuts[n](x) if x else 0) + mass[n][g[:-1]] * below) / total[n][g[:-1]] if total[n][g[:-1]] else below
+
+        for i, t, x in rows:
+            if x == lang:
+                s = symbols(t)
+                logs = [np.log(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))]
+                out[i, t] = float(np.exp(-np.mean(logs))) if seqs else None
+    return out
+
+
+def test_quality_against_a_plain_model(spark, docs):
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect() if len(r.text or "") < 5000]
+    small_ = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 20, 2)] + [(k, 0) for k in range(1, 20, 2)] + [(4, 0), (6, None)], "doc_id long, quality int")
+    want = naive_perplexities(rows, {k for k in range(0, 20, 2)} - {4})
+    found = quality.score_quality(small_.withColumn("perplexity", F.lit(1)), labels).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        match = [v for (i, _), v in want.items() if i == r.doc_id]
+        assert len(match) == 1 and (r.perplexity is None if match[0] is None else r.perplexity == pytest.approx(match[0], rel=1e-4))
+    assert any(r.perplexity for r in found)
+
+
+def test_quality_is_a_distribution_and_shards_agree(spark, docs):
     labels = spark.createDataFrame([(k, 1 if k % 2 else None) for k in range(20)] + [(3, 0)], "doc_id long, quality int")
     a = quality.score_quality(docs, labels)
-    b = quality.score_quality(docs, labels, broadcast_rows=0)
+    b = quality.score_quality(docs, labels, shard_rows=2000)
     for x, y in zip(got(a.select("doc_id", "n_symbols", "perplexity")), got(b.select("doc_id", "n_symbols", "perplexity"))):
         assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], rel=1e-5)
     assert a.count() == docs.count()
@@ -340,12 +593,34 @@ def test_quality_is_a_distribution_and_paths_agree(spark, docs):
     assert p == pytest.approx(1, abs=1e-3)
 
 
+def test_line_dedup_of_a_long_text_takes_linear_time(spark):
+    import time
+
+    text = "\n".join(f"a long enough line of over forty characters, number {k}" for k in range(60_000))
+    docs = spark.createDataFrame([(k, text) for k in range(5)], "doc_id long, text string")
+    began = time.perf_counter()
+    assert sorted((r.doc_id, r.n_dropped) for r in lines.dedup_lines(docs).select("doc_id", "n_dropped", F.sha2("text", 256)).collect()) == [(k, 60_000 if k < 4 else 0) for k in range(5)]
+    assert time.perf_counter() - began < 60
+
+
+def test_shared_folder_is_refused_where_executors_could_not_see_it(monkeypatch):
+    from types import SimpleNamespace
+
+    from tallyspark.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    for df in (lines.dedup_lines(none), substrings.dedup_substrings(none), simhash.near_duplicates(none), decontam.find_patterns(keyed(none, "doc_id", "text"), bench), mixing.mix_sources(none), quality.score_quality(none, labels), media.sniff_media(media.store_texts(none)), chat.read_back(chat.chat_windows(turns, tokenizer=None)), toxicity.score_toxicity(none, toxicity.fit_toxicity(none, labels)), compaction.shard_documents(none)[1]):
+    for df in (lines.dedup_lines(none), substrings.dedup_substrings(none), simhash.near_duplicates(none), decontam.find_patterns(keyed(none, "doc_id", "text"), bench), mixing.mix_sources(none), quality.score_quality(none, labels), media.sniff_media(media.store_texts(none)), simhash.drop_near_duplicates(none), chat.read_back(chat.chat_windows(turns, tokenizer=None)), toxicity.score_toxicity(none, toxicity.fit_toxicity(none, labels)), compaction.shard_documents(none)[1]):
         assert df.count() == 0
     assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).where("predicted = 1").count() == 0
     assert decontam.drop_contaminated(docs, bench).count() == docs.count()
