@@ -11,7 +11,8 @@ from .functions import likelihood as L
 from .functions import outcome as O
 from .functions import signatures as S
 from .functions import traces
-from .operators import detect, evaluate, faults, lookup, mismatch, runscore, steps, validate, windows
+from .operators import detect, evaluate, faults, lookup, mismatch, runscore, steps, telemetry, validate, windows
+from .sources import runs
 from .sources.events import CHANGED, HEALTHY, read_table, records
 
 QUERIES, ORACLE = {}, {}
@@ -58,11 +59,49 @@ def show_summary(spark, sf_dir):
     return s.withColumn("gpu_hours_lost", r("gpu_hours_lost"))
 
 
-@query("B2_flat_projection", f"with {CHANGED} select run_id, unit_id, kind, attempt, source, started_at_ms, ended_at_ms, case when failure_kind is null then 'ok' else 'failed' end outcome, failure_class, failure_kind, coalesce(failure_kind in ('engine_crash', 'network', 'process_killed', 'sandbox'), false) retryable, reward, action from records")
+NESTED = """
+nested as (
+  select *, case when failure_kind is null then 'ok' else 'failed' end outcome, case when failure_kind is not null then 'rollout' end failure_stage, (ended_at_ms - started_at_ms) / 1000 * 4 cpu_seconds, (ended_at_ms - started_at_ms) / 1000 * 2 gpu_seconds, k::bigint tokens_in, tokens_out::bigint tokens,
+    k * 1000::bigint peak, case when k % 9 = 0 then k * 0.001 end mismatch_kl, case when k % 9 = 0 then 1 - k * 0.0001 end mismatch_ratio_mean from records
+)"""
+
+
+def nested_records(spark, sf_dir) -> DataFrame:
+    """The test records as a run directory's nested ones, assembled with two gpus and four cpus."""
+    d, kind, none = records(spark, sf_dir), F.col("failure_kind"), F.lit(None).cast("string")
+    d = O.assembled(d.drop("action").withColumns({"own": F.col("reward"), "reward": F.coalesce("reward", F.lit(0.0)), "stage": F.lit("rollout"), "tokens_in": F.col("k").cast("long"), "tokens_out": F.col("tokens_out").cast("long")}), {"cpu_seconds": 0.01, "gpu_seconds": 0.5, "tokens_in": 0.001, "tokens_out": 0.002}, cpus_held=4, gpus_held=2)
+    struct = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
+    failure = struct(evidence=F.array(F.lit("e")), exception_type=none, kind=kind, message=F.concat(kind, F.lit(": m")), retryable=O.retryable(kind), stage=F.col("stage"))
+    long = F.col("k").cast("long")
+    resources = struct(gpu_total_bytes=F.array(F.lit(100).cast("long")), peak_gpu_used_bytes=F.array(long), peak_host_rss_bytes=long * 1000, sample_count=long)
+    cost = struct(**{c: F.col(c) for c in ("cpu_seconds", "gpu_seconds", "tokens_in", "tokens_out", "usd")})
+    mism = struct(kl=F.col("k") * F.lit(0.001), kl_standard_error=F.lit(0.1), ratio_mean=1 - F.col("k") * F.lit(0.0001), ratio_standard_error=F.lit(0.1), sequences=long, tokens=long)
+    tags = F.create_map(F.lit("step"), F.col("step").cast("string"), F.lit("group"), F.col("grp"))
+    decision = struct(action=F.col("action"), attempt=F.col("attempt"), reason=F.col("reason"))
+    return d.select("attempt", cost.alias("cost"), decision.alias("decision"), "ended_at_ms", F.when(kind.isNotNull(), failure).alias("failure"), "kind", F.when(F.col("k") % 9 == 0, mism).alias("mismatch"), "outcome", resources.alias("resources"), "reward", "run_id", "schema_version", "source", "started_at_ms", tags.alias("tags"), "unit_id")
+
+
+@query("B2_flat_projection", f"with {CHANGED}, {NESTED} select run_id, unit_id, attempt, kind, source, outcome, failure_class, failure_kind, failure_stage, case when failure_kind is null then 'score' when failure_class in ('infra', 'grader') then 'mask' else 'zero' end decision, case when failure_kind is null then reward when failure_class in ('agent', 'timeout') then 0.0 end reward, started_at_ms, ended_at_ms, round(cpu_seconds, 6) cpu_seconds, round(gpu_seconds, 6) gpu_seconds, tokens_in, tokens tokens_out, round(cpu_seconds * 0.01 + gpu_seconds * 0.5 + tokens_in * 0.001 + tokens * 0.002, 6) usd, peak peak_host_rss_bytes, round(mismatch_kl, 6) mismatch_kl, round(mismatch_ratio_mean, 6) mismatch_ratio_mean from nested")
 def flat_projection(spark, sf_dir):
-    d = records(spark, sf_dir)
-    kind = F.col("failure_kind")
-    return d.select("run_id", "unit_id", "kind", "attempt", "source", "started_at_ms", "ended_at_ms", F.when(kind.isNull(), "ok").otherwise("failed").alias("outcome"), "failure_class", "failure_kind", F.coalesce(O.retryable(kind), F.lit(False)).alias("retryable"), "reward", "action")
+    f = runs.flat(nested_records(spark, sf_dir))
+    real = ("cpu_seconds", "gpu_seconds", "usd", "mismatch_kl", "mismatch_ratio_mean")
+    return f.select(*[F.round(c, 6).alias(c) if c in real else F.col(c) for c in f.columns])
+
+
+@query("B3_I16_assembly", f"with {CHANGED} select unit_id, 2 schema_version, case when failure_kind is null then 'ok' else 'failed' end outcome, round((ended_at_ms - started_at_ms) / 1000 * 8, 6) cpu_seconds, round((ended_at_ms - started_at_ms) / 1000 * 2, 6) gpu_seconds, case when tokens_out <> 0 then null else round((ended_at_ms - started_at_ms) / 1000 * 8 * 0.01 + (ended_at_ms - started_at_ms) / 1000 * 2 * 0.5, 6) end usd, case when failure_kind is null then 'unit succeeded' when failure_kind = 'sandbox' then 'sandbox is retryable; attempt 1 of 2' else failure_class || ' failure ' || failure_kind || ' at tool: on_' || failure_class || '=' || case when failure_class = 'grader' then 'mask' else 'zero' end end reason from records")
+def assembly(spark, sf_dir):
+    units = records(spark, sf_dir).drop("action").withColumns({"stage": F.lit("tool"), "tokens_in": F.lit(0).cast("long"), "tokens_out": F.col("tokens_out").cast("long")})
+    done = O.assembled(units, {"cpu_seconds": 0.01, "gpu_seconds": 0.5, "tokens_in": 0.001, "tokens_out": None}, cpus_held=8, gpus_held=2, policy=O.Policy(max_attempts=2))
+    return done.select("unit_id", "schema_version", "outcome", *[F.round(c, 6).alias(c) for c in ("cpu_seconds", "gpu_seconds", "usd")], "reason")
+
+
+@query("A11_A12_envelope", f"with {CHANGED} select run_id, count(*) spans, min(unit_id) first_unit, max(unit_id) last_unit, 'probe' service from records group by run_id")
+def span_envelope(spark, sf_dir):
+    request = runs.envelope(runs.spans(nested_records(spark, sf_dir), "trace"), "probe").withColumn("v", F.parse_json("request"))
+    at = lambda path, t: F.variant_get("v", path, t)
+    spans = at("$.resourceSpans[0].scopeSpans[0].spans", "array<variant>")
+    unit = lambda x: F.get(F.transform(F.filter(F.variant_get(x, "$.attributes", "array<variant>"), lambda a: F.variant_get(a, "$.key", "string") == "rl.unit_id"), lambda a: F.variant_get(a, "$.value.stringValue", "string")), F.lit(0))
+    return request.select("run_id", F.size(spans).cast("long").alias("spans"), unit(F.get(spans, F.lit(0))).alias("first_unit"), unit(F.element_at(spans, -1)).alias("last_unit"), at("$.resourceSpans[0].resource.attributes[0].value.stringValue", "string").alias("service"))
 
 
 @query("B5_B4_decisions", f"with {CHANGED}, d as (select unit_id, reward, case when failure_kind is null then 'score' when failure_kind = 'sandbox' then 'retry' when failure_class in ('grader', 'infra') then 'mask' else 'zero' end first_action, case when failure_kind is null then 'score' when failure_class in ('grader', 'infra') then 'mask' else 'zero' end last_action from records) select unit_id, first_action, last_action, case last_action when 'score' then reward when 'zero' then 0.0 end trainer_reward from d")
@@ -80,16 +119,17 @@ def cost(spark, sf_dir):
     return records(spark, sf_dir).select("unit_id", r(O.usd(full, prices)).alias("usd_full"), r(O.usd(q, prices)).alias("usd_unpriced_tokens"))
 
 
-@query("B7_B8_B12_B14_fields", f"with {CHANGED} select unit_id, action tp_decision, coalesce(failure_class || '/' || failure_kind || '@rollout', '-') log_line, case when failure_kind is null then 'Submitted' when failure_kind = 'agent_exception' then 'AgentError' when failure_kind = 'wall_clock' then 'TimeLimitExceeded' when failure_kind = 'missing_reward' then 'VerifierError' else 'SandboxUnavailable' end exit_status, action in ('score', 'zero') trainable, coalesce(reward, 0.0) sample_reward, action = 'mask' remove_sample from records")
+@query("B7_B8_B11_B12_B14_fields", f"with {CHANGED} select unit_id, attempt tp_attempt, action tp_decision, failure_class tp_failure_class, failure_kind tp_failure_kind, unit_id tp_unit_id, coalesce(failure_class || '/' || failure_kind || '@rollout', '-') log_line, case when failure_kind is null then 'Submitted' when failure_kind = 'agent_exception' then 'AgentError' when failure_kind = 'wall_clock' then 'TimeLimitExceeded' when failure_kind = 'missing_reward' then 'VerifierError' else 'SandboxUnavailable' end exit_status, action in ('score', 'zero') trainable, coalesce(reward, 0.0) reward, action = 'mask' remove_sample, case when action = 'mask' then 'failed' end status from records")
 def fields(spark, sf_dir):
     kind, action = F.col("failure_kind"), F.col("action")
-    return records(spark, sf_dir).select("unit_id", action.alias("tp_decision"), O.log_line(kind, F.lit("rollout")).alias("log_line"), O.exit_status(kind).alias("exit_status"), action.isin("score", "zero").alias("trainable"), F.coalesce("reward", F.lit(0.0)).alias("sample_reward"), (action == "mask").alias("remove_sample"))
+    return records(spark, sf_dir).select("unit_id", *O.outcome_fields(), O.log_line(kind, F.lit("rollout")).alias("log_line"), O.trainable(action).alias("trainable"), *O.sample_fields())
 
 
-@query("B10_headroom", f"with {CHANGED} select unit_id, cast(floor((100 - k) * 100 / 100) as bigint) percent, floor((100 - k) * 100 / 100) < 10 warn from records")
+@query("B10_headroom", f"with {CHANGED} select unit_id, cast(floor((100 - k) * 100 / 100) as bigint) percent, case when floor((100 - k) * 100 / 100) < 10 then 'gpu memory headroom is ' || (100 - k) || '% of 100.0 GiB, below the 10% warning threshold while the longest sample is ' || tokens_out || ' tokens; lower max_tokens_per_gpu or gpu_memory_utilization before the next step' end warning from records")
 def headroom(spark, sf_dir):
-    p = O.headroom_percent(F.col("k"), F.lit(100))
-    return records(spark, sf_dir).select("unit_id", p.cast("long").alias("percent"), (p < 10).alias("warn"))
+    gib = lambda x: x.cast("long") * 2**30
+    used, total = gib(F.col("k")), gib(F.lit(100))
+    return records(spark, sf_dir).select("unit_id", O.headroom_percent(used, total).cast("long").alias("percent"), O.headroom_warning(used, total, F.col("tokens_out")).alias("warning"))
 
 
 @query("C1_C5_filters", f"with {CHANGED} select unit_id, failure_class in ('grader', 'infra') and failure_class is not null non_agent, failure_class is not null and failure_class in ('grader', 'infra') and reward is not null poisoned, case when failure_class is null or failure_class not in ('grader', 'infra') then reward end clean_reward from records where failure_kind is not null")
@@ -121,12 +161,17 @@ def identifiers(spark, sf_dir):
     return records(spark, sf_dir).select("unit_id", O.identifier(32, "trace", run, unit, separator=chr(31)).alias("trace_id"), span.alias("span_id"))
 
 
-@query("J5_exec_kind", f"with {CHANGED} select unit_id, case when k % 10 = 0 then 'wall_clock' when k % 10 < 4 then null when k % 10 = 4 then 'oom_gpu' when k % 10 < 6 then null when k % 10 = 6 or k > 90 then 'oom_host' else 'process_killed' end exec_kind from records")
-def exec_kind(spark, sf_dir):
-    d = F.col("k") % 10
+EXEC_KIND = "case when k % 10 = 0 then 'wall_clock' when k % 10 < 4 then null when k % 10 = 4 then 'oom_gpu' when k % 10 < 6 then null when k % 10 = 6 or k > 90 then 'oom_host' else 'process_killed' end"
+
+
+@query("J5_exec_failures", f"with {CHANGED}, e as (select unit_id, k, {EXEC_KIND} kind from records) select unit_id, kind, case kind when 'wall_clock' then 'wall_clock: process exceeded its timeout after ' || k || ' ms' when 'oom_gpu' then 'oom_gpu: process reported CUDA out of memory' when 'oom_host' then 'oom_host: process was killed near the host memory limit' when 'process_killed' then 'process_killed: process was killed by signal 9' end message, case kind when 'wall_clock' then 'elapsed_ms=' || k when 'oom_gpu' then 'peak_gpu_used_bytes=[' || k || ', 7]' when 'oom_host' then 'host_limit_bytes=101;peak_host_rss_bytes=' || k when 'process_killed' then 'signal=9' end evidence, kind = 'process_killed' retryable from e")
+def exec_failures(spark, sf_dir):
+    d, k = F.col("k") % 10, F.col("k").cast("long")
     text = F.when(d == 4, "x CUDA out of memory x").when(d == 6, "Killed").otherwise("")
-    kind = O.classify_exec(d == 0, F.when(d < 4, 0).when(d < 6, 1), F.when(d >= 6, 9), text, F.col("k").cast("double"), F.lit(100.0) + 1)
-    return records(spark, sf_dir).select("unit_id", kind.alias("exec_kind"))
+    signal, limit = F.when(d >= 6, 9), F.lit(101).cast("long")
+    kind = O.classify_exec(d == 0, F.when(d < 4, 0).when(d < 6, 1), signal, text, k, limit)
+    f = O.exec_failure(kind, F.lit("tool"), k, signal, F.array(k, F.lit(7).cast("long")), k, limit)
+    return records(spark, sf_dir).select("unit_id", f.alias("f")).select("unit_id", "f.kind", "f.message", F.array_join("f.evidence", ";").alias("evidence"), "f.retryable")
 
 
 STEPS = """
@@ -250,10 +295,12 @@ def sequence_sums(spark, sf_dir):
     return s.select("vec_id", "s.tokens", F.round("s.k3", 6).alias("k3"), F.round("s.ratio", 6).alias("ratio"))
 
 
-@query("E9_peaks", "select l_orderkey, count(*) samples, max(l_extendedprice) host, [max(l_quantity), max(100 * l_discount)]::varchar devices from lineitem group by l_orderkey")
+@query("E9_peaks", "select l_orderkey, count(*) sample_count, max(floor(l_extendedprice)::bigint) peak_host_rss_bytes, [max(floor(l_quantity)::bigint), max(floor(1000 * l_discount + 0.5)::bigint)]::varchar devices from lineitem group by l_orderkey")
 def peaks(spark, sf_dir):
-    p = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("samples"), F.max("l_extendedprice").alias("host"), F.max("l_quantity").alias("q"), F.max(100 * F.col("l_discount")).alias("d"))
-    return p.select("l_orderkey", "samples", "host", F.concat(F.lit("["), F.col("q").cast("string"), F.lit(", "), F.col("d").cast("string"), F.lit("]")).alias("devices"))
+    long = lambda c: F.floor(c).cast("long")
+    samples = read_table(spark, sf_dir, "lineitem").select("l_orderkey", long(F.col("l_extendedprice")).alias("host_rss_bytes"), F.array(long(F.col("l_quantity")), long(1000 * F.col("l_discount") + 0.5)).alias("gpu_used_bytes"))
+    p = telemetry.peaks(samples, "l_orderkey", devices=2)
+    return p.select("l_orderkey", "sample_count", "peak_host_rss_bytes", F.concat(F.lit("["), F.array_join("peak_gpu_used_bytes", ", "), F.lit("]")).alias("devices"))
 
 
 SERIES = """
@@ -284,18 +331,34 @@ def run_threshold(spark, sf_dir):
     return runscore.threshold(run_scores(spark, sf_dir).where("run % 6 = 0"), 1.5).select(r("threshold").alias("threshold"))
 
 
-@query("E19_telemetry", "select user_id run, day(ts) step, count(*) n, round(avg(value), 6) mean, round(stddev_pop(value), 6) + 0.0 sd, round(count(*) filter (event_type = 'error') / count(*), 6) flag_rate from events group by all")
-def telemetry(spark, sf_dir):
-    d = read_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run"), F.dayofmonth("ts").alias("step"))
-    return d.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), r(F.stddev_pop("value")).alias("sd"), F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 6).alias("flag_rate"))
+TELEMETRY_SQL = """
+with t as (select user_id run, day(ts) step, event_type, case when cast(json_extract_string(props, '$.k') as integer) % 11 > 0 then value end v from events)
+select run, step, count(*) "count", round(avg(v), 6) value_mean, round(stddev_pop(v), 6) + 0.0 value_sd, round(count(*) filter (event_type = 'error') / count(*), 6) error_rate from t group by run, step
+"""
+
+
+@query("E19_C8_telemetry", TELEMETRY_SQL)
+def step_telemetry(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int") % 11
+    value = F.when(k > 0, F.col("value")).otherwise(F.lit(float("nan")))
+    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.dayofmonth("ts").alias("step"), F.create_map(F.lit("value"), value).alias("metrics"), F.create_map(F.lit("error"), F.col("event_type") == "error").alias("flags"))
+    t = telemetry.step_statistics(rows, "run", "step", metrics=["value"], flags=["error"])
+    return t.select("run", "step", "count", r("value_mean").alias("value_mean"), r("value_sd").alias("value_sd"), F.round("error_rate", 6).alias("error_rate"))
+
+
+@query("C11_injected", "select user_id run, bool_or(event_type = 'error' and cast(json_extract_string(props, '$.k') as integer) % 7 > 0) injected from events group by user_id")
+def injected_runs(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.when(F.col("event_type") == "error", "reward").otherwise("").alias("fault_type"), (k % 7).cast("double").alias("fault_strength"))
+    return telemetry.injected(rows, "run")
 
 
 @query("D3_as_of", f"with {BATCHES}, p as (select event_id, epoch_us(ts) // 1000 at_ms from events), h as (select ms at_ms, kl from tot) select p.event_id, round(coalesce(h.kl, 0), 9) kl from p asof left join h on p.at_ms >= h.at_ms")
 def as_of(spark, sf_dir):
     e = read_table(spark, sf_dir, "events").select(F.lit("run-1").alias("run_id"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
     times = e.groupBy(F.expr("event_id div 50").alias("pos")).agg(F.max("at_ms").alias("at_ms"), F.first("run_id").alias("run_id"))
-    history = mismatch_batches(spark, sf_dir).select("pos", "kl").join(times, "pos").select("run_id", "at_ms", "kl")
-    return detect.as_of(e, history, by="run_id", time="at_ms", value="kl").select("event_id", F.round("kl", 9).alias("kl"))
+    history = mismatch_batches(spark, sf_dir).select("pos", "kl").join(times, "pos").select("run_id", "at_ms", "pos", "kl")
+    return detect.as_of(e, history, by="run_id", time="at_ms", value="kl", tie="pos").select("event_id", F.round("kl", 9).alias("kl"))
 
 
 @query("X1_savings", "select c_custkey, c_nationkey * 2.5 * greatest(0.0, c_acctbal - 100 - 24) savings from customer")
@@ -348,7 +411,7 @@ def reward_attributions(spark, sf_dir) -> DataFrame:
     o = steps.step_observations(records(spark, sf_dir, healthy=True))
     alarms = detect.first_crossing(detect.reward_stream(o), ["run_id", "source"]).drop("x")
     times = read_table(spark, sf_dir, "events").groupBy(F.expr("event_id div 50").alias("pos")).agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("at_ms"))
-    history = detect.mismatch_stream(mismatch_batches(spark, sf_dir)).join(times, "pos").select("run_id", "at_ms", L.sigmoid(F.col("x")).alias("probability"))
+    history = detect.with_probabilities(mismatch_batches(spark, sf_dir).join(times, "pos"))
     return detect.attributed(alarms, o, detect.failure_rate_stream(o), history)
 
 
@@ -359,7 +422,7 @@ def attribution(spark, sf_dir):
 
 @query("E22_verdicts", f"select verdict, count(*) n from ({ATTRIBUTION_SQL}) group by verdict")
 def verdicts(spark, sf_dir):
-    return reward_attributions(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
+    return evaluate.verdict_counts(reward_attributions(spark, sf_dir))
 
 
 def factor_sql(by: str) -> str:
@@ -437,7 +500,7 @@ def class_counts(spark, sf_dir):
 
 @query("E23_distinct_steps", f"with {CHANGED} select source, count(distinct step) steps, count(distinct grp) clusters from records group by source")
 def distinct_steps(spark, sf_dir):
-    return records(spark, sf_dir).groupBy("source").agg(F.countDistinct("step").alias("steps"), F.countDistinct("grp").alias("clusters"))
+    return windows.distinct_steps(records(spark, sf_dir), "source")
 
 
 @query("D10_group_fill", f"with {CHANGED} select unit_id, round(coalesce(reward, avg(reward) over (partition by step, grp), 0.0), 6) filled from records")
@@ -532,9 +595,11 @@ def alarm_set(spark, sf_dir, healthy: bool) -> DataFrame:
     return detect.alarms(found, steps.step_observations(found), batches)
 
 
-@query("F13_alarms", ALARMS_SQL.format(records=CHANGED) + " select signal, source, unit_id, at_ms, round(p, 6) probability from found")
+@query("F13_G4_alarms", ALARMS_SQL.format(records=CHANGED) + " select row_number() over (order by at_ms, signal, coalesce(source, '')) place, signal, source, unit_id, at_ms, round(p, 6) probability from found")
 def changed_alarms(spark, sf_dir):
-    return alarm_set(spark, sf_dir, False).select("signal", "source", "unit_id", "at_ms", r("probability").alias("probability"))
+    """With the place of each alarm in the report's order: rows come in that order."""
+    rows = alarm_set(spark, sf_dir, False).select("signal", "source", "unit_id", "at_ms", r("probability").alias("probability"))
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)  # at most four alarms a source
 
 
 @query("F13_alarms_healthy", ALARMS_SQL.format(records=HEALTHY) + " select signal, source, unit_id, at_ms, round(p, 6) probability from found")

@@ -9,9 +9,9 @@ import sys
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import likelihood as L
@@ -19,22 +19,37 @@ from .functions import outcome as O
 from .operators import detect, steps, windows
 from .sources import runs
 
+# The columns of the tables, and the reports' lines.
 SHOW = ("unit", "attempt", "kind", "outcome", "class", "cause", "stage", "peak_gpu", "decision", "cost")
 WINDOWS = ("source", "window", "first_unit", "units", "avg_reward", "avg_reward_no_infra", "zero_reward_rate", "infra_error_rate", "grader_error_rate", "poisoned")
 
 
+NO_RECORD = "started, no record: {unit} attempt {attempt} at {at}; the process died before the unit finished"
+NO_ALARMS, ALARMS = "no alarms at P >= {alarm}", "alarms at P >= {alarm} (at most {alpha} of changes are preceded by a false alarm when the model holds):"
+_INTEGER = r"\A\s*[+-]?[0-9]+\s*\z"
+
+
+def check_steps(records: DataFrame) -> None:
+    """One small job before any other: bad files and step tags that are no integers fail here, by name."""
+    tag = F.try_element_at("tags", F.lit("step"))
+    bad = records.agg(F.count("*"), F.min(F.when(tag.isNotNull() & ~tag.rlike(_INTEGER), F.col("unit_id")))).first()[1]
+    if bad is not None:
+        raise ValueError(f"step is no integer in {bad}")
+
+
 def outcomes(records: DataFrame) -> DataFrame:
     """Nested records as the flat columns that operators take; a step tag that is no integer fails the job."""
     c = F.col
     tag = F.try_element_at("tags", F.lit("step"))
-    step = F.when(tag.isNull(), F.lit(None)).when(tag.rlike(r"\A\s*[+-]?[0-9]+\s*\z"), tag.cast("long")).otherwise(F.raise_error(F.concat(F.lit("step is no integer in "), "unit_id")))
+    step = F.when(tag.isNull(), F.lit(None)).when(tag.rlike(_INTEGER), tag.cast("long")).otherwise(F.raise_error(F.concat(F.lit("step is no integer in "), "unit_id")))
     return records.select("run_id", "unit_id", "attempt", "kind", "source", "started_at_ms", step.alias("step"), F.try_element_at("tags", F.lit("group")).alias("grp"), c("failure.kind").alias("failure_kind"), O.failure_class(c("failure.kind")).alias("failure_class"), c("decision.action").alias("action"), "reward", c("cost.gpu_seconds").alias("value"))
 
 
 def batches(records: DataFrame) -> DataFrame:
     """The mismatch summaries of a run in start order."""
-    order = W.partitionBy("run_id").orderBy(*windows.START)
-    return records.where("mismatch is not null").select("run_id", "source", "unit_id", F.col("started_at_ms").alias("at_ms"), F.row_number().over(order).cast("long").alias("pos"), F.col("mismatch.kl").alias("kl"), F.col("mismatch.ratio_mean").alias("ratio_mean"), F.col("mismatch.ratio_standard_error").alias("ratio_se"))
+    rows = records.where("mismatch is not null").select("run_id", "source", "unit_id", "attempt", "started_at_ms", F.col("mismatch.kl").alias("kl"), F.col("mismatch.ratio_mean").alias("ratio_mean"), F.col("mismatch.ratio_standard_error").alias("ratio_se"))
+    order = windows.numbered(rows.withColumn("_own", F.col("source")).withColumn("source", F.lit(None).cast("string")), name="pos")
+    return order.withColumn("source", F.col("_own")).withColumn("at_ms", F.col("started_at_ms")).drop("_own", "attempt", "started_at_ms")
 
 
 def table(names: tuple[str, ...], cells: DataFrame) -> Iterator[str]:
@@ -64,13 +79,14 @@ def show(spark: SparkSession, directory: str, failures_only: bool) -> Iterator[s
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return
-    for m in windows.without_record(markers, records).orderBy("unit_id", "attempt").toLocalIterator():
-        yield f"started, no record: {m.unit_id} attempt {m.attempt} at {datetime.fromtimestamp(m.at_ms / 1000, tz=UTC):%Y-%m-%dT%H:%M:%SZ}; the process died before the unit finished"
+    for m in windows.without_record(markers, records).orderBy("file_name").toLocalIterator():
+        yield NO_RECORD.format(unit=m.unit_id, attempt=m.attempt, at=f"{datetime.fromtimestamp(m.at_ms / 1000, tz=UTC):%Y-%m-%dT%H:%M:%SZ}")
 
 
 def integrity(spark: SparkSession, directory: str, *, window_units: int, batching: str, **kl: float) -> tuple[list[str], bool]:
     """The report's lines, and whether an alarm fired. There are at most four alarms for each source."""
     records = runs.scan_run(spark, directory)
+    check_steps(records)
     flat, mism = outcomes(records), batches(records)
     number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.3f", c))
     w = windows.source_windows(flat, window_units=window_units).orderBy(F.col("source").asc_nulls_last(), "index")
@@ -78,14 +94,14 @@ def integrity(spark: SparkSession, directory: str, *, window_units: int, batchin
     seen = steps.step_observations(flat.where("step is not null") if batching == "step" else windows.counted_steps(flat))
     alarms = detect.alarms(flat.where(F.col("kind").isin(*O.REWARDED)), seen, mism, **kl).collect()
     crossed = detect.first_crossing(detect.reward_stream(seen), ["run_id", "source"]).drop("x")
-    history = detect.mismatch_stream(mism, **kl).join(mism, ["run_id", "pos"]).select("run_id", "at_ms", L.sigmoid(F.col("x")).alias("probability"))
+    history = detect.with_probabilities(mism, **kl)
     causes = {(r.run_id, r.source): r for r in detect.attributed(crossed, seen, detect.failure_rate_stream(seen), history).collect()} if any(a.signal == "reward" for a in alarms) else {}
-    lines.append(f"alarms at P >= {L.ALARM}:" if alarms else f"no alarms at P >= {L.ALARM}")
+    lines.append((ALARMS if alarms else NO_ALARMS).format(alarm=L.ALARM, alpha=round(1 - L.ALARM, 12)))
     for a in alarms:
-        line = f"{a.signal}  {a.source or '-'}  {a.unit_id}  " + ("observed" if a.signal == "poisoned" else f"P={a.probability:.4f}")
+        line = f"{a.signal}  {a.source or '-'}  {a.unit_id}  " + ("observed" if a.signal == "poisoned" else f"P={a.probability:.4f}") + f"  {a.detail}"
         if a.signal == "reward" and (c := causes.get((a.run_id, a.source))):
             other = "mismatch not recorded" if c.mismatch_probability is None else f"mismatch {c.mismatch_probability:.4f}"
-            line += f"  cause: {c.verdict}, P(config)={c.configuration_probability:.4f} from failure rate {c.failure_rate_probability:.4f} and {other}"
+            line += f"; cause: {c.verdict}, P(config)={c.configuration_probability:.4f} from failure rate {c.failure_rate_probability:.4f} and {other}"
         lines.append(line)
     return lines, bool(alarms)
 
@@ -123,6 +139,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except (PySparkException, ValueError) as e:
         print(str(e).splitlines()[0], file=sys.stderr)
         return 2
+    except Py4JJavaError as e:  # of jobs that fail side by side, Spark may give the wrapped cause
+        cause = e.java_exception
+        while cause.getCause() is not None:
+            cause = cause.getCause()
+        print(str(cause.getMessage()).splitlines()[0], file=sys.stderr)
+        return 2
     return 0
 
 

@@ -1,4 +1,4 @@
-"""Log-likelihood ratios, log odds and the change recursion, as column expressions."""
+"""Log-likelihood ratios and log odds, as column expressions."""
 
 from __future__ import annotations
 
@@ -28,6 +28,10 @@ def student_t(x: Column, healthy: Column, changed: Column, scale: Column, degree
     return -(degrees + 1) / 2 * (F.log1p(a * a / degrees) - F.log1p(b * b / degrees))
 
 
+def bernoulli(hit: Column, healthy: float, changed: float) -> Column:
+    return F.when(hit, math.log(changed / healthy)).otherwise(math.log1p(-changed) - math.log1p(-healthy))
+
+
 def binomial(k: Column, n: Column, healthy: float, changed: float) -> Column:
     return k * math.log(changed / healthy) + (n - k) * (math.log1p(-changed) - math.log1p(-healthy))
 
@@ -35,17 +39,3 @@ def binomial(k: Column, n: Column, healthy: float, changed: float) -> Column:
 def mean_of_two(a: Column, b: Column) -> Column:
     """log((e^a + e^b) / 2), shifted by the larger."""
     return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))) - math.log(2)
-
-
-def change_log_odds(steps: Column, hazard: float = HAZARD) -> Column:
-    """The log odds of a change after each step: an array of struct(pos, x) from an array of struct(pos, llr).
-
-    The update is affine in odds: x' = logaddexp(x, ln hazard) - ln(1 - hazard) + llr, from odds 0."""
-    start = F.struct(F.lit(float("-inf")).alias("x"), F.expr("cast(array() as array<struct<pos:long,x:double>>)").alias("trace"))
-    grown = lambda x: F.greatest(x, F.lit(math.log(hazard))) + F.log1p(F.exp(-F.abs(x - math.log(hazard)))) - math.log1p(-hazard)
-
-    def step(s, o):
-        x = grown(s.x) + o.llr
-        return F.struct(x.alias("x"), F.concat(s.trace, F.array(F.struct(o.pos.cast("long").alias("pos"), x.alias("x")))).alias("trace"))
-
-    return F.aggregate(F.array_sort(steps), start, step, lambda s: s.trace)

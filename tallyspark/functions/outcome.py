@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The closed vocabularies of the record schema.
@@ -86,8 +86,19 @@ class Policy:
 
 
 def decide(kind: Column, attempt: Column, policy: Policy = Policy()) -> Column:
+    """The action; an attempt that the policy doesn't have fails the job."""
     retry = kind.isin(*RETRYABLE) & (attempt < policy.max_attempts)
-    return F.when(kind.isNull(), "score").when(retry, "retry").otherwise(lookup(failure_class(kind), policy.actions))
+    action = F.when(kind.isNull(), "score").when(retry, "retry").otherwise(lookup(failure_class(kind), policy.actions))
+    beyond = F.raise_error(F.format_string(f"attempt must be between 1 and {policy.max_attempts}, got %d", attempt.cast("long")))
+    return F.when(attempt.between(1, policy.max_attempts), action).otherwise(beyond)
+
+
+def decision_reason(kind: Column, stage: Column, attempt: Column, policy: Policy = Policy()) -> Column:
+    """Why decide() says what it says."""
+    # Texts of the record format.
+    retry = F.format_string(f"%s is retryable; attempt %d of {policy.max_attempts}", kind, attempt.cast("long"))
+    of_class = F.format_string("%s failure %s at %s: on_%s=%s", failure_class(kind), kind, stage, failure_class(kind), lookup(failure_class(kind), policy.actions))
+    return F.when(kind.isNull(), "unit succeeded").when(kind.isin(*RETRYABLE) & (attempt < policy.max_attempts), retry).otherwise(of_class)
 
 
 def reward_for(action: Column, reward: Column) -> Column:
@@ -113,6 +124,21 @@ def headroom_percent(used: Column, total: Column) -> Column:
     return F.floor((total - used) * 100 / total)
 
 
+def headroom_warning(used: Column, total: Column, longest_tokens: Column, *, warn_percent: int = 10) -> Column:
+    """A text where the free share is below warn_percent, else null; used beyond total, or no total, fails the job."""
+    if not 1 <= warn_percent <= 99:
+        raise ValueError("warn_percent must be between 1 and 99")
+    free = headroom_percent(used, total).cast("long")
+    # Fixed value: the warning's text.
+    text = F.format_string(
+        f"gpu memory headroom is %d%% of %.1f GiB, below the {warn_percent}%% warning threshold while the longest sample is %d tokens; lower max_tokens_per_gpu or gpu_memory_utilization before the next step",
+        free, (total / 2**30).cast("double"), longest_tokens.cast("long"),
+    )
+    bad = (total < 1) | (used < 0) | (used > total)
+    wrong = F.raise_error(F.format_string("gpu_used_bytes must be between 0 and gpu_total_bytes, got %s of %s", used.cast("string"), total.cast("string")))
+    return F.when(bad, wrong).when(free < warn_percent, text)
+
+
 def retryable(kind: Column) -> Column:
     return kind.isin(*RETRYABLE)
 
@@ -137,5 +163,70 @@ def classify_exec(timed_out: Column, exit_code: Column, signal: Column, text: Co
     )
 
 
+def exec_failure(kind: Column, stage: Column, elapsed_ms: Column, signal: Column, peak_gpu: Column, peak_host: Column, limit: Column) -> Column:
+    """The failure struct of a finished process whose kind classify_exec() gives, with message and evidence; null without a kind."""
+    number = lambda c: c.cast("string")
+    listed = F.concat(F.lit("["), F.array_join(F.transform(peak_gpu, number), ", "), F.lit("]"))
+    # Texts of the record format.
+    message = (
+        F.when(kind == "wall_clock", F.concat(F.lit("process exceeded its timeout after "), number(elapsed_ms), F.lit(" ms")))
+        .when(kind == "oom_gpu", "process reported CUDA out of memory")
+        .when(kind == "oom_host", "process was killed near the host memory limit")
+        .when(kind == "process_killed", F.concat(F.lit("process was killed by signal "), number(signal)))
+    )
+    evidence = (
+        F.when(kind == "wall_clock", F.array(F.concat(F.lit("elapsed_ms="), number(elapsed_ms))))
+        .when(kind == "oom_gpu", F.array(F.concat(F.lit("peak_gpu_used_bytes="), listed)))
+        .when(kind == "oom_host", F.array(F.concat(F.lit("host_limit_bytes="), F.coalesce(number(limit), F.lit("None"))), F.concat(F.lit("peak_host_rss_bytes="), number(peak_host))))
+        .when(kind == "process_killed", F.array(F.concat(F.lit("signal="), number(signal))))
+    )
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), stage.alias("stage"), retryable(kind).alias("retryable"), F.concat(kind, F.lit(": "), message).alias("message"), evidence.alias("evidence"), F.lit(None).cast("string").alias("exception_type")))
+
+
+def elapsed_seconds(started_at_ms: Column, ended_at_ms: Column) -> Column:
+    return (ended_at_ms - started_at_ms) / 1000
+
+
+def assembled(units: DataFrame, prices: dict[str, float | None], *, cpus_held: int, gpus_held: int, policy: Policy = Policy()) -> DataFrame:
+    """Records of units (attempt, failure_kind, stage, reward, started_at_ms, ended_at_ms, tokens_in, tokens_out): with
+    schema_version, outcome, decision and its reason, the reward the trainer sees, and cost.
+
+    Held cpus and gpus cost for the whole time; prices, by cpu_seconds, gpu_seconds, tokens_in and tokens_out, are of one unit each."""
+    kind, attempt, c = F.col("failure_kind"), F.col("attempt"), F.col
+    seconds = elapsed_seconds(c("started_at_ms"), c("ended_at_ms"))
+    used = {"cpu_seconds": seconds * cpus_held, "gpu_seconds": seconds * gpus_held, "tokens_in": c("tokens_in"), "tokens_out": c("tokens_out")}
+    decided = units.withColumn("action", decide(kind, attempt, policy)).withColumn("reason", decision_reason(kind, c("stage"), attempt, policy))
+    return (
+        decided.withColumns({**used, "usd": usd(used, prices)})
+        .withColumn("schema_version", F.lit(2))
+        .withColumn("outcome", F.when(kind.isNull(), "ok").otherwise("failed"))
+        .withColumn("failure_class", failure_class(kind))
+        .withColumn("reward", reward_for(c("action"), c("reward")))
+    )
+
+
+def outcome_fields() -> list[Column]:
+    """Of flat records: the fields that trainers' samples carry."""
+    c = F.col
+    return [c("attempt").alias("tp_attempt"), c("action").alias("tp_decision"), c("failure_class").alias("tp_failure_class"), c("failure_kind").alias("tp_failure_kind"), c("unit_id").alias("tp_unit_id")]
+
+
+def sample_fields() -> list[Column]:
+    """Of flat records of final attempts: reward, remove_sample, exit_status, status (failed where it is masked). A
+    record that was decided retry or abort fails the job."""
+    c, action = F.col, F.col("action")
+    wrong = F.raise_error(F.concat(F.lit("samples come from final attempts; "), c("unit_id"), F.lit(" was decided "), action))
+    return [
+        F.when(action.isin("retry", "abort"), wrong).otherwise(F.coalesce(c("reward"), F.lit(0.0))).alias("reward"),
+        (action == "mask").alias("remove_sample"),
+        exit_status(c("failure_kind")).alias("exit_status"),
+        F.when(action == "mask", "failed").alias("status"),
+    ]
+
+
+def trainable(action: Column) -> Column:
+    return action.isin("score", "zero")
+
+
 def savings(gpus: Column, rate: Column, late: Column, early: Column, recovery: Column) -> Column:
     return gpus * rate * F.greatest(F.lit(0.0), late - early - recovery)

@@ -49,3 +49,8 @@ def counts_by(rows: DataFrame, key: str, column: str, vocabulary: list[str]) ->
 def group_fill(value: Column, *group: str) -> Column:
     """value, else its group's mean, else 0.0."""
     return F.coalesce(value, F.avg(value).over(W.partitionBy(*group)), F.lit(0.0))
+
+
+def verdict_counts(attributions: DataFrame, *keys: str) -> DataFrame:
+    """Attributed alarms of each key by verdict."""
+    return attributions.groupBy(*keys, "verdict").agg(F.count("*").alias("n"))

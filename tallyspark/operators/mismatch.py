@@ -9,7 +9,11 @@ CLAMP = 20.0
 
 
 def sequence_sums(train: Column, rollout: Column) -> Column:
-    """struct(tokens, k3, ratio) of two arrays of log probabilities of one length."""
+    """struct(tokens, k3, ratio) of two arrays of log probabilities of one length; arrays that are empty, of two lengths
+    or hold a number that is no finite log probability fail the job."""
+    good = lambda a: ~F.exists(a, lambda x: x.isNull() | F.isnan(x) | (x > 0) | (x == float("-inf")))
+    checked = (F.size(train) > 0) & (F.size(train) == F.size(rollout)) & good(train) & good(rollout)
+    train = F.when(checked, train).otherwise(F.raise_error(F.lit("log probabilities must be finite, at most 0, and as many of both kinds, at least one")))
     delta = F.zip_with(train, rollout, lambda a, b: F.least(F.greatest(a - b, F.lit(-CLAMP)), F.lit(CLAMP)))
     add = lambda f: F.aggregate(delta, F.lit(0.0), lambda s, d: s + f(d))
     return F.struct(F.size(train).cast("long").alias("tokens"), add(lambda d: F.greatest(F.lit(0.0), F.expm1(d) - d)).alias("k3"), add(F.exp).alias("ratio"))

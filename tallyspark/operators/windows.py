@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,14 +12,29 @@ from ..functions import outcome as O
 START = ("started_at_ms", "unit_id", "attempt")
 
 
-def window_index(units: int) -> Column:
-    """The index, from 0, of the row's window of so many units of its source in start order."""
-    return F.floor((F.row_number().over(W.partitionBy("run_id", "source").orderBy(*START)) - 1) / units).cast("long")
+#: Records are numbered within this span of time, and spans are added up before.
+NUMBER_BUCKET_MS = 3_600_000
+
+
+def numbered(records: DataFrame, *, bucket: int = NUMBER_BUCKET_MS, name: str = "number") -> DataFrame:
+    """records with their number, from 0, within run and source in start order.
+
+    A source's rows are numbered in windows of one span of time, so a large source is split over many tasks; the rows
+    before a span come from counts, one for each source and span."""
+    span = {"_run": F.col("run_id"), "_source": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_span": F.floor(F.col("started_at_ms") / bucket)}
+    key = list(span)
+    rows = records.withColumns(span)
+    counts = records.select(*[c.alias(k) for k, c in span.items()]).groupBy(*key).agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(*key[:3]).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_row", F.row_number().over(W.partitionBy(*key).orderBy(*START)))
+    return rows.join(before, key).withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("long")).drop(*key, "_row", "_before")
 
 
 def counted_steps(records: DataFrame, units: int = 32) -> DataFrame:
     """The rewarded units with step replaced by the start of their window of so many units: for runs without steps."""
-    return records.where(F.col("kind").isin(*O.REWARDED)).withColumn("step", window_index(units) * units)
+    rows = numbered(records.where(F.col("kind").isin(*O.REWARDED)))
+    return rows.withColumn("step", F.expr(f"number div {units} * {units}")).drop("number")
 
 
 def source_windows(records: DataFrame, *, window_units: int = 50) -> DataFrame:
@@ -29,8 +44,8 @@ def source_windows(records: DataFrame, *, window_units: int = 50) -> DataFrame:
     kind, reward, cls = F.col("failure_kind"), F.col("reward"), F.col("failure_class")
     units = F.count("*")
     return (
-        records.where(F.col("kind").isin(*O.REWARDED))
-        .withColumn("index", window_index(window_units))
+        numbered(records.where(F.col("kind").isin(*O.REWARDED)))
+        .withColumn("index", F.expr(f"number div {window_units}"))
         .groupBy("run_id", "source", "index")
         .agg(
             units.alias("units"),
@@ -54,3 +69,8 @@ def summary(records: DataFrame) -> DataFrame:
 def without_record(markers: DataFrame, records: DataFrame) -> DataFrame:
     """Start markers of attempts that left no record."""
     return markers.join(records, ["unit_id", "attempt"], "left_anti")
+
+
+def distinct_steps(records: DataFrame, *keys: str) -> DataFrame:
+    """Steps and prompt groups of each key, exactly counted."""
+    return records.groupBy(*keys).agg(F.countDistinct("step").alias("steps"), F.countDistinct("grp").alias("clusters"))

@@ -5,6 +5,9 @@ values read by schema. Documents with duplicate keys, or integers beyond 64 bits
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +103,7 @@ def scan_markers(spark: SparkSession, directory: str) -> DataFrame:
     good = F.col("file_name").rlike(r"\A.+--[0-9]+\z") & F.col("at").rlike(r"\A\s*[0-9]+\s*\z")
     part = lambda k: F.regexp_extract("file_name", r"\A(.+)--([0-9]+)\z", k)
     bad = F.raise_error(F.concat(F.lit("bad start marker "), "file_name"))
-    return m.select(F.when(good, part(1)).otherwise(bad).alias("unit_id"), part(2).cast("int").alias("attempt"), F.regexp_replace("at", r"\s", "").cast("long").alias("at_ms"))
+    return m.select(F.when(good, part(1)).otherwise(bad).alias("unit_id"), part(2).cast("int").alias("attempt"), F.regexp_replace("at", r"\s", "").cast("long").alias("at_ms"), "file_name")
 
 
 def scan_steps(spark: SparkSession, directory: str, prefix: str = "records", *, last_step: int | None = None) -> DataFrame:
@@ -170,6 +173,45 @@ def spans(records: DataFrame, domain: str) -> DataFrame:
     return records.select("run_id", "unit_id", "attempt", F.to_json(span).alias("span"))
 
 
-def write_steps(lines: DataFrame, path: str) -> None:
-    """Rows with a step as JSON lines, one folder for each step; never overwrites."""
-    lines.write.mode("errorifexists").partitionBy("step").json(path)
+def envelope(found: DataFrame, service_name: str, *, scope: str = "tallyspark", version: str = "0") -> DataFrame:
+    """(run_id, request): the spans of each run, in unit and attempt order, as one OTLP/JSON export request.
+
+    A run's spans become one row, as the format wants; a run of over a gigabyte of spans should be sent as several."""
+    head = json.dumps({"attributes": [{"key": "service.name", "value": {"stringValue": service_name}}]})
+    name = json.dumps({"name": scope, "version": version})
+    spans_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "attempt", "span"))), lambda x: x["span"]), ",")
+    request = F.concat(F.lit(f'{{"resourceSpans":[{{"resource":{head},"scopeSpans":[{{"scope":{name},"spans":['), spans_, F.lit("]}]}]}"))
+    return found.groupBy("run_id").agg(request.alias("request"))
+
+
+def write_steps(lines: DataFrame, path: str, prefix: str = "records") -> None:
+    """Rows (step, and what else they have) as JSON lines in <path>/<prefix>-<step>.jsonl, as scan_steps() reads them; never overwrites.
+
+    Spark writes a folder for each step and a step's rows as one task; the driver then only renames: it handles names, not rows."""
+    spark = lines.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    steps = [r.step for r in lines.select("step").distinct().collect()]
+    names = {step: hadoop.Path(root, f"{prefix}-{step:05d}.jsonl") for step in steps}
+    if there := [str(p) for p in names.values() if fs.exists(p)]:
+        raise FileExistsError(f"{there[0]} exists")
+    work = f"{path}/.writing-{uuid.uuid4().hex}"
+    lines.withColumn("_step", F.col("step")).repartition("_step").write.partitionBy("_step").json(work)
+    try:
+        for step, name in names.items():
+            (part,) = [x.getPath() for x in fs.listStatus(hadoop.Path(f"{work}/_step={step}")) if x.getPath().getName().startswith("part-")]
+            if fs.exists(name) or not fs.rename(part, name):
+                raise FileExistsError(f"{name} exists")
+    finally:
+        fs.delete(hadoop.Path(work), True)
+
+
+TELEMETRY = """metadata struct<rollout_step:long,fault_injection:struct<fault_injection_type:string,fault_injection_strength:double>>,
+metrics map<string,double>, flags map<string,boolean>"""
+
+
+def scan_telemetry(spark: SparkSession, path: str) -> DataFrame:
+    """Trajectory telemetry as nested JSON lines; blank lines are dropped, a line that is no JSON fails the scan."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", TELEMETRY, {"mode": "FAILFAST"}).alias("r")).select("r.*")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runs import parse_records
+from ..operators.validate import duplicates
+from .runs import STRUCTS, TOP, parse_records
 
 #: Fixed value: what a trajectory's schema_version starts with.
-VERSION_PREFIX = "ATIF-v1"
-RECORD_FIELDS = ("attempt", "cost", "decision", "ended_at_ms", "failure", "kind", "mismatch", "outcome", "resources", "reward", "run_id", "schema_version", "source", "started_at_ms", "tags", "unit_id")
+VERSION_PREFIX = "ATIF-v1."
+RECORD_FIELDS = tuple(sorted({*TOP, *STRUCTS, "tags"}))
 
 
 def rendered(records: DataFrame) -> Column:
@@ -57,7 +58,11 @@ def annotated_records(trajectories: DataFrame, key: str, *, keep_bad: bool = Fal
 
 
 def append_records(records: DataFrame, path: str, directory_records: DataFrame) -> None:
-    """Adds records as lines of JSON; one that is among directory_records already fails before anything is written."""
+    """Adds records as lines of JSON; one that is there twice, or among directory_records already, fails before anything is written.
+
+    Check and write are two steps: of two writers at the same time both can pass the check, and duplicates() finds what they wrote."""
+    if again := duplicates(records, "unit_id", "attempt").take(1):
+        raise FileExistsError(f"{again[0].unit_id} attempt {again[0].attempt} is there twice")
     taken = records.join(directory_records.select("unit_id", "attempt"), ["unit_id", "attempt"], "left_semi").select("unit_id", "attempt").take(1)
     if taken:
         raise FileExistsError(f"{taken[0].unit_id} attempt {taken[0].attempt} has a record already")

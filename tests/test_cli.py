@@ -81,7 +81,17 @@ def test_append(spark, tmp_path):
     assert json.loads(spark.read.text(out).first().value) == GOOD
     with pytest.raises(FileExistsError, match="u1 attempt 1"):
         trajectories.append_records(records, out, records)
+    with pytest.raises(FileExistsError, match="twice"):
+        trajectories.append_records(records.union(records), out, records.limit(0))
+
+
+def test_version_prefix(spark):
+    d = spark.createDataFrame([(json.dumps({"schema_version": v, "steps": [1]}),) for v in ("ATIF-v1.4", "ATIF-v10", "ATIF-v1")], "document string")
+    assert [r[0] for r in d.select(trajectories.trajectory_problem(d.document)).collect()] == [None, "schema_version", "schema_version"]
 
 
 def test_step_tag_that_is_no_integer(spark, tmp_path, capsys):
-    assert cli.main(["integrity", directory(tmp_path, [changed("tags", [["step", "x"]])])], spark) == 2
+    at = directory(tmp_path, [changed("tags", [["step", "x"]])])
+    for _ in range(3):
+        assert cli.main(["integrity", at], spark) == 2
+        assert capsys.readouterr().err.strip() == "step is no integer in u1"

@@ -53,7 +53,7 @@ def test_scan_and_sink(spark, tmp_path):
     (tmp_path / "started" / "u--x--02").write_text("123\n")
     got = runs.scan_run(spark, str(tmp_path))
     assert [(r.unit_id, r.schema_version, r.tags, r.cost.cpu_seconds) for r in got.collect()] == [("u1", 2, {"step": "3"}, 1.0), ("u2", 2, {"step": "3"}, 1.0)]
-    assert [tuple(r) for r in runs.scan_markers(spark, str(tmp_path)).collect()] == [("u--x", 2, 123)]
+    assert [tuple(r) for r in runs.scan_markers(spark, str(tmp_path)).collect()] == [("u--x", 2, 123, "u--x--02")]
     runs.write_flat(got, str(tmp_path / "flat"))
     back = spark.read.parquet(str(tmp_path / "flat"))
     assert len(back.columns) == 21 and {r.failure_class for r in back.collect()} == {"infra"}
@@ -71,6 +71,27 @@ def test_steps(spark, tmp_path):
     assert sorted(r.step for r in runs.scan_steps(spark, str(tmp_path), last_step=2).collect()) == [1, 1, 2, 2]
 
 
+def test_steps_are_written_as_they_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 3, k) for k in range(9)], "step long, a long")
+    out = str(tmp_path / "steps")
+    runs.write_steps(rows, out)
+    back = runs.scan_steps(spark, out)
+    assert sorted((r.step, json.loads(r.value)["a"]) for r in back.collect()) == sorted((k % 3, k) for k in range(9))
+    runs.write_steps(rows, out, "truth")
+    with pytest.raises(FileExistsError):
+        runs.write_steps(rows, out)
+    assert runs.scan_steps(spark, out).count() == 9 and not [p for p in (tmp_path / "steps").iterdir() if p.name.startswith(".writing")]
+
+
+def test_telemetry_scan(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"metadata": {"rollout_step": 3, "fault_injection": null}, "metrics": {"reward": 1.5, "x": null}, "flags": {"empty": true}}\n\n')
+    (row,) = runs.scan_telemetry(spark, str(tmp_path)).collect()
+    assert row.metadata.rollout_step == 3 and row.metrics == {"reward": 1.5, "x": None} and row.flags == {"empty": True}
+    (tmp_path / "u.jsonl").write_text("{nope\n")
+    with pytest.raises(Exception):
+        runs.scan_telemetry(spark, str(tmp_path)).collect()
+
+
 def test_spans(spark):
     texts = spark.createDataFrame([(json.dumps(changed("reward", None)), "a")], "value string, file_name string")
     s = json.loads(runs.spans(runs.parse_records(texts), "test").first().span)
