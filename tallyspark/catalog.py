@@ -433,7 +433,7 @@ def factor_sql(by: str) -> str:
 pm as (select {by}, feature, step, avg(v) m, var_samp(v) va from train group by all), ps as (select {by}, feature, greatest(coalesce(sqrt(avg(va)), 0), 0.01 * avg(abs(m)), 1e-9) sp from pm group by all),
 z as (select {cols}, c.run, c.feature, count(*) n, sum((v - m) / sp) s from cells c join pm on {on('c', 'pm')} and c.feature = pm.feature and c.step = pm.step join ps on {on('c', 'ps')} and c.feature = ps.feature group by all),
 fa as (select z.*, -0.5 * ln(1 + n * 0.09) + s * s * 0.09 / (2 * (1 + n * 0.09)) factor from z),
-sc as (select {by}, run, max(factor) + ln(sum(exp(factor - top)) / count(*)) score from (select *, max(factor) over (partition by run) top from fa) group by all)"""
+sc as (select {by}, run, max(factor) + ln(sum(exp(factor - top)) / count(*)) score from (select *, max(factor) over (partition by {by}, run) top from fa) group by all)"""
 
 
 FOLDS_SQL = f"""

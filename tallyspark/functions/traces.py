@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .signatures import at_grade_stage, classify_name, failure_of_unit
+from . import outcome as O
+from .signatures import at_grade_stage, classify_name
 
 
 def weighted_reward(rewards: Column) -> Column:
@@ -18,8 +19,49 @@ def trace_failure(errors: Column, rewards: Column, kind: Column, stage: Column)
     """The failure of a trace: that of the last of its errors, array<struct<type_name, message, status>>; else a missing reward's."""
     last = F.try_element_at(errors, F.lit(-1))
     of_error = F.when(last.isNotNull(), at_grade_stage(classify_name(last["type_name"], last["message"], stage, last["status"])))
-    no_chain = F.lit(None).cast("array<struct<hierarchy:array<struct<module:string,name:string>>,type_name:string,message:string>>")
-    return F.coalesce(of_error, failure_of_unit(no_chain, stage, kind, weighted_reward(rewards)))
+    total = F.coalesce(F.size(rewards), F.lit(0))
+    lacking = F.coalesce(F.size(F.filter(rewards, lambda r: r["score"].isNull() | r["weight"].isNull())), F.lit(0))
+    # Texts of the record format.
+    missing = F.struct(
+        F.lit("missing_reward").alias("kind"),
+        F.lit("grade").alias("stage"),
+        F.lit(False).alias("retryable"),
+        F.format_string("missing_reward: trace is ok but %d of %d rewards did not run", lacking, total).alias("message"),
+        F.array(F.format_string("rewards_missing=%d", lacking), F.format_string("rewards_total=%d", total)).alias("evidence"),
+        F.lit(None).cast("string").alias("exception_type"),
+    )
+    return F.coalesce(of_error, F.when(kind.isin(*O.REWARDED) & weighted_reward(rewards).isNull(), missing))
+
+
+def trace_records(traces: DataFrame, policy: O.Policy = O.Policy()) -> DataFrame:
+    """Flat records of finished traces (unit_id, attempt, kind, source, ok, errors, rewards): failure, decision and its
+    reason, and the reward the trainer sees. A trace that isn't ok but has no errors fails the job."""
+    wrong = F.raise_error(F.concat(F.lit("trace "), F.col("unit_id"), F.lit(" is not ok but has no errors")))
+    errors = F.when(F.col("ok"), F.slice("errors", 1, 0)).when(F.size("errors") > 0, F.col("errors")).otherwise(wrong)
+    f = traces.withColumn("failure", trace_failure(errors, F.col("rewards"), F.col("kind"), F.lit("rollout")))
+    return _decided(f.withColumn("reward", weighted_reward(F.col("rewards"))).drop("errors", "rewards", "ok"), policy)
+
+
+# The kinds of requests that fail before an episode starts.
+DISPATCH_KINDS = {"eval": "eval", "train": "trajectory"}
+
+
+def dispatch_records(failures: DataFrame, policy: O.Policy = O.Policy()) -> DataFrame:
+    """Flat records of requests (unit_id, attempt, request, env_name, policy_version, step, task_key, error: struct of
+    type_name, message, status) that failed before an episode. An unknown kind of request fails the job."""
+    kind = O.lookup(F.col("request"), DISPATCH_KINDS)
+    unknown = F.raise_error(F.concat(F.lit(f"request must be one of {sorted(DISPATCH_KINDS)}, got "), F.coalesce("request", F.lit("null"))))
+    e = F.col("error")
+    failure = at_grade_stage(classify_name(e["type_name"], e["message"], F.lit("setup"), e["status"]))
+    tags = F.create_map(*[x for c in ("policy_version", "step", "task_key") for x in (F.lit(c), F.col(c).cast("string"))])
+    f = failures.select("unit_id", "attempt", F.coalesce(kind, unknown).alias("kind"), F.col("env_name").alias("source"), tags.alias("tags"), failure.alias("failure"), F.lit(None).cast("double").alias("reward"))
+    return _decided(f, policy)
+
+
+def _decided(records: DataFrame, policy: O.Policy) -> DataFrame:
+    kind, attempt = F.col("failure.kind"), F.col("attempt")
+    out = records.withColumn("action", O.decide(kind, attempt, policy)).withColumn("reason", O.decision_reason(kind, F.col("failure.stage"), attempt, policy))
+    return out.withColumn("outcome", F.when(kind.isNull(), "ok").otherwise("failed")).withColumn("reward", O.reward_for(F.col("action"), F.col("reward")))
 
 
 def masked_output(prompt_ids: Column, failed: Column, extra: Column) -> Column:

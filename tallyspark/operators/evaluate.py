@@ -7,17 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def confusion(runs: DataFrame) -> DataFrame:
-    """Of runs (family, setting, faulty, flagged): precision, recall and F1 of each (family, setting).
+def confusion(runs: DataFrame, *keys: str, groups: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Of runs (keys, family, setting, faulty, flagged): precision, recall and F1 of each (family, setting) of a key.
 
-    Rows without a family are normals and count in every group: they're added up once, then meet the groups' few rows."""
-    groups = runs.groupBy("family", F.when(F.col("family").isNotNull(), F.col("setting")).alias("setting")).agg(
+    Rows without a family are normals and count in every group: they're added up once, then meet the groups' few rows.
+    groups: the vocabulary, so that groups without a row of their own are there too; else those that occur."""
+    counts = runs.groupBy(*keys, "family", F.when(F.col("family").isNotNull(), F.col("setting")).alias("setting")).agg(
         F.count_if(F.col("flagged") & F.col("faulty")).alias("tp"), F.count_if(F.col("flagged") & ~F.col("faulty")).alias("fp"), F.count_if(~F.col("flagged") & F.col("faulty")).alias("fn")
     )
-    all_groups, shared = W.partitionBy(F.lit(0)), {}
+    if groups is not None:
+        zero = counts.select(*keys).distinct() if keys else counts.limit(1).select()
+        named = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("setting")) for f, s in groups]))
+        zero = zero.withColumn("_g", named).select(*keys, "_g.family", "_g.setting", *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "fn")])
+        counts = counts.unionByName(zero).groupBy(*keys, "family", "setting").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    all_groups, shared = W.partitionBy(*(keys or [F.lit(0)])), {}
     for c in ("tp", "fp", "fn"):
         shared[c] = F.col(c) + F.coalesce(F.max(F.when(F.col("family").isNull(), F.col(c))).over(all_groups), F.lit(0))
-    t = groups.select("family", "setting", *[v.alias(c) for c, v in shared.items()]).where("family is not null")
+    t = counts.select(*keys, "family", "setting", *[v.alias(c) for c, v in shared.items()]).where("family is not null")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     t = t.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
     return t.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))

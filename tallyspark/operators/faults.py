@@ -43,9 +43,9 @@ class Schedule:
         return F.when((step >= self.start) & F.lit(self.fault == fault), F.lit(float(self.rate)))
 
 
-def draw(seed: int, *parts: Column) -> Column:
+def draw(seed: int | Column, *parts: Column) -> Column:
     """A number in [0, 1) from the first 8 hex digits of an MD5: the same in each run, engine and order of rows."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    text = F.concat_ws(":", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
@@ -73,6 +73,27 @@ def inject(rows: DataFrame, schedule: Schedule, seed: int) -> DataFrame:
     )
 
 
+# What benchmark records say of themselves.
+REASON, INJECTED = "benchmark", "injected by the benchmark"
+
+
+def benchmark_records(samples: DataFrame, *, source: str) -> DataFrame:
+    """inject()'s rows (run_id, step, uid, idx, action, failure_kind, record_reward, started_at_ms, ended_at_ms) as flat records."""
+    kind = F.col("failure_kind")
+    return samples.select(
+        F.lit(2).alias("schema_version"), "run_id", F.format_string("s%05d-%04d", F.col("step").cast("long"), F.col("idx").cast("long")).alias("unit_id"), F.lit("trajectory").alias("kind"), F.lit(1).alias("attempt"), F.lit(source).alias("source"), "started_at_ms", "ended_at_ms",
+        F.when(kind.isNull(), "ok").otherwise("failed").alias("outcome"), kind, F.when(kind.isNotNull(), "grade").alias("failure_stage"), F.concat(kind, F.lit(f": {INJECTED}")).alias("failure_message"),
+        F.col("record_reward").alias("reward"), "action", F.lit(REASON).alias("reason"), "step", F.col("uid").alias("grp"),
+    )
+
+
+def train_records(batches: DataFrame) -> DataFrame:
+    """The mismatch summaries of steps (run_id, step, started_at_ms, ended_at_ms, sequences, ...) as flat train-step records."""
+    none = F.lit(None).cast("string")
+    more = [c for c in batches.columns if c not in ("run_id", "step", "started_at_ms", "ended_at_ms")]
+    return batches.select(F.lit(2).alias("schema_version"), "run_id", F.format_string("step-%05d", F.col("step").cast("long")).alias("unit_id"), F.lit("train_step").alias("kind"), F.lit(1).alias("attempt"), none.alias("source"), "started_at_ms", "ended_at_ms", F.lit("ok").alias("outcome"), F.lit(None).cast("double").alias("reward"), F.lit("score").alias("action"), F.lit(REASON).alias("reason"), "step", *more)
+
+
 def best_multiplier(results: DataFrame, *keys: str, most_false_alarms: float = 0.1) -> DataFrame:
     """Of results (keys, k, false_alarms, f1): the k that stays within the false alarms, then has the best F1; the larger on ties."""
     order = F.struct((F.col("false_alarms") <= most_false_alarms).alias("ok"), "f1", "k")

@@ -52,17 +52,17 @@ def _grains(df: DataFrame) -> DataFrame:
     return df.withColumn("_grain", F.explode(F.array(level(2, task, batch), level(1, task, none), level(0, none, none)))).drop("task", "batch").select("*", "_grain.*").drop("_grain")
 
 
-def grain_profiles(normals: DataFrame, *, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Profiles of normals (run, task, batch, feature, step, value) at each grain that has so many runs."""
-    rows = _grains(normals)
-    enough = rows.groupBy(*GRAIN).agg(F.countDistinct("run").alias("runs")).where(F.col("runs") >= least).drop("runs")
-    return profile(rows.join(enough, list(GRAIN), "left_semi"), *GRAIN)
+def grain_profiles(normals: DataFrame, *keys: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Profiles of normals (keys, run, task, batch, feature, step, value) at each grain of a key that has so many runs."""
+    rows, by = _grains(normals), [*keys, *GRAIN]
+    enough = rows.groupBy(*by).agg(F.countDistinct("run").alias("runs")).where(F.col("runs") >= least).drop("runs")
+    return profile(rows.join(enough, by, "left_semi"), *by)
 
 
-def chosen_grain(runs: DataFrame, normals: DataFrame, *, batch_least: int = 5, task_least: int = 2) -> DataFrame:
-    """runs (run, task, batch) with the grain of their profile: the finest one with enough normal runs."""
-    n = normals.select("run", "task", "batch").distinct()
-    fine, coarse = n.groupBy("task", "batch").agg(F.count("*").alias("_fine")), n.groupBy("task").agg(F.count("*").alias("_coarse"))
+def chosen_grain(runs: DataFrame, normals: DataFrame, *keys: str, batch_least: int = 5, task_least: int = 2) -> DataFrame:
+    """runs (keys, run, task, batch) with the grain of their profile: the finest one with enough normal runs of the key."""
+    n = normals.select(*keys, "run", "task", "batch").distinct()
+    fine, coarse = n.groupBy(*keys, "task", "batch").agg(F.count("*").alias("_fine")), n.groupBy(*keys, "task").agg(F.count("*").alias("_coarse"))
     depth = F.when(F.col("_fine") >= batch_least, 2).when(F.col("_coarse") >= task_least, 1).otherwise(0)
-    chosen = runs.join(fine, ["task", "batch"], "left").join(coarse, "task", "left").withColumn("depth", depth)
-    return chosen.select("run", "depth", F.when(F.col("depth") > 0, F.col("task")).otherwise("").alias("task"), F.when(F.col("depth") > 1, F.col("batch")).otherwise("").alias("batch"))
+    chosen = runs.join(fine, [*keys, "task", "batch"], "left").join(coarse, [*keys, "task"], "left").withColumn("depth", depth)
+    return chosen.select(*keys, "run", "depth", F.when(F.col("depth") > 0, F.col("task")).otherwise("").alias("task"), F.when(F.col("depth") > 1, F.col("batch")).otherwise("").alias("batch"))

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark import catalog
+from tallyspark import catalog, catalog_plans  # noqa: F401
 from tallyspark.functions import likelihood as L
 from tallyspark.functions import outcome as O
 from tallyspark.operators import detect, mismatch, runscore, steps, telemetry, windows
