@@ -233,5 +233,24 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(restored().alias("doc_id"), "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
 
 
-#: Whole-table SQL would compare every window of every document; tests compare with brute force.
-ORACLE = None
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE = rf"""
+with i as (
+  select coalesce(item_id::varchar, 'null') item, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark
+), p as (
+  select item, least(len(ws), {WINDOW}) m, ws, unnest(range(1, len(ws) - least(len(ws), {WINDOW}) + 2)) pos from i where len(ws) > 0
+), q as (
+  select distinct item, m, md5(array_to_string(ws[pos:pos + m - 1], ' ')) key from p
+), d as (
+  select doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents
+), w as (
+  select doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) pos from d, (select distinct m from q) where len(ws) >= m
+), h as (
+  select w.doc_id, w.pos, w.m, q.item from w join q on q.m = w.m and q.key = md5(array_to_string(w.ws[w.pos:w.pos + w.m - 1], ' '))
+), n as (
+  select doc_id, count(distinct at_) n_hit from (select doc_id, unnest(range(pos, pos + m)) at_ from h) group by doc_id
+), s as (
+  select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item from h) group by doc_id
+)
+select doc_id, len(ws) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join n using (doc_id) left join s using (doc_id)
+"""

@@ -282,5 +282,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-#: Whole-table SQL over all windows is too slow; tests compare with brute force.
-ORACLE = None
+ORACLE = r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents
+), w as (
+  select doc_id, ws, unnest(range(1, len(ws) + 1)) pos from d
+), k as (
+  select doc_id, pos, ws[pos] word, case when pos + 19 <= len(ws) then md5(array_to_string(ws[pos:pos + 19], ' ')) end key from w
+), r as (
+  select *, key is not null and row_number() over (partition by key order by doc_id, pos) > 1 again from k
+), c as (
+  select *, bool_or(again) over (partition by doc_id order by pos rows between 19 preceding and current row) gone from r
+), s as (
+  select doc_id, count(*) n_words, count(*) filter (gone) n_removed, string_agg(word, ' ' order by pos) filter (not gone) kept from c group by doc_id
+)
+select doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join s using (doc_id)
+"""

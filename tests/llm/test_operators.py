@@ -1,19 +1,22 @@
 """Each operator against brute force on small fixtures: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, compaction, decontam, lines, media, mixing, quality, simhash, substrings, toxicity
+from tallyspark.llm import chat, compaction, decontam, lines, media, mixing, quality, queries, simhash, substrings, toxicity
 from tallyspark.llm.common import keyed
 
+DATA = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, id string, spans string"
 
@@ -53,6 +56,17 @@ def got(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    found, want = queries.QUERIES[name](spark, DATA), con.sql(queries.ORACLE[name])
+    assert set(found.columns) == set(want.columns)
+    assert got(found.select(*want.columns)) == sorted(want.fetchall(), key=str)
+
+
 def test_line_dedup(docs, pairs):
     key = lambda line: lower(line.strip(SPACE))
     where = {}
