@@ -7,7 +7,7 @@ kept if that lies between two quantiles of its language's trusted documents, whi
 rare symbols is over the upper one, mindless repetition under the lower one. The defaults were chosen by four folds of
 labelled rows, each judged by a model of the other three: the best mean of both classes' hits that keeps 98 % of good ones.
 
-Documents meet the table of probabilities shard by shard: each shard has about SHARD rows (12 bytes each) and is
+Documents meet the table of probabilities shard by shard: each shard has about SHARD rows (16 bytes each) and is
 broadcast, and a pass over the documents adds what it knows of their n-grams to a running sum, so texts and n-grams
 are never shuffled and no broadcast grows with the table.
 
@@ -130,7 +130,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
         p = F.coalesce(F.coalesce("own", F.lit(0.0)) / F.col("total") + F.col("mass") / F.col("total") * F.col("below"), F.col("below"))
         lower = stored(rows.select("lang", "g", p.alias("p")), *([lower] if lower is not None else []))
     release(corpus, known, *cuts.values(), *[grams[n] for n in range(1, ORDER)])
-    return lower.select("lang", "g", F.ln("p").cast("float").alias("logp"))
+    return lower.select("lang", "g", F.ln("p").alias("logp"))
 
 
 class Lookup:
@@ -139,7 +139,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * len(keys)).bit_length())
         size = 1 << self.bits
-        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.float32)
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size)
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             at = slot[left]
@@ -154,7 +154,7 @@ class Lookup:
         return (mix(keys.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot, out = self._slot(keys), np.zeros(len(keys), np.float32)
+        slot, out = self._slot(keys), np.zeros(len(keys))
         got = self.keys[slot] == keys
         out[got] = self.values[slot[got]]
         left = np.flatnonzero(~got)
@@ -187,7 +187,7 @@ def _added(docs: DataFrame, shard: DataFrame) -> DataFrame:
                 if name in shared.value:
                     if name not in tables:
                         tables[name] = Lookup(*shared.value[name])
-                    surprise[rows] = np.nan_to_num(surprise[rows]) - np.add.reduceat(tables[name](keys).astype(np.float64), bounds[:-1])
+                    surprise[rows] = np.nan_to_num(surprise[rows]) - np.add.reduceat(tables[name](keys), bounds[:-1])
             at = {"n_symbols": pa.array(n), "surprise": pa.array(surprise, from_pandas=True)}
             yield pa.RecordBatch.from_arrays([at.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
@@ -219,8 +219,40 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, low: float = LOW, high:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "trusted", "n_symbols", *[F.round(c, 6).alias(c) for c in ("perplexity", "low", "high")], "keep")
 
 
-#: Floating-point sums over a trained model; tests compare with a brute-force model.
-ORACLE = None
+def _oracle() -> str:
+    """The model over hexadecimal n-grams, an order after the other; quantiles by rank, as percentile_approx gives them
+    for languages of up to 10,000 trusted texts."""
+    orders = []
+    for n in range(1, ORDER + 1):
+        counts = "select lang, g, count(*) c from grams where trusted group by lang, g" if n == ORDER else f"select lang, substr(g, 3) g, count(*) c from c{n + 1} group by all"
+        cut = lambda k: f"greatest(0.1, least({k}, coalesce({k} - {k + 1} * (case when n1 > 0 then n1 / (n1 + 2 * n2) end) * nullif(n{k + 1}, 0) / nullif(n{k}, 0), {0.5 * k})))"
+        below = "1 / 256" if n == 1 else "l.p"
+        lower = "" if n == 1 else f"join p{n - 1} l on l.lang = w.lang and l.g = substr(w.g, 3)"
+        orders.append((n, f"c{n} as ({counts})", f"""
+t{n} as (select lang, {", ".join(f"count(*) filter (c = {k}) n{k}" for k in (1, 2, 3, 4))} from c{n} group by lang),
+d{n} as (select lang, {", ".join(f"{cut(k)} d{k}" for k in (1, 2, 3))} from t{n}),
+k{n} as (select c{n}.*, case c when 1 then d1 when 2 then d2 else d3 end d from c{n} join d{n} using (lang)),
+x{n} as (select lang, substr(g, 1, {2 * n - 2}) h, sum(c) total, sum(d) mass from k{n} group by all),
+p{n} as (
+  select w.lang, w.g, case when total is null then {below} else (coalesce(k.c - k.d, 0) + mass * {below}) / total end p
+  from (select distinct lang, substr(g, {2 * (ORDER - n) + 1}) g from grams semi join c1 using (lang)) w {lower} left join k{n} k on k.lang = w.lang and k.g = w.g left join x{n} x on x.lang = w.lang and x.h = substr(w.g, 1, {2 * n - 2})
+)"""))
+    tables = ",\n".join([c for _, c, _ in reversed(orders)]) + "," + ",".join(p for _, _, p in orders)
+    return f"""
+with good as (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1),
+d as (select doc_id, documents.lang own, coalesce(documents.lang, '?null') lang, good.doc_id is not null trusted, '000000' || hex(encode(coalesce(text, ''))) || '00' h from documents left join good using (doc_id)),
+grams as (select doc_id, lang, trusted, substr(h, 2 * k + 1, 8) g from (select *, unnest(range(len(h) // 2 - 3)) k from d)),
+{tables},
+s as (select doc_id, count(*) n_symbols, exp(-avg(ln(p))) perplexity from grams left join p{ORDER} using (lang, g) group by doc_id),
+f as (select d.doc_id, own, lang, trusted, n_symbols, perplexity from d join s using (doc_id)),
+q as (select lang, list_sort(list(perplexity)) v from f where trusted and perplexity is not null group by lang),
+l as (select lang, v[greatest(1, ceil({LOW}::double * len(v))::bigint)] low, v[greatest(1, ceil({HIGH}::double * len(v))::bigint)] high from q)
+select doc_id, own lang, trusted, n_symbols, round(perplexity, 6) perplexity, round(low, 6) low, round(high, 6) high, coalesce(perplexity between low / exp({SHORT} / sqrt(n_symbols)) and high * exp({SHORT} / sqrt(n_symbols)), true) keep from f left join l using (lang)
+"""
+
+
+ORACLE = _oracle()

@@ -60,7 +60,7 @@ def got(df):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     found, want = queries.QUERIES[name](spark, DATA), con.sql(queries.ORACLE[name])
     assert set(found.columns) == set(want.columns)
