@@ -145,7 +145,7 @@ def unfinished(spark, sf_dir):
     return windows.without_record(markers, d.where("k % 3 <> 0")).select("unit_id", "at_ms")
 
 
-@query("G1_G3_source_order", f"with {CHANGED} select source, row_number() over (order by source nulls last) position, count(*) n from records group by source")
+@query("G3_source_order", f"with {CHANGED} select source, row_number() over (order by source nulls last) position, count(*) n from records group by source")
 def source_order(spark, sf_dir):
     from pyspark.sql import Window as W
 
@@ -153,6 +153,20 @@ def source_order(spark, sf_dir):
     return d.withColumn("position", F.row_number().over(W.orderBy(F.asc_nulls_last("source"))).cast("long"))
 
 
+@query("G1_unit_order", f"with {CHANGED} select row_number() over (order by unit_id, attempt) place, unit_id, attempt from records where k % 10 = 3")
+def unit_order(spark, sf_dir):
+    """Rows come ordered by unit and attempt; the place counts them as they come."""
+    rows = records(spark, sf_dir).where("k % 10 = 3").select("unit_id", "attempt").orderBy("unit_id", "attempt")
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query("I3_C6_log_likelihoods", f"with {CHANGED} select unit_id, round(case when failure_kind is not null then ln(0.16::double / 0.02::double) else ln(1 - 0.16::double) - ln(1 - 0.02::double) end, 9) bernoulli, round(4 * ((value - 1.5) / 0.5) / 0.5 * 0.25::double, 6) gaussian from records where value is not null")
+def log_likelihoods(spark, sf_dir):
+    v = F.col("value")
+    d = records(spark, sf_dir).where("value is not null")
+    return d.select("unit_id", F.round(L.bernoulli(F.col("failure_kind").isNotNull(), 0.02, 0.16), 9).alias("bernoulli"), F.round(L.gaussian(v, 1.0, 2.0, F.lit(0.5)), 6).alias("gaussian"))
+
+
 @query("A13_identifiers", f"with {CHANGED} select unit_id, substr(sha256('trace' || chr(31) || run_id || chr(31) || unit_id), 1, 32) trace_id, substr(sha256('span' || chr(31) || run_id || chr(31) || unit_id || chr(31) || attempt), 1, 16) span_id from records")
 def identifiers(spark, sf_dir):
     # the separator is a parameter of the comparison: DuckDB's chr(0) ends a string

@@ -6,6 +6,8 @@ values read by schema. Documents with duplicate keys, or integers beyond 64 bits
 from __future__ import annotations
 
 import json
+import re
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,9 +124,16 @@ def flat(records: DataFrame) -> DataFrame:
     return records.select("run_id", "unit_id", "attempt", "kind", "source", "outcome", *failure, c("decision.action").alias("decision"), "reward", "started_at_ms", "ended_at_ms", *cost, "resources.peak_host_rss_bytes", *mismatch)
 
 
+# The columns that are dictionary-encoded.
+DICTIONARY = ("decision", "failure_class", "failure_kind", "failure_stage", "kind", "outcome", "run_id", "source")
+
+
 def write_flat(records: DataFrame, path: str, *, row_group_rows: int = 65_536) -> None:
-    """flat(records) as Parquet; never overwrites. Files follow the frame's partitions."""
-    flat(records).write.mode("errorifexists").option("parquet.block.row.count.limit", row_group_rows).parquet(path)
+    """flat(records) as Parquet; never overwrites. Rows keep their order: files are named in the order of the frame's partitions."""
+    out = flat(records).write.mode("errorifexists").option("parquet.block.row.count.limit", row_group_rows).option("parquet.enable.dictionary", "false")
+    for c in DICTIONARY:
+        out = out.option(f"parquet.enable.dictionary#{c}", "true")
+    out.parquet(path)
 
 
 def _attribute(key: str, kind: str, value: Column) -> Column:
@@ -207,6 +216,25 @@ def write_steps(lines: DataFrame, path: str, prefix: str = "records") -> None:
         fs.delete(hadoop.Path(work), True)
 
 
+def supersede(spark: SparkSession, path: str, first_step: int) -> list[str]:
+    """Moves the files of steps from first_step on, of any prefix, into a folder superseded-<seconds>; gives their names.
+
+    For a run that starts again from first_step: the driver renames files, it reads none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {x.getPath().getName(): x.getPath() for x in fs.listStatus(root) if x.isFile()}
+    stale = sorted(n for n in found if (m := re.fullmatch(r".*-([0-9]+)\.jsonl", n)) and int(m[1]) >= first_step)
+    if stale:
+        aside = hadoop.Path(root, f"superseded-{int(time.time())}")
+        if fs.exists(aside) or not fs.mkdirs(aside):
+            raise FileExistsError(f"{aside} exists")
+        for n in stale:
+            if not fs.rename(found[n], hadoop.Path(aside, n)):
+                raise OSError(f"{n} could not be moved")
+    return stale
+
+
 TELEMETRY = """metadata struct<rollout_step:long,fault_injection:struct<fault_injection_type:string,fault_injection_strength:double>>,
 metrics map<string,double>, flags map<string,boolean>"""
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark import catalog, catalog_plans  # noqa: F401
 from tallyspark.functions import likelihood as L
 from tallyspark.functions import outcome as O
+from tallyspark.plans import scoring
 from tallyspark.operators import detect, mismatch, runscore, steps, telemetry, windows
 
 DATA = "/root/testdata/sf0.001"
@@ -159,6 +160,15 @@ def test_undetermined_verdict(spark):
     assert obs(0.0).mismatch_probability is None and obs(0.0).at_ms == 600
 
 
+def test_rendered_scores(spark):
+    runs_ = spark.createDataFrame([("a", "healthy", None), ("b", "lr_spike", 2)], "run_id string, arm string, onset int")
+    recs = spark.createDataFrame([(r, f"{r}{k}", 1, k, None, 1.0) for r in "ab" for k in range(4)], "run_id string, unit_id string, attempt int, step long, failure_kind string, reward double")
+    alarms = spark.createDataFrame([("b", "reward", "s", "b3", 9, "algorithm"), ("b", "mismatch", None, "b1", 5, None)], "run_id string, signal string, source string, unit_id string, at_ms long, verdict string")
+    got = scoring.scored(runs_, recs, alarms)
+    assert list(scoring.rendered(got))[2:] == ["| a | healthy | 4 | - | 1/1 | - |", "| b | lr_spike | 4 | mismatch@1 reward@3 | 2/3 | D1 no alarm before onset |"]
+    assert got.where("run_id = 'b'").first().reward_delay == 1
+
+
 def test_texts_of_decisions_and_refusals(spark):
     d = spark.createDataFrame([("sandbox", 1), ("sandbox", 2), (None, 1), ("missing_reward", 1)], "kind string, attempt int")
     p = O.Policy(max_attempts=2)
