@@ -7,12 +7,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import ERRORS_SQL, FAILURE_LLR, MISMATCH_LLR, REWARD_LLR, RULES_SQL, STEPS_SQL, errors, factor_sql, fold_sql, query, r
+from . import cli
+from .catalog import ERRORS_SQL, FAILURE_LLR, MISMATCH_LLR, NESTED, ORACLE, REWARD_LLR, RULES_SQL, STEPS_SQL, errors, factor_sql, fold_sql, nested_records, query, r
 from .functions import likelihood as L
 from .functions import traces
 from .operators import faults, mismatch, steps, telemetry
 from .plans import campaign, crossval, scoring
 from .plans.campaign import Scenario
+from .sources import runs, trajectories
 from .sources.events import CHANGED, read_table, records
 
 
@@ -252,3 +254,89 @@ def trace_records(spark, sf_dir):
     lines = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.when(F.col("l_tax") > 0, F.col("l_discount")).alias("score"), F.col("l_quantity").alias("weight"))).alias("rewards"))
     given = lines.select(F.col("l_orderkey").cast("string").alias("unit_id"), F.lit(1).alias("attempt"), F.lit("trajectory").alias("kind"), F.lit("s").alias("source"), (key > 1).alias("ok"), seen.alias("errors"), "rewards")
     return traces.trace_records(given).select("unit_id", "outcome", "action", r("reward").alias("reward"), F.col("failure.message").alias("message"))
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    """(file_name, value): the test records as the JSON documents of a run directory."""
+    rows = nested_records(spark, sf_dir)
+    return rows.select(F.concat("unit_id", F.lit(".json")).alias("file_name"), trajectories.rendered(rows).alias("value"))
+
+
+@query("A1_A3_A16_H3_I15_strict_records", ORACLE["B2_flat_projection"])
+def strict_records(spark, sf_dir):
+    """The records, rendered as JSON, parsed strictly and flattened: the same rows as the flat projection."""
+    f = runs.flat(runs.parse_records(documents(spark, sf_dir)))
+    real = ("cpu_seconds", "gpu_seconds", "usd", "mismatch_kl", "mismatch_ratio_mean")
+    return f.select(*[F.round(c, 6).alias(c) if c in real else F.col(c) for c in f.columns])
+
+
+@query("A2_V18_bad_documents", f"""
+with {CHANGED} select unit_id || '.json' file_name, case k % 10 when 1 then 'record' when 2 then 'record.reward' when 3 then 'record.cost.tokens_in' when 4 then 'record.decision' when 5 then 'record.kind' when 6 then 'record.schema_version' when 7 then 'record.tags' end problem from records
+""")
+def bad_documents(spark, sf_dir):
+    """One thing is made wrong in most documents; the parse names its path."""
+    k = F.expr("cast(get_json_object(value, '$.resources.sample_count') as int) % 10")
+    swap = lambda pattern, text: F.regexp_replace("value", pattern, text)
+    bad = (
+        F.when(k == 1, swap('"run_id"', '"runid"'))
+        .when(k == 2, swap('"reward":[^,]*', '"reward":"1"'))
+        .when(k == 3, swap('"tokens_in":[0-9]+', '"tokens_in":1.5'))
+        .when(k == 4, swap('"decision":[{]', '"decision":{"more":1,'))
+        .when(k == 5, swap('"kind":"trajectory"', '"kind":"other"'))
+        .when(k == 6, swap('"schema_version":2', '"schema_version":3'))
+        .when(k == 7, swap('"tags":[\\[]', '"tags":[["x"],'))
+        .otherwise(F.col("value"))
+    )
+    return runs.parse_records(documents(spark, sf_dir).withColumn("value", bad), keep_bad=True).select("file_name", "problem")
+
+
+@query("A14_A15_annotated", f"with {CHANGED} select unit_id, reward, failure_kind, 3::bigint notes from (select unit_id, failure_kind, case when failure_kind is null then reward when failure_class in ('agent', 'timeout') then 0.0 end reward from records where k % 4 = 0)")
+def annotated(spark, sf_dir):
+    """Records put into trajectory documents and read back; what was there before stays."""
+    rows = nested_records(spark, sf_dir)
+    given = records(spark, sf_dir).where("k % 4 = 0").select("unit_id", "attempt", F.lit('{"schema_version":"ATIF-v1.4","steps":[{"n":1}],"extra":{"notes":3}}').alias("document"))
+    done = trajectories.annotate(given, rows, ["unit_id", "attempt"], "outcome").select(F.col("unit_id").alias("file_name"), "document")
+    back = trajectories.annotated_records(done, "outcome").select("unit_id", "reward", F.col("failure.kind").alias("failure_kind"))
+    kept = done.select(F.col("file_name").alias("unit_id"), F.get_json_object("document", "$.extra.notes").cast("long").alias("notes"))
+    return back.join(kept, "unit_id")
+
+
+@query("A12_I11_span_attributes", f"""
+with {CHANGED}, {NESTED} select unit_id, 'invoke_agent' as name, (started_at_ms::hugeint * 1000000)::varchar began, failure_kind is not null has_status, failure_class, tokens_in::varchar input_tokens, round(mismatch_kl, 6) kl,
+  10 + (source is not null)::bigint + 4 * (failure_kind is not null)::bigint + coalesce(failure_kind is null and reward is not null or failure_class in ('agent', 'timeout'), false)::bigint + coalesce(tokens_in > 0, false)::bigint + (tokens > 0)::bigint + 2 * (mismatch_kl is not null)::bigint - 2 attributes
+from (select * replace (case when tokens_in > 0 then tokens_in end as tokens_in) from nested)
+""")
+def span_attributes(spark, sf_dir):
+    s = runs.spans(nested_records(spark, sf_dir), "trace").select("unit_id", F.parse_json("span").alias("v"))
+    at = lambda path, t: F.variant_get("v", path, t)
+    attributes = at("$.attributes", "array<variant>")
+    value = lambda key, kind: F.get(F.transform(F.filter(attributes, lambda a: F.variant_get(a, "$.key", "string") == key), lambda a: F.try_variant_get(a, f"$.value.{kind}", "string")), F.lit(0))
+    return s.select(
+        "unit_id", at("$.name", "string").alias("name"), at("$.startTimeUnixNano", "string").alias("began"), F.try_variant_get("v", "$.status.code", "int").isNotNull().alias("has_status"), value("rl.failure_class", "stringValue").alias("failure_class"),
+        value("gen_ai.usage.input_tokens", "intValue").alias("input_tokens"), F.round(value("rl.mismatch_kl", "doubleValue").cast("double"), 6).alias("kl"), F.size(attributes).cast("long").alias("attributes"),
+    )
+
+
+@query("B9_I9_show_rows", f"with {CHANGED}, {NESTED} select unit_id unit, attempt, kind, outcome, failure_class as class, failure_kind cause, failure_stage stage, '0.0/0.0 GiB' peak_gpu, case when failure_kind is null then 'score' when failure_class in ('infra', 'grader') then 'mask' else 'zero' end decision, case when k > 0 then '0.0 gpu-min' else '0.0 cpu-min' end as cost from nested")
+def show_rows(spark, sf_dir):
+    return cli.show_rows(nested_records(spark, sf_dir))
+
+
+@query("B16_I14_tags", f"with {CHANGED} select unit_id, case when k % 3 > 0 then step end step, case when k % 2 = 0 then grp end grp from records")
+def tags(spark, sf_dir):
+    rows = nested_records(spark, sf_dir)
+    some = F.map_filter("tags", lambda key, _: ((key == "step") & (F.col("resources.sample_count") % 3 > 0)) | ((key == "group") & (F.col("resources.sample_count") % 2 == 0)))
+    return cli.outcomes(rows.withColumn("tags", some)).select("unit_id", "step", "grp")
+
+
+@query("C6_G2_mismatch_batches", f"with {CHANGED}, {NESTED} select unit_id, row_number() over (order by started_at_ms, unit_id, attempt) - 1 pos, started_at_ms at_ms, source, round(mismatch_kl, 6) kl from nested where mismatch_kl is not null")
+def mismatch_batches(spark, sf_dir):
+    return cli.batches(nested_records(spark, sf_dir)).select("unit_id", "pos", "at_ms", "source", F.round("kl", 6).alias("kl"))
+
+
+@query("B13_masked_fields", f"with {CHANGED} select unit_id, case when failure_kind is not null then 2 end::integer prompt, case when failure_kind is not null then 0 end::integer responses, case when failure_kind is not null then 0.0 end::double reward_score from records")
+def masked_fields(spark, sf_dir):
+    out = traces.masked_output(F.array(F.lit(1).cast("long"), F.lit(2).cast("long")), F.col("failure_kind").isNotNull(), F.create_map(F.lit("a"), F.lit("b")))
+    m = records(spark, sf_dir).select("unit_id", out.alias("m"))
+    size = lambda c: F.when(F.col("m").isNotNull(), F.size(c))
+    return m.select("unit_id", size("m.prompt_ids").alias("prompt"), size("m.response_ids").alias("responses"), "m.reward_score")

@@ -62,13 +62,19 @@ def table(names: tuple[str, ...], cells: DataFrame) -> Iterator[str]:
         yield "  ".join(row[c].ljust(wide[c]) for c in names).rstrip()
 
 
-def show(spark: SparkSession, directory: str, failures_only: bool) -> Iterator[str]:
-    records = runs.scan_run(spark, directory)
+def show_rows(records: DataFrame) -> DataFrame:
+    """The cells of the show table, columns as in SHOW; null where it prints a dash."""
     c, gib = F.col, 2**30
     gpu = F.when(F.size("resources.gpu_total_bytes") > 0, F.format_string("%.1f/%.1f GiB", F.get("resources.peak_gpu_used_bytes", F.lit(0)) / gib, F.get("resources.gpu_total_bytes", F.lit(0)) / gib))
     cost = F.when(c("cost.gpu_seconds") > 0, F.format_string("%.1f gpu-min", c("cost.gpu_seconds") / 60)).otherwise(F.format_string("%.1f cpu-min", c("cost.cpu_seconds") / 60))
+    cells = [c("unit_id"), c("attempt"), c("kind"), c("outcome"), O.failure_class(c("failure.kind")), c("failure.kind"), c("failure.stage"), gpu, c("decision.action"), cost]
+    return records.select(*[x.alias(n) for x, n in zip(cells, SHOW, strict=True)])
+
+
+def show(spark: SparkSession, directory: str, failures_only: bool) -> Iterator[str]:
+    records = runs.scan_run(spark, directory)
     shown = records.where("outcome = 'failed'") if failures_only else records
-    yield from table(SHOW, shown.select("unit_id", "attempt", "kind", "outcome", O.failure_class(c("failure.kind")).alias("class"), c("failure.kind").alias("cause"), "failure.stage", gpu.alias("peak_gpu"), c("decision.action"), cost.alias("cost")))
+    yield from table(SHOW, show_rows(shown))
     s = windows.summary(outcomes(records)).first()
     yield f"failures: {s.failures} of {s.units} units; " + ", ".join(f"{k} {s[k]}" for k in ("infra", "agent", "grader", "timeout")) + f"; gpu-hours lost {s.gpu_hours_lost:.2f}"
     for r in shown.where("failure is not null").select("unit_id", "attempt", "failure.evidence").toLocalIterator():
