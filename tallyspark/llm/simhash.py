@@ -292,11 +292,12 @@ def components(edges: DataFrame, *, most: int = 60) -> DataFrame:
     before = None
     for _ in range(most):
         both = now.unionByName(now.selectExpr("b a", "a b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
+        # stored, so that both sides of the join are plain exchanges and AQE can split the partition of a hub
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m"))
         large = both.join(least, "a").where("b > a and b <> m").selectExpr("b a", "m b").distinct()  # large star: larger neighbours go to the minimum
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").selectExpr("b a", "m b").unionByName(down.selectExpr("a", "m b")).where("a <> b").distinct()
-        now = stored(small, now)
+        now = stored(small, now, least)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
