@@ -93,7 +93,8 @@ def integrity(spark: SparkSession, directory: str, *, window_units: int, batchin
     """The report's lines, and whether an alarm fired. There are at most four alarms for each source."""
     records = runs.scan_run(spark, directory)
     check_steps(records)
-    flat, mism = outcomes(records), batches(records)
+    # documents are parsed once, not by each of the report's jobs; what an executor loses is parsed again
+    flat, mism = outcomes(records).persist(), batches(records).persist()
     number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.3f", c))
     w = windows.source_windows(flat, window_units=window_units).orderBy(F.col("source").asc_nulls_last(), "index")
     lines = list(table(WINDOWS, w.select("source", "index", "first_unit_id", "units", *[number(c).alias(c) for c in WINDOWS[4:9]], "poisoned_units")))
@@ -109,6 +110,8 @@ def integrity(spark: SparkSession, directory: str, *, window_units: int, batchin
             other = "mismatch not recorded" if c.mismatch_probability is None else f"mismatch {c.mismatch_probability:.4f}"
             line += f"; cause: {c.verdict}, P(config)={c.configuration_probability:.4f} from failure rate {c.failure_rate_probability:.4f} and {other}"
         lines.append(line)
+    flat.unpersist()
+    mism.unpersist()
     return lines, bool(alarms)
 
 
