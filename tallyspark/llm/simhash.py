@@ -368,5 +368,55 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(restored().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), restored("component").alias("component_id"))
 
 
-#: Fingerprints need XXH64 and components a fixed point; tests compare with brute force.
-ORACLE = None
+def _oracle() -> str:
+    """XXH64 in 128-bit arithmetic over hexadecimal texts, bits by majority, and the closure of all near pairs."""
+    # The primes of XXH64.
+    p1, p2, p3, p4, p5 = (f"{x}::uhugeint" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    m = "18446744073709551616::uhugeint"
+    rotl = lambda x, r: f"((({x}) * {2**r}::uhugeint) % {m} + (({x}) * {2**r}::uhugeint) // {m})"
+    xor = lambda a, b: f"xor(({a})::ubigint, ({b})::ubigint)::uhugeint"
+    round_ = lambda acc, lane: f"({rotl(f'({acc} + {lane} * {p2} % {m}) % {m}', 31)} * {p1} % {m})"
+    zero = "0::uhugeint"
+    number = lambda at, size: "('0x' || " + " || ".join(f"substr(b, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(size))) + ")::ubigint::uhugeint"
+    lane = lambda k, start: f"list_reduce([({start}) % {m}] || lanes[{k}:4 * (n // 32):4], lambda acc, x: {round_('acc', 'x')})"
+    merged = lambda h, v: f"(({xor(h, round_(zero, v))}) * {p1} + {p4}) % {m}"
+    bits = ", ".join(f"sum((h >> {k}) & 1) b{k}" for k in range(64))
+    print_ = " + ".join(f"(case when 2 * b{k} > c then {2**k}::uhugeint else 0::uhugeint end)" for k in range(64))
+    return f"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents
+), g as (
+  select doc_id, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') s from (select doc_id, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1)) i from d where len(ws) > 0)
+), u as (
+  select s, hex(encode(s)) b, octet_length(encode(s))::bigint n from (select distinct s from g)
+), l as (
+  select *, list_transform(range(n // 8), lambda i: {number('8 * i', 8)}) lanes from u
+), v as (
+  select *, {lane(1, f"{SEED}::uhugeint + {p1} + {p2}")} v1, {lane(2, f"{SEED}::uhugeint + {p2}")} v2, {lane(3, f"{SEED}::uhugeint")} v3, {lane(4, f"{SEED}::uhugeint + {m} - {p1}")} v4 from l
+), w1 as (
+  select *, ({rotl('v1', 1)} + {rotl('v2', 7)} + {rotl('v3', 12)} + {rotl('v4', 18)}) % {m} h from v
+), w2 as (select * replace ({merged('h', 'v1')} as h) from w1), w3 as (select * replace ({merged('h', 'v2')} as h) from w2), w4 as (select * replace ({merged('h', 'v3')} as h) from w3), w5 as (select * replace ({merged('h', 'v4')} as h) from w4
+), x1 as (
+  select *, (case when n >= 32 then h else {SEED}::uhugeint + {p5} end + n::uhugeint) % {m} a from w5
+), x2 as (
+  select * replace (list_reduce([a] || lanes[4 * (n // 32) + 1:], lambda acc, x: ({rotl(xor('acc', round_(zero, 'x')), 27)} * {p1} + {p4}) % {m}) as a) from x1
+), x3 as (
+  select * replace (case when n % 8 >= 4 then ({rotl(xor('a', f"{number('8 * (n // 8)', 4)} * {p1} % {m}"), 23)} * {p2} + {p3}) % {m} else a end as a) from x2
+), x4 as (
+  select * replace (list_reduce([a] || list_transform(range(4 * (n // 4), n), lambda i: ('0x' || substr(b, 2 * i + 1, 2))::ubigint::uhugeint), lambda acc, x: {rotl(xor('acc', f'x * {p5} % {m}'), 11)} * {p1} % {m}) as a) from x3
+), x5 as (select s, {xor('a', 'a::ubigint >> 33')} * {p2} % {m} a from x4), x6 as (select s, {xor('a', 'a::ubigint >> 29')} * {p3} % {m} a from x5), x7 as (select s, ({xor('a', 'a::ubigint >> 32')})::ubigint h from x6
+), o as (
+  select doc_id, count(*) c, {bits} from g join x7 using (s) group by doc_id
+), f as (
+  select doc_id, coalesce(({print_})::ubigint, 0::ubigint) fp from d left join o using (doc_id)
+), k as (select fp, min(doc_id) first from f group by fp
+), e as (select x.fp x, y.fp y from k x join k y on bit_count(xor(x.fp, y.fp)::hugeint) <= {DISTANCE}
+), r as (
+  select fp a, fp b from k union select r.a, e.y from r join e on r.b = e.x
+), c as (select a, min(first) component_id from r join k on k.fp = r.b group by a)
+select doc_id, lower(lpad(hex(fp), 16, '0')) fingerprint, component_id from f join c on c.a = f.fp
+"""
+
+
+#: Compares all pairs of fingerprints, so it is for tables as small as those of the correctness gate.
+ORACLE = _oracle()
