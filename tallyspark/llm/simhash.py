@@ -13,7 +13,7 @@ alternating large-star and small-star steps, all in DataFrames.
 
 near_duplicates() links three-word fingerprints, h being XXH64, as its query's contract says. drop_near_duplicates(),
 a pipeline's stage, asks for five-word shingles and a similarity of 0.8: there a point of the grid is one of three
-fingerprints of a text's words (each weighted by the root of its count), and two texts are linked if one of these
+fingerprints of a text's words (each weighted by the root of its count, in sixteenths), and two texts are linked if one of these
 differs in 3 bits or less, and those of their different five-word shingles in at most 13, the angle of a cosine of
 0.8; or if the latter are equal.
 
@@ -58,19 +58,14 @@ def fingerprints_of(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) ->
     keep[at[1:] - 1] = False
     flat[keep] = data[inside]
     view, first, last = memoryview(flat.tobytes()), at[:-1], at[1:] - 1
-    hash_, out = xxhash.xxh64_intdigest, np.zeros(len(offs) - 1, np.uint64)
-    for t in range(len(out)):
-        lo, hi = bounds[t], bounds[t + 1]
-        if hi == lo:
-            continue
-        k = min(size, hi - lo)
-        n = hi - lo - k + 1
-        h = np.fromiter((hash_(view[a:b], SEED) for a, b in zip(first[lo : lo + n].tolist(), last[lo + k - 1 : hi].tolist())), np.uint64, n)
-        ones = np.zeros(64, np.int64)
-        for c in range(0, n, 60_000):
-            ones += np.unpackbits(h[c : c + 60_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[t] = np.packbits((2 * ones > n), bitorder="little").view(np.uint64)[0]
-    return out
+    n = np.diff(bounds)
+    shingles = np.where(n > 0, np.maximum(n - size, 0) + 1, 0)
+    edges = np.concatenate([[0], np.cumsum(shingles)])
+    start = np.arange(edges[-1]) + np.repeat(bounds[:-1] - edges[:-1], shingles)
+    end = start + np.repeat(np.minimum(size, n), shingles) - 1
+    hash_ = xxhash.xxh64_intdigest
+    h = np.fromiter((hash_(view[a:b], SEED) for a, b in zip(first[start].tolist(), last[end].tolist())), np.uint64, len(start))
+    return _majority(h, edges)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -87,30 +82,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _majority(values: np.ndarray, bounds: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """For each text the fingerprint of its values (values[bounds[t]:bounds[t + 1]]): bits set in over half their weight."""
+    """For each text the fingerprint of its values (values[bounds[t]:bounds[t + 1]]): bits set in over half their weight.
+
+    Weights are whole numbers, so sums don't depend on where a block ends."""
     ones, total = np.zeros((len(bounds) - 1, 64)), np.zeros(len(bounds) - 1)
-    for lo in range(0, len(values), 1 << 16):
-        hi = min(lo + (1 << 16), len(values))
+    for lo in range(0, len(values), 1 << 15):
+        hi = min(lo + (1 << 15), len(values))
         t = np.arange(np.searchsorted(bounds, lo, "right") - 1, np.searchsorted(bounds, hi, "left"))
         t = t[bounds[t + 1] > bounds[t]]
-        at = np.maximum(bounds[t], lo) - lo
+        at = np.append(np.maximum(bounds[t], lo), hi) - lo
         bits = np.unpackbits(values[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        if weights is None:
-            ones[t] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-            total[t] += np.diff(np.append(at, hi - lo))
+        w = np.ones(hi - lo) if weights is None else weights[lo:hi].astype(np.float64)
+        if hi - lo < 16 * len(t):  # short texts
+            ones[t] += np.add.reduceat(bits * w[:, None], at[:-1], axis=0)
         else:
-            w = weights[lo:hi]
-            ones[t] += np.add.reduceat(bits * w[:, None], at, axis=0, dtype=np.float64)
-            total[t] += np.add.reduceat(w, at, dtype=np.float64)
+            bits = bits.astype(np.float64)
+            for k, x, y in zip(t.tolist(), at[:-1].tolist(), at[1:].tolist()):
+                ones[k] += w[x:y] @ bits[x:y]
+        total[t] += np.add.reduceat(w, at[:-1])
     return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
 def _distinct(owner: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(h, count, bounds) of each text's different values."""
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.diff(np.append(first, len(h))), np.searchsorted(owner[first], np.arange(texts + 1))
+    """(value, count, bounds) of each text's different values, told apart by the upper 44 bits: one sort of numbers."""
+    if texts >= 1 << 20:
+        raise ValueError("at most 2^20 - 1 texts at once")
+    key = np.sort((owner.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count, key = np.diff(np.append(first, len(key))), key[first]
+    return mix(key << np.uint64(20)), count, np.searchsorted(key >> np.uint64(44), np.arange(texts + 1, dtype=np.uint64))
 
 
 def stage_fingerprints_of(data: np.ndarray, offs: np.ndarray, size: int = STAGE_SHINGLE, points: int = STAGE_POINTS) -> list[np.ndarray]:
@@ -127,7 +127,7 @@ def stage_fingerprints_of(data: np.ndarray, offs: np.ndarray, size: int = STAGE_
     shingles, _, at = _distinct(owner[whole], span_hashes(h, first, first + take), texts)
     out = [_majority(shingles, at)]
     words, count, at = _distinct(owner, h, texts)
-    weight = np.sqrt(count).astype(np.float32)
+    weight = np.rint(16 * np.sqrt(count))
     return out + [_majority(mix(words + np.uint64(k + 1)), at, weight) for k in range(points)]
 
 
@@ -164,6 +164,14 @@ def _parts(bits: np.ndarray) -> list[np.uint64]:
 
 def _tree(a: np.ndarray, b: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (two arrays of b) of a spanning forest: breadth first, so that a dense run costs little more than its length."""
+    if len(a) <= 8:  # few enough to verify each pair at once
+        one, two, root, found = a.tolist(), b.tolist(), list(range(len(a))), []
+        for i, j in combinations(range(len(a)), 2):
+            if root[i] != root[j] and (one[i] ^ one[j]).bit_count() <= DISTANCE and (two[i] ^ two[j]).bit_count() <= within:
+                found.append((i, j))
+                root = [root[i] if r == root[j] else r for r in root]
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return b[at[:, 0]], b[at[:, 1]]
     embedded, left, right, todo = popcounts(a), [], [], np.arange(len(a))
     while len(todo) > 1:
         front, todo = todo[:1], todo[1:]
@@ -251,12 +259,17 @@ def _links(level: int, within: int = 64):
             if not len(cell):
                 continue
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            sizes, inner = np.diff(cuts), np.ones(len(cuts) - 1, bool)
+            inner[[0, -1]] = False  # the others begin and end in this batch
+            pair = cuts[:-1][inner & (sizes == 2)]
+            near = (np.bitwise_count(a[pair] ^ a[pair + 1]) <= DISTANCE) & (np.bitwise_count(b[pair] ^ b[pair + 1]) <= within)
+            pair = pair[near]
+            out.append((np.zeros(len(pair), np.int32), np.zeros(len(pair), np.uint64), b[pair], b[pair + 1]))
+            for k in np.flatnonzero(~inner | (sizes > 2)).tolist():
+                lo, hi = int(cuts[k]), int(cuts[k + 1])
                 if cell[lo] != name:
                     close()
                     held, size, name, large = [], 0, int(cell[lo]), False
-                if hi - lo == 1 and not size and not large and hi < len(cell):
-                    continue  # alone in its cell
                 if large:
                     defer(a[lo:hi], b[lo:hi])
                     continue

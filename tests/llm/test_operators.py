@@ -180,13 +180,14 @@ def test_stage_fingerprints_and_components(spark, docs, pairs):
     data, offs = simhash_buffers(texts_)
     b, *points = simhash.stage_fingerprints_of(data, offs)
     one = lambda x: int(simhash.span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0])
+    told = lambda x: int(simhash.mix(np.array([x >> 20 << 20], np.uint64))[0])
     for k, t in enumerate(texts_):
         w = [one(x.encode()) for x in re.findall(r"[^ \t\n\x0b\x0c\r]+", lower(t))]
-        h = {int(simhash.span_hashes(np.array(w[j : j + 5], np.uint64), np.array([0]), np.array([len(w[j : j + 5])]))[0]) for j in range(max(1, len(w) - 4))} if w else set()
+        h = {told(int(simhash.span_hashes(np.array(w[j : j + 5], np.uint64), np.array([0]), np.array([len(w[j : j + 5])]))[0])) for j in range(max(1, len(w) - 4))} if w else set()
         assert int(b[k]) == sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in h) > len(h))
         for n, p in enumerate(points):
-            weight = {int(simhash.mix(np.array([x + n + 1], np.uint64))[0]): w.count(x) ** 0.5 for x in set(w)}
-            assert int(p[k]) == sum(1 << j for j in range(64) if 2 * sum(v for x, v in weight.items() if x >> j & 1) > sum(weight.values()) + 1e-6)
+            weight = {int(simhash.mix(np.array([told(x) + n + 1], np.uint64))[0]): round(16 * w.count(x) ** 0.5) for x in set(w)}
+            assert int(p[k]) == sum(1 << j for j in range(64) if 2 * sum(v for x, v in weight.items() if x >> j & 1) > sum(weight.values()))
     group = list(range(len(b)))
     linked = lambda i, j: b[i] == b[j] or (int(b[i] ^ b[j]).bit_count() <= 13 and any(int(p[i] ^ p[j]).bit_count() <= 3 for p in points))
     for _ in group:
