@@ -12,7 +12,7 @@ from tallyspark import catalog, catalog_plans  # noqa: F401
 from tallyspark.functions import likelihood as L
 from tallyspark.functions import outcome as O
 from tallyspark.plans import scoring
-from tallyspark.operators import detect, mismatch, runscore, steps, telemetry, windows
+from tallyspark.operators import detect, faults, mismatch, runscore, steps, telemetry, windows
 
 DATA = "/root/testdata/sf0.001"
 RECORD = "run_id string, unit_id string, kind string, attempt int, source string, started_at_ms long, step long, grp string, failure_kind string, action string, reward double"
@@ -43,6 +43,26 @@ def test_query_equals_sql(spark, name):
     assert rows(df.select(*cols).collect()) == rows(want.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
+def equals_sql(spark, name, path, events):
+    """Whether a query and its SQL give the same rows over events (event_id, ts, user_id, event_type, value, props), a DuckDB query."""
+    con = duckdb.connect()
+    con.sql(f"copy ({events}) to '{path}/events.parquet'")
+    con.sql(f"create view events as select * from '{path}/events.parquet'")
+    df, want = catalog.QUERIES[name](spark, str(path)), con.sql(catalog.ORACLE[name])
+    cols = sorted(df.columns)
+    got = rows(df.select(*cols).collect())
+    return got == rows(want.select(*[f'"{c}"' for c in cols]).fetchall()) and len(got) > 0
+
+
+EVENTS = """select i event_id, timestamp '2024-01-15' + to_seconds(i % 100000) ts, i % 40 user_id, case when i % 3 = 0 then 'error' else 'view' end event_type, (i % 50)::double as value, '{"k": ' || i % 100 || '}' props from (select unnest(range(%d, %d)) i)"""
+
+
+def test_benchmark_records_of_steps_beyond_five_digits(spark, tmp_path):
+    assert equals_sql(spark, "M4_benchmark_records", tmp_path, EVENTS.replace("%d, %d", "4999900, 5000100"))
+    sample = spark.createDataFrame([("r", 100000, "g", 7, "score", None, 1.0, 0, 1)], "run_id string, step long, uid string, idx long, action string, failure_kind string, record_reward double, started_at_ms long, ended_at_ms long")
+    assert faults.benchmark_records(sample, source="s").first().unit_id == "s100000-0007"
+
+
 def test_window_of_six(spark):
     data = [record(0, reward=1.0), record(1, "agent_exception", "zero", 0.0), record(2, "sandbox", "mask"), record(3, "network", "zero", 0.0), record(4, "missing_reward", "mask"), record(5, "wall_clock", "zero", 0.0)]
     w = windows.source_windows(frame(spark, data)).first()
