@@ -74,6 +74,15 @@ def test_records_in_trajectories(spark, tmp_path):
             trajectories.annotate(df, records, ["unit_id", "attempt"], "outcome").collect()
 
 
+def test_filters_stay_above_the_parse(spark):
+    records = spark.createDataFrame([("a.json", json.dumps({"extra": {"outcome": GOOD}, "schema_version": "ATIF-v1.4", "steps": [1]}), 3), ("b.json", "{}", 4)], "file_name string, document string, n int")
+    found = trajectories.annotated_records(records, "outcome", keep_bad=True, keep=("n",)).where("unit_id = 'u1' and attempt = 1")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(StructField(attempt") == 1
+    assert [(r.file_name, r.unit_id, r.n) for r in found.collect()] == [("a.json", "u1", 3)]
+    with pytest.raises(PySparkException, match="b.json: schema_version"):
+        trajectories.annotated_records(records, "outcome").where("unit_id = 'u1'").collect()
+
+
 def test_append(spark, tmp_path):
     records = runs.scan_run(spark, directory(tmp_path, [GOOD]))
     out = str(tmp_path / "more")
