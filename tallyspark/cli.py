@@ -144,7 +144,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.format == "parquet":
             runs.write_flat(runs.scan_run(spark, a.run_dir), a.output)
         else:
-            runs.envelope(runs.spans(runs.scan_run(spark, a.run_dir), "tallyspark"), "tallyspark").select("request").write.mode("errorifexists").text(a.output)
+            runs.envelope(runs.spans(runs.in_order(runs.scan_run(spark, a.run_dir)), "tallyspark"), "tallyspark").select("request").write.mode("errorifexists").text(a.output)
     except (PySparkException, ValueError) as e:
         print(str(e).splitlines()[0], file=sys.stderr)
         return 2
