@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIOR_SCALE = 0.3
@@ -11,16 +11,25 @@ PRIOR_SCALE = 0.3
 def profile(normals: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
     """(means per feature and step, spread per feature) of normal runs' values, each within the columns `by`."""
     means = normals.groupBy(*by, "feature", "step").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
-    level = F.greatest(F.coalesce(F.sqrt(F.avg("var")), F.lit(0.0)), 0.01 * F.avg(F.abs("mean")), F.lit(1e-9))
-    return means.drop("var"), means.groupBy(*by, "feature").agg(level.alias("spread"))
+    return means.drop("var"), means.groupBy(*by, "feature").agg(level().alias("spread"))
+
+
+def level() -> Column:
+    """The spread of a feature, over its steps' (mean, var)."""
+    return F.greatest(F.coalesce(F.sqrt(F.avg("var")), F.lit(0.0)), 0.01 * F.avg(F.abs("mean")), F.lit(1e-9))
+
+
+def factor(n: Column, s: Column, prior_scale: float = PRIOR_SCALE) -> Column:
+    """Log Bayes factor of a shift, of n deviations in units of the spread with the sum s."""
+    t2 = prior_scale**2
+    return -0.5 * F.log1p(n * t2) + s * s * t2 / (2 * (1 + n * t2))
 
 
 def shift_factors(values: DataFrame, means: DataFrame, spreads: DataFrame, *by: str, prior_scale: float = PRIOR_SCALE) -> DataFrame:
     """Log Bayes factor of a shift of each (run, feature)."""
     z = (F.col("value") - F.col("mean")) / F.col("spread")
     cells = values.join(means, [*by, "feature", "step"]).join(spreads, [*by, "feature"]).withColumn("z", z)
-    n, s, t2 = F.col("n"), F.col("s"), prior_scale**2
-    return cells.groupBy(*by, "run", "feature").agg(F.count("*").alias("n"), F.sum("z").alias("s")).select(*by, "run", "feature", (-0.5 * F.log1p(n * t2) + s * s * t2 / (2 * (1 + n * t2))).alias("factor"))
+    return cells.groupBy(*by, "run", "feature").agg(F.count("*").alias("n"), F.sum("z").alias("s")).select(*by, "run", "feature", factor(F.col("n"), F.col("s"), prior_scale).alias("factor"))
 
 
 def scores(factors: DataFrame, *by: str) -> DataFrame:

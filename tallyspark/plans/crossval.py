@@ -3,7 +3,8 @@
 The outer folds hold out test runs; within the training runs of each, inner folds choose the multiplier of the
 threshold. A fit is (outer, inner), inner -1 for the whole training set; a profile is (outer, inner, part), where part
 says which of the fit's normal runs are left out to be scored (-1: none, for the fit's test runs). All fits, parts and
-multipliers are keys of the same joins and aggregations."""
+multipliers are keys of the same joins and aggregations. Cells are summed up by fit and own part before parts and grains
+multiply them, and a run's cells of a feature meet a profile as one row."""
 
 from __future__ import annotations
 
@@ -31,18 +32,39 @@ def fits(runs: DataFrame, folds: int = FOLDS) -> DataFrame:
     return inner.unionByName(last).drop("held", "at", "own")
 
 
+def profiles(normals: DataFrame, cells: DataFrame, least: int = 2) -> DataFrame:
+    """(part's keys, grain, feature, spread, means by step) of normals (fit, own, others, run, task, batch), where others
+    are the parts that a run counts for; as runscore.grain_profiles() of all of these parts' members."""
+    own, by = [*FIT, "own", "others", "task", "batch"], [*PART, *runscore.GRAIN]
+    spread_out = lambda df: runscore._grains(df.withColumn("part", F.explode("others"))).drop("own", "others")
+    enough = spread_out(normals.join(cells.select("run").distinct(), "run").groupBy(*own).agg(F.count("*").alias("runs"))).groupBy(*by).agg(F.sum("runs").alias("runs")).where(F.col("runs") >= least).drop("runs")
+    moments = normals.join(cells, "run").groupBy(*own, "feature", "step").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    each = W.partitionBy(*by, "feature", "step")
+    parts = spread_out(moments).join(enough, by, "left_semi").withColumn("mean", F.sum(F.col("n") * F.col("m")).over(each) / F.nullif(F.sum("n").over(each), F.lit(0)))
+    squares = F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) ** 2))
+    means = parts.groupBy(*by, "feature", "step").agg(F.max("mean").alias("mean"), F.when(F.sum("n") > 1, squares / (F.sum("n") - 1)).alias("var"))
+    return means.groupBy(*by, "feature").agg(runscore.level().alias("spread"), F.map_from_entries(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "mean")))).alias("means"))
+
+
 def scores(runs: DataFrame, cells: DataFrame, folds: int = FOLDS) -> DataFrame:
     """(outer, inner, part, run, score): each fit's normal runs scored out of sample (part 0, 1, ...), and its test runs (part -1)."""
     all_ = fits(runs, folds)
     normals = all_.where("role = 'train' and not faulty").withColumn("n", F.row_number().over(W.partitionBy(*FIT).orderBy("place")) - 1).withColumn("many", F.count("*").over(W.partitionBy(*FIT)))
     normals = normals.withColumn("parts", F.when(F.col("many") >= 2 * folds, folds).otherwise(F.col("many")).cast("long")).withColumn("own", F.col("n") % F.col("parts"))
     others = F.concat(F.array(F.lit(-1).cast("long")), F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: k != F.col("own")))
-    members = normals.withColumn("part", F.explode(others)).select(*PART, "run", "task", "batch")
+    normals = normals.withColumn("others", others)
+    members = normals.withColumn("part", F.explode("others")).select(*PART, "run", "task", "batch")
     asked = normals.select(*FIT, F.col("own").alias("part"), "run", "task", "batch").unionByName(all_.where("role = 'test'").select(*FIT, F.lit(-1).cast("long").alias("part"), "run", "task", "batch"))
-    means, spreads = runscore.grain_profiles(members.join(cells, "run"), *PART)
-    chosen = runscore.chosen_grain(asked, members, *PART)
-    by = [*PART, *runscore.GRAIN]
-    return runscore.scores(runscore.shift_factors(chosen.join(cells, "run"), means, spreads, *by), *by).select(*PART, "run", "score")
+    chosen, by = runscore.chosen_grain(asked, members, *PART), [*PART, *runscore.GRAIN]
+    rows = cells.groupBy("run", "feature").agg(F.array_sort(F.collect_list(F.struct("step", "value"))).alias("cells"))
+    known = F.filter("cells", lambda c: F.map_contains_key("means", c["step"]))
+    z = F.transform(known, lambda c: (c["value"] - F.element_at("means", c["step"])) / F.col("spread"))
+    total = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x))
+    found = chosen.join(rows, "run").join(profiles(normals.select(*FIT, "own", "others", "run", "task", "batch"), cells), [*by, "feature"]).select(*PART, "run", z.alias("z")).where(F.size("z") > 0)
+    factors = found.select(*PART, "run", runscore.factor(F.size("z"), total(F.filter("z", lambda x: x.isNotNull()))).alias("factor"))
+    listed, top = F.col("factors"), F.array_max("factors")
+    mean = total(F.transform(listed, lambda f: F.exp(f - top))) / F.size(listed)
+    return factors.groupBy(*PART, "run").agg(F.array_sort(F.collect_list("factor")).alias("factors")).select(*PART, "run", (top + F.ln(mean)).alias("score"))
 
 
 def nested(runs: DataFrame, cells: DataFrame, *, folds: int = FOLDS, multipliers: tuple[float, ...] = MULTIPLIERS, groups: list[tuple[str, str]] | None = None) -> DataFrame:

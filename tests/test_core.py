@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark import catalog, catalog_plans  # noqa: F401
 from tallyspark.functions import likelihood as L
 from tallyspark.functions import outcome as O
-from tallyspark.plans import scoring
+from tallyspark.plans import crossval, scoring
 from tallyspark.operators import detect, faults, mismatch, runscore, steps, telemetry, windows
 
 DATA = "/root/testdata/sf0.001"
@@ -63,6 +63,19 @@ def test_benchmark_records_of_steps_beyond_five_digits(spark, tmp_path):
     assert faults.benchmark_records(sample, source="s").first().unit_id == "s100000-0007"
 
 
+def test_summed_profiles_are_those_of_all_members(spark):
+    cells = spark.createDataFrame([(k, f, t, None if k == t == 1 else float(k * k + 3 * t)) for k in range(6) for f in "ab" for t in range(k % 3 + 1)], "run long, feature string, step long, value double")
+    normals = spark.createDataFrame([(0, -1, k % 3, [p for p in (-1, 0, 1, 2) if p != k % 3], k, f"t{k % 2}", "b") for k in range(6)], "outer long, inner long, own long, others array<long>, run long, task string, batch string")
+    members = normals.withColumn("part", F.explode("others")).drop("own", "others")
+    means, spreads = runscore.grain_profiles(members.join(cells, "run"), *crossval.PART)
+    key = [*crossval.PART, *runscore.GRAIN, "feature"]
+    want = {tuple(r[k] for k in key): r for r in means.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("step", "mean"))).alias("means")).join(spreads, key).collect()}
+    got = {tuple(r[k] for k in key): r for r in crossval.profiles(normals, cells).collect()}
+    assert got.keys() == want.keys() and len(got) > 0
+    for k, r in got.items():
+        assert r.spread == pytest.approx(want[k].spread) and r.means == pytest.approx(want[k].means)
+
+
 def test_window_of_six(spark):
     data = [record(0, reward=1.0), record(1, "agent_exception", "zero", 0.0), record(2, "sandbox", "mask"), record(3, "network", "zero", 0.0), record(4, "missing_reward", "mask"), record(5, "wall_clock", "zero", 0.0)]
     w = windows.source_windows(frame(spark, data)).first()
